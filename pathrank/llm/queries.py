@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathrank.llm.common import table
 
@@ -17,7 +18,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.decontaminate import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.simhash import groups
+
+    found = groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_fm_index_decontamination": op6_fm_index_decontamination,
+    "op7_golay_simhash": op7_golay_simhash,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
