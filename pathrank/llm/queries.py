@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pathrank.llm.common import table
 
 
+def op8_log_structured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.window_index import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +40,7 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fm_index_decontamination": op6_fm_index_decontamination,
     "op7_golay_simhash": op7_golay_simhash,
+    "op8_log_structured_windows": op8_log_structured_windows,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
