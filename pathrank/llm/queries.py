@@ -16,6 +16,15 @@ def op8_log_structured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op9_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.labelled import remainder
+    from pathrank.llm.quality import THRESHOLD, fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder(4) != 2))
+    return score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +33,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.labelled import remainder
+    from pathrank.llm.toxicity import THRESHOLD, fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(3) != 1))
+    return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathrank.llm.decontaminate import digest, find
 
@@ -38,9 +56,11 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_multiple_instance_toxicity": op2_multiple_instance_toxicity,
     "op6_fm_index_decontamination": op6_fm_index_decontamination,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_log_structured_windows": op8_log_structured_windows,
+    "op9_random_indexing_quality": op9_random_indexing_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
