@@ -33,6 +33,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.sharding import shard
+
+    placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
 def op2_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathrank.llm.labelled import remainder
     from pathrank.llm.toxicity import THRESHOLD, fit, score
@@ -42,6 +49,29 @@ def op2_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
 
 
+def op4_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.spotsigs import edited, fingerprint, likeness
+
+    found = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("signatures")).alias("fingerprint"),
+        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+    )
+
+
+def op5_rare_word_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = F.array_sort(F.array_union("base_labels", "found_labels"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
+
+
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathrank.llm.decontaminate import digest, find
 
@@ -56,7 +86,10 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_balanced_label_propagation": op1_balanced_label_propagation,
     "op2_multiple_instance_toxicity": op2_multiple_instance_toxicity,
+    "op4_spot_signatures": op4_spot_signatures,
+    "op5_rare_word_licenses": op5_rare_word_licenses,
     "op6_fm_index_decontamination": op6_fm_index_decontamination,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_log_structured_windows": op8_log_structured_windows,
