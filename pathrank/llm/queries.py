@@ -49,6 +49,12 @@ def op2_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
 
 
+def op3_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.suffix_repeats import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathrank.llm.spotsigs import edited, fingerprint, likeness
 
@@ -88,6 +94,7 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_label_propagation": op1_balanced_label_propagation,
     "op2_multiple_instance_toxicity": op2_multiple_instance_toxicity,
+    "op3_maximal_repeats": op3_maximal_repeats,
     "op4_spot_signatures": op4_spot_signatures,
     "op5_rare_word_licenses": op5_rare_word_licenses,
     "op6_fm_index_decontamination": op6_fm_index_decontamination,
