@@ -1,10 +1,939 @@
-"""The registered queries of the path engine and their DuckDB equivalents."""
+"""The registered queries of the path engine: each operator over the driver's tables, with its DuckDB equivalent.
+
+Float aggregates are rounded to four digits on both sides, as the order of summation differs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from pathrank.fixtures import SEGMENTS, SQL, Tables
+from pathrank.functions import dates, names, vectors
+from pathrank.operators import aggregate, evaluate, features, index, khop, labels, metapath, pairs, path, profile, sampling
+from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, Position, Relation, Sample, chain, step
+from pathrank.sources import catalog, scan, store
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(name: str, sql: str | None = None, bare: bool = False):
+    """Registers a query over ``Tables``; ``sql`` follows the fixtures' named subqueries unless ``bare``."""
+
+    def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql if bare else f"{SQL}{sql}"
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 4, nudge: float = 0.0) -> DataFrame:
+    """nudge: added before rounding (in SQL too) where averages of cents fall on ties."""
+    return df.withColumns({f.name: F.round(F.col(f.name) + nudge, digits) for f in df.schema if isinstance(f.dataType, DoubleType)})
+
+
+def scratch(t: Tables, name: str) -> str:
+    """A new folder in the warehouse, which all executors share."""
+    return f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pathrank-{name}-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- the flagship path
+
+C1, P2, C3 = Position("Customer", 1), Position("Part", 2), Position("Customer", 3)
+HEAVIEST = Sample("top", 20, ("quantity",))
+FLAGSHIP = PathSpec(
+    "customers_of_same_parts",
+    (
+        Hop((C1,), (P2,), (Relation(Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), None, HEAVIEST, ("quantity",))),), (NodeAttributes("First_Order", C1, "customer", ("first_order_year",)),)),
+        Hop(
+            (P2,),
+            (C3,),
+            (Relation(Edge("bought", 2, ((P2, "part"),), ((C3, "customer"),), None, HEAVIEST, ("quantity",))),),
+            (NodeAttributes("First_Order", C3, "customer", ("first_order_year",)),),
+            "Customer_1_first_order_year >= Customer_3_first_order_year and Customer_1 <> Customer_3",
+        ),
+    ),
+)
+FLAGSHIP_SQL = """, hop1 AS (SELECT customer AS Customer_1, part AS Part_2, quantity AS Edge_1_quantity FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY quantity DESC, md5('42|' || customer || '|' || part), part) AS rk FROM bought) WHERE rk <= 20),
+hop2 AS (SELECT part AS Part_2, customer AS Customer_3, quantity AS Edge_2_quantity FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY quantity DESC, md5('42|' || part || '|' || customer), customer) AS rk FROM bought) WHERE rk <= 20),
+paths AS (SELECT Customer_1, Part_2, Customer_3, Edge_1_quantity, Edge_2_quantity FROM hop1 JOIN hop2 USING (Part_2) JOIN first_orders a ON a.customer = Customer_1 JOIN first_orders b ON b.customer = Customer_3
+  WHERE a.first_order_year >= b.first_order_year AND Customer_1 <> Customer_3)
+"""
+
+
+def flagship_paths(t: Tables) -> DataFrame:
+    return path.find_paths(t.graph(), FLAGSHIP)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments of the customers of the same parts, averaged per customer."""
+    t = Tables(spark, sf_dir)
+    return aggregate.node_aggregate(flagship_paths(t), ["Customer_1"], C3, t.segments(), "customer", SEGMENTS, ["AVG", "COUNT"])
+
+
+# ---------------------------------------------------------------- S: catalogue, sources, sinks
+
+
+@query(
+    "S01_graph_summary",
+    """SELECT 'Node' AS kind, 'Customer' AS type, 'Base' AS table_name, 'customer' AS ids, 1 AS n_features, (SELECT count(*) FROM customers) AS n_rows
+UNION ALL SELECT 'Node', 'Customer', 'Segment', 'customer', 5, (SELECT count(*) FROM segments)
+UNION ALL SELECT 'Node', 'Customer', 'First_Order', 'customer', 1, (SELECT count(*) FROM first_orders)
+UNION ALL SELECT 'Node', 'Part', 'Base', 'part', 2, (SELECT count(*) FROM parts)
+UNION ALL SELECT 'Node', 'Supplier', 'Base', 'supplier', 1, (SELECT count(*) FROM suppliers)
+UNION ALL SELECT 'Edge', 'bought', 'bought', 'customer,part', 3, (SELECT count(*) FROM bought)
+UNION ALL SELECT 'Edge', 'buys_from', 'buys_from', 'customer,supplier', 2, (SELECT count(*) FROM buys_from)
+UNION ALL SELECT 'Edge', 'line', 'line', 'order_id,part,supplier', 3, (SELECT count(*) FROM line)
+UNION ALL SELECT 'Edge', 'in_nation_c', 'in_nation_c', 'customer,nation', 0, (SELECT count(*) FROM in_nation_c)
+UNION ALL SELECT 'Edge', 'in_nation_s', 'in_nation_s', 'nation,supplier', 0, (SELECT count(*) FROM in_nation_s)
+UNION ALL SELECT 'Edge', 'in_region', 'in_region', 'nation,region', 0, (SELECT count(*) FROM in_region)
+UNION ALL SELECT 'Edge', 'did', 'did', 'event_type,user', 2, (SELECT count(*) FROM did)
+UNION ALL SELECT 'Node', unnest(['EventType', 'Nation', 'Order', 'Region', 'User']), NULL, NULL, 0, 0""",
+)
+def _(t):
+    return t.graph().summary(t.spark)
+
+
+@query(
+    "S02_subgraph_view",
+    """SELECT 'Edge' AS kind, 'purchased' AS type, 'purchased' AS table_name, 'customer,part' AS ids, 1 AS n_features, (SELECT count(*) FROM bought) AS n_rows
+UNION ALL SELECT 'Node', 'Buyer', 'Base', 'customer', 1, (SELECT count(*) FROM customers)
+UNION ALL SELECT 'Node', 'Buyer', 'Segment', 'customer', 5, (SELECT count(*) FROM segments)
+UNION ALL SELECT 'Node', 'Buyer', 'First_Order', 'customer', 1, (SELECT count(*) FROM first_orders)
+UNION ALL SELECT 'Node', 'Part', 'Base', 'part', 2, (SELECT count(*) FROM parts)""",
+)
+def _(t):
+    view = t.graph().subgraph(keep_nodes=["Customer", "Part"], keep_edges=["bought"], rename_nodes={"Customer": "Buyer"}, rename_edges={"bought": "purchased"}, edge_columns={"bought": ["customer", "part", "quantity"]})
+    return view.summary(t.spark)
+
+
+@query("S03_common_partitions", "SELECT month FROM bought_monthly WHERE month >= '1996-03' INTERSECT SELECT strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_orderstatus = 'O' AND month(o_orderdate) <> 7")
+def _(t):
+    months = t.orders.where("o_orderstatus = 'O' and month(o_orderdate) <> 7").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return catalog.common_partitions([t.bought_monthly().where("month >= '1996-03'"), months], "month")
+
+
+@query(
+    "S04_edge_scan",
+    """SELECT customer AS Customer_1, part AS Part_2, quantity AS Edge_1_quantity, round(price, 4) AS Edge_1_price FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer ORDER BY quantity DESC, md5('42|' || customer || '|' || part), part) AS rk FROM bought
+  WHERE quantity >= 10 AND customer IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) WHERE rk <= 5""",
+)
+def _(t):
+    edge = Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity >= 10", Sample("top", 5, ("quantity",)), ("quantity", "price"))
+    targets = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("Customer_1"))
+    return rounded(scan.edge_scan(t.graph(), edge, targets))
+
+
+@query("S05_node_scan", "SELECT part AS Part_2, size AS Part_2_size, retailprice AS Part_2_retailprice FROM parts WHERE size between 10 and 20")
+def _(t):
+    return scan.node_scan(t.graph(), NodeAttributes("Base", P2, "part", ("size", "retailprice"), limit="size between 10 and 20"))
+
+
+@query("S06_partition_pruned_scan", """SELECT "user", event_type, round(value, 4) AS value, n, day FROM did WHERE day IN ('2024-01-03', '2024-01-17')""")
+def _(t):
+    folder = scratch(t, "did")
+    t.did().write.partitionBy("day").parquet(folder)
+    found = scan.read_partitions(t.spark, folder, "day", ["2024-01-03", "2024-01-17"])
+    return rounded(found.select("user", "event_type", "value", "n", F.col("day").cast("string").alias("day")))
+
+
+@query("S07_catalog_table_scan", """SELECT "user", event_type, round(value, 4) AS value, n, day FROM did WHERE day = '2024-01-05'""")
+def _(t):
+    name = f"did_{uuid.uuid4().hex}"
+    t.did().write.partitionBy("day").option("path", scratch(t, "table")).saveAsTable(name)
+    return rounded(scan.read_table(t.spark, name, "day", ["2024-01-05"]).select("user", "event_type", "value", "n", "day"))
+
+
+@query("S08_resumable_write", """SELECT day, count(*) AS n_rows, sum(n)::bigint AS n_events FROM did GROUP BY 1""")
+def _(t):
+    folder = scratch(t, "resume")
+    days = [f"2024-01-{d:02d}" for d in range(1, 32)]
+    compute = lambda wanted: t.did().where(F.col("day").isin(wanted))
+    store.write_missing(t.spark, folder, "day", days[:20], compute)
+    done = store.write_missing(t.spark, folder, "day", days, compute)
+    return done.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_events"))
+
+
+@query("S09_stored_aggregates", FLAGSHIP_SQL + "SELECT Customer_1, round(avg(acctbal), 4) AS AVG_acctbal, count(*) AS COUNT_All FROM paths JOIN customers ON customer = Customer_3 GROUP BY 1")
+def _(t):
+    folder = scratch(t, "elements")
+    elements = aggregate.aggregate_path(flagship_paths(t), FLAGSHIP, {"Customer": (t.customers(), "customer", ["acctbal"])}, ["AVG", "COUNT"])
+    name = "Node___Customer___3"
+    store.write_elements({name: elements[name]}, folder)
+    assert store.read_elements(t.spark, folder, [name, "Node___None___9"]) is None
+    return rounded(store.read_elements(t.spark, folder, [name])[name])
+
+
+@query("S10_warehouse_upload", """SELECT "user", event_type, round(CASE WHEN day = '2024-01-02' THEN value * 2 ELSE value END, 4) AS value, n, day FROM did WHERE day <= '2024-01-10'""")
+def _(t):
+    name, folder = f"uploaded_{uuid.uuid4().hex}", scratch(t, "orc")
+    first = t.did().where("day <= '2024-01-10'")
+    store.upload(first, name, "day", {"value": "sum of values"}, folder)
+    store.upload(first.where("day = '2024-01-02'").withColumn("value", F.col("value") * 2), name, "day")
+    return rounded(t.spark.table(name).select("user", "event_type", "value", "n", "day"))
+
+
+@query("S11_feature_dictionary", "SELECT 'Part_2' AS position, unnest(['part', 'size', 'retailprice']) AS feature, unnest(['bigint', 'int', 'double']) AS type, unnest(['', 'size of the part', '']) AS comment, unnest([count(part), count(size), count(retailprice)]) AS n_values FROM parts")
+def _(t):
+    return store.feature_dictionary(t.parts().withMetadata("size", {"comment": "size of the part"}), "Part_2")
+
+
+# ---------------------------------------------------------------- P: projection, filter, predicate
+
+
+@query("P01_edge_predicate", "SELECT customer AS Customer_1, part AS Part_2, quantity AS Edge_1_quantity FROM bought WHERE quantity > 40 AND price < 50000")
+def _(t):
+    return scan.edge_scan(t.graph(), Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity > 40 and price < 50000", None, ("quantity",)))
+
+
+@query("P02_node_predicate", """, hop1 AS (SELECT customer AS Customer_1, part AS Part_2, quantity AS q FROM bought WHERE quantity > 45)
+SELECT Customer_1, Part_2, q AS Edge_1_quantity FROM hop1 LEFT JOIN (SELECT * FROM parts WHERE size > 40) p ON p.part = Part_2 WHERE p.size IS NULL""")
+def _(t):
+    edge = Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity > 45", None, ("quantity",))
+    spec = PathSpec("p", (Hop((C1,), (P2,), (Relation(edge),), (NodeAttributes("Base", P2, "part", ("size",), "left", "size > 40"),), "Part_2_size is null"),))
+    return path.find_paths(t.graph(), spec)
+
+
+@query("P03_path_predicate", FLAGSHIP_SQL + "SELECT * FROM paths")
+def _(t):
+    return flagship_paths(t)
+
+
+@query("P04_predicate_on_endpoint_features", "SELECT b.customer, b.part, b.quantity FROM bought b LEFT JOIN parts p USING (part) WHERE p.size * b.quantity > 1500")
+def _(t):
+    return scan.limited_by_features(t.bought().select("customer", "part", "quantity"), "part", t.parts(), "part", ["size"], "size * quantity > 1500")
+
+
+@query("P05_valid_ids", "SELECT o_orderkey AS id, o_orderstatus AS code FROM orders WHERE o_orderpriority NOT LIKE '1%' AND o_orderpriority NOT LIKE '2%'", bare=True)
+def _(t):
+    code = F.when(F.col("o_orderpriority").startswith("1"), "").when(F.col("o_orderpriority").startswith("2"), None).otherwise(F.col("o_orderstatus"))
+    return scan.valid_ids(t.orders.select(F.col("o_orderkey").alias("id"), code.alias("code")), ["id", "code"])
+
+
+@query("P06_numeric_features", "SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem", bare=True)
+def _(t):
+    return t.lineitem.select(*names.numeric_columns(t.lineitem, ["l_orderkey", "l_partkey", "l_suppkey"]))
+
+
+@query("P07_renamed", "SELECT p_partkey AS part_id, p_size AS part_size FROM part", bare=True)
+def _(t):
+    return names.renamed(t.part.select("p_partkey", "p_size"), {"p_partkey": "part_id", "p_size": "part_size"})
+
+
+@query("P08_sanitized_names", 'SELECT p_partkey AS "part_no_", p_retailprice AS "price__EUR_" FROM part', bare=True)
+def _(t):
+    return names.sanitized(t.part.select(F.col("p_partkey").alias("part no."), F.col("p_retailprice").alias("price (EUR)")))
+
+
+@query("P09_coerced", "SELECT p_partkey, coalesce(try_cast(CASE WHEN p_size > 30 THEN p_name ELSE p_size::varchar END AS double), -1.0) AS size FROM part", bare=True)
+def _(t):
+    text = F.when(F.col("p_size") > 30, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    return t.part.select("p_partkey", names.coerced(text).alias("size"))
+
+
+@query("P10_endpoints", FLAGSHIP_SQL + "SELECT DISTINCT Customer_1, Customer_3 FROM paths")
+def _(t):
+    return path.endpoints(flagship_paths(t), FLAGSHIP)
+
+
+@query("P11_filled", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 0.0 WHEN p_size < 20 THEN 0.0 ELSE p_retailprice END AS price FROM part", bare=True)
+def _(t):
+    odd = F.when(F.col("p_size") < 10, F.lit(None)).when(F.col("p_size") < 20, F.lit(float("inf"))).otherwise(F.col("p_retailprice"))
+    return t.part.select("p_partkey", odd.alias("price")).withColumn("price", names.filled("price"))
+
+
+# ---------------------------------------------------------------- J: joins
+
+
+@query("J01_target_restriction", "SELECT customer, part, quantity FROM bought WHERE customer IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)")
+def _(t):
+    targets = t.customer.where("c_acctbal > 8000").select(F.col("c_custkey").alias("customer"))
+    return scan.restricted(t.bought().select("customer", "part", "quantity"), targets, ["customer"])
+
+
+HOPS = chain("rare_parts", [step("bought", 1, ("Customer", 1, "customer"), ("Part", 2, "part"), limit="quantity > 48"), step("bought", 2, ("Part", 2, "part"), ("Customer", 3, "customer"), limit="quantity > 49 and n = 1")], "left")
+
+
+@query("J02_hop_expansion", "SELECT a.customer AS Customer_1, a.part AS Part_2, b.customer AS Customer_3 FROM (SELECT * FROM bought WHERE quantity > 48) a LEFT JOIN (SELECT * FROM bought WHERE quantity > 49 AND n = 1) b USING (part)")
+def _(t):
+    return path.find_paths(t.graph(), HOPS)
+
+
+S3, N2 = Position("Supplier", 3), Position("Nation", 2)
+SAME_NATION = PathSpec(
+    "same_nation",
+    (
+        Hop((C1,), (N2,), (Relation(Edge("in_nation_c", 11, ((C1, "customer"),), ((N2, "nation"),))),)),
+        Hop((N2,), (S3,), (Relation(Edge("in_nation_s", 12, ((N2, "nation"),), ((S3, "supplier"),))),)),
+    ),
+    "inner",
+)
+LOCAL_SUPPLIERS = PathSpec("local_suppliers", (Hop((C1,), (S3,), (Relation(Edge("buys_from", 1, ((C1, "customer"),), ((S3, "supplier"),), None, None, ("quantity",))), Relation(Nested(SAME_NATION)))),))
+LOCAL_SQL = "SELECT customer AS Customer_1, nation AS Nation_2, supplier AS Supplier_3, quantity AS Edge_1_quantity FROM buys_from JOIN in_nation_c USING (customer) JOIN in_nation_s s USING (supplier, nation)"
+
+
+@query("J03_relation_conjunction", LOCAL_SQL)
+def _(t):
+    return path.find_paths(t.graph(), LOCAL_SUPPLIERS).select("Customer_1", "Nation_2", "Supplier_3", "Edge_1_quantity")
+
+
+@query("J03_relation_negation", "SELECT customer AS Customer_1, supplier AS Supplier_3, quantity AS Edge_1_quantity FROM buys_from WHERE NOT EXISTS (SELECT 1 FROM in_nation_c c JOIN in_nation_s s USING (nation) WHERE c.customer = buys_from.customer AND s.supplier = buys_from.supplier)")
+def _(t):
+    hop = LOCAL_SUPPLIERS.hops[0]
+    foreign = PathSpec("foreign_suppliers", (Hop(hop.heads, hop.tails, (hop.relations[0], Relation(Nested(SAME_NATION), "left_anti"))),))
+    return path.find_paths(t.graph(), foreign)
+
+
+@query("J04_node_attributes", "SELECT customer AS Customer_1, supplier AS Supplier_3 FROM buys_from JOIN suppliers USING (supplier) WHERE acctbal > 9000 AND quantity > 60")
+def _(t):
+    edge = Edge("buys_from", 1, ((C1, "customer"),), ((S3, "supplier"),), "quantity > 60")
+    spec = PathSpec("p", (Hop((C1,), (S3,), (Relation(edge),), (NodeAttributes("Base", S3, "supplier", ("acctbal",), "inner", "acctbal > 9000"),)),))
+    return path.find_paths(t.graph(), spec)
+
+
+def customer_tables(t):
+    rich = t.customers().where("acctbal > 0")
+    return [("Base", rich, "customer", ["acctbal"]), ("Segment", t.segments(), "customer", SEGMENTS), ("First", t.first_orders(), "customer", ["first_order_year"])]
+
+
+ASSEMBLED = f"SELECT customer, coalesce(CASE WHEN acctbal > 0 THEN acctbal END, 0.0) AS Base_acctbal, {', '.join(f'{s} AS Segment_{s}' for s in SEGMENTS)}, coalesce(first_order_year, 0) AS First_first_order_year FROM customers JOIN segments USING (customer) LEFT JOIN first_orders USING (customer)"
+
+
+@query("J05_feature_assembly", ASSEMBLED)
+def _(t):
+    return features.assemble(t.customers(), "customer", customer_tables(t))
+
+
+@query("J06_table_combination", ASSEMBLED.replace("coalesce(first_order_year, 0)", "coalesce(first_order_year, 0)::double"))
+def _(t):
+    return features.combine_tables(customer_tables(t), "customer")
+
+
+@query("J07_checked_broadcast", ASSEMBLED)
+def _(t):
+    return features.assemble(t.customers(), "customer", customer_tables(t), broadcast_rows=1_000_000)
+
+
+DAYS = "SELECT user_id AS \"user\", strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"
+
+
+@query("J08_point_in_time", f""", samples AS ({DAYS}), clicks AS (SELECT "user", day, value, n FROM did WHERE event_type = 'click')
+SELECT s."user", s.day, round(coalesce(value, 0), 4) AS value, coalesce(n, 0) AS n FROM samples s LEFT JOIN clicks USING ("user", day)""")
+def _(t):
+    samples = t.events.where("event_type = 'purchase'").select(F.col("user_id").alias("user"), F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    clicks = t.did().where("event_type = 'click'").withColumnRenamed("day", "feature_day")
+    return rounded(features.point_in_time(samples, clicks, ["user"], "day", "feature_day", ["value", "n"]))
+
+
+@query("J09_vector_left_join", "SELECT c_custkey AS customer, coalesce(v, list_resize([0.0::double], 64, 0.0::double)) AS v FROM customer LEFT JOIN (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE label < 5) ON vec_id = c_custkey", bare=True)
+def _(t):
+    held = t.embeddings.where("label < 5").select(F.col("vec_id").alias("customer"), F.col("embedding").cast("array<double>").alias("v"))
+    return features.left_join_vectors(t.customer.select(F.col("c_custkey").alias("customer")), held, "customer", "v", 64)
+
+
+# pairs of a customer and a supplier with returned lines; path types from customers to suppliers
+KNOWN = """, pairs AS (SELECT DISTINCT o_custkey AS start, l_suppkey AS "end" FROM purchases WHERE l_returnflag = 'R')"""
+KHOP = """, c2s AS (SELECT customer, supplier FROM buys_from), bn AS (SELECT customer, nation FROM in_nation_c), sn AS (SELECT supplier, nation FROM in_nation_s),
+instances AS (SELECT 'buys_from_Aim_Head' AS path, customer AS start, supplier AS "end" FROM c2s
+  UNION ALL SELECT 'in_nation_c_Aim_Head__in_nation_s_Aim_Tail', customer, supplier FROM bn JOIN sn USING (nation))"""
+TYPES = ["buys_from_Aim_Head", "in_nation_c_Aim_Head__in_nation_s_Aim_Tail"]
+
+
+def khop_relations(t):
+    return [
+        khop.Relation("buys_from", t.buys_from(), ("customer", "Customer"), ("supplier", "Supplier"), "quantity"),
+        khop.Relation("in_nation_c", t.in_nation_c(), ("customer", "Customer"), ("nation", "Nation")),
+        khop.Relation("in_nation_s", t.in_nation_s(), ("supplier", "Supplier"), ("nation", "Nation")),
+    ]
+
+
+def khop_instances(t):
+    relations = khop_relations(t)
+    return khop.all_instances(relations, khop.path_types(relations, "Customer", "Supplier", 2))
+
+
+def known_pairs(t):
+    return t.purchases().where("l_returnflag = 'R'").select(F.col("o_custkey").alias("start"), F.col("l_suppkey").alias("end")).distinct()
+
+
+ENDS = ["start", "end"]
+
+
+@query("J10_path_cover", KNOWN + KHOP + """SELECT i.path, i.start, i."end", p.start IS NOT NULL AS cover_mark FROM instances i LEFT JOIN pairs p ON p.start = i.start AND p."end" = i."end" """)
+def _(t):
+    return pairs.path_cover(khop_instances(t), known_pairs(t), ENDS).select("path", "start", "end", "cover_mark")
+
+
+@query("J11_pair_cover", KNOWN + KHOP + """SELECT p.start, p."end", count(i.path) AS cover_count FROM pairs p LEFT JOIN instances i ON p.start = i.start AND p."end" = i."end" GROUP BY 1, 2""")
+def _(t):
+    return pairs.pair_cover(khop_instances(t), known_pairs(t), ENDS)
+
+
+@query("J12_cover_matrix", KNOWN + KHOP + f"""SELECT p.start, p."end", count(*) FILTER (path = '{TYPES[0]}') AS "{TYPES[0]}", count(*) FILTER (path = '{TYPES[1]}') AS "{TYPES[1]}",
+ (count(*) FILTER (path = '{TYPES[0]}') > 0)::int + (count(*) FILTER (path = '{TYPES[1]}') > 0)::int AS n_kinds, count(i.path) AS n_total
+ FROM pairs p LEFT JOIN instances i ON p.start = i.start AND p."end" = i."end" GROUP BY 1, 2""")
+def _(t):
+    return pairs.cover_matrix(khop_instances(t), known_pairs(t), ENDS, TYPES)
+
+
+@query("J13_starts_with_cover", KNOWN + KHOP + f"""SELECT path, start, "end" FROM instances WHERE start IN (SELECT p.start FROM pairs p JOIN instances i ON p.start = i.start AND p."end" = i."end" WHERE path = '{TYPES[1]}')""")
+def _(t):
+    found = khop_instances(t)
+    covered = pairs.pair_cover(found.where(F.col("path") == TYPES[1]), known_pairs(t), ENDS)
+    return pairs.starts_with_cover(found, covered, "start").select("path", "start", "end")
+
+
+@query("J14_restricted_to_pairs", KNOWN + KHOP + f"""SELECT path, start, "end" FROM instances WHERE path = '{TYPES[1]}' AND (start, "end") IN (SELECT start, "end" FROM pairs)""")
+def _(t):
+    return pairs.restricted_to_pairs(khop_instances(t).where(F.col("path") == TYPES[1]), known_pairs(t), ENDS).select("path", "start", "end")
+
+
+@query("J15_self_avoiding", """SELECT a.customer AS Customer_1, a.supplier AS Supplier_2, b.customer AS Customer_3 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY quantity DESC, md5('42|' || customer || '|' || supplier), supplier) rk FROM buys_from) WHERE rk <= 3) a
+ JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY quantity DESC, md5('42|' || supplier || '|' || customer), customer) rk FROM buys_from) WHERE rk <= 3) b USING (supplier) WHERE a.customer <> b.customer""")
+def _(t):
+    r = khop.Relation("buys_from", t.buys_from(), ("customer", "Customer"), ("supplier", "Supplier"), "quantity", (3,), (3,))
+    return khop.instances([r], khop.PathType((("buys_from", "Head"), ("buys_from", "Tail")), ("Customer", "Supplier", "Customer")))
+
+
+# ---------------------------------------------------------------- G: paths and graphs
+
+
+@query("G01_complex_path", FLAGSHIP_SQL + "SELECT * FROM paths WHERE Customer_1 IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def _(t):
+    targets = t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("Customer_1"))
+    return path.find_paths(t.graph(), FLAGSHIP, targets)
+
+
+@query("G02_nested_path", LOCAL_SQL)
+def _(t):
+    config = {
+        "path_name": "local_suppliers",
+        "path_schema": [
+            {
+                "head_node_types": ["Customer"], "head_node_indexes": [1], "tail_node_types": ["Supplier"], "tail_node_indexes": [3],
+                "relation_list": [
+                    {"relation_type": "edge", "edge_schema": {"edge_table_name": "buys_from", "edge_index": 1, "head_node_types": ["Customer"], "head_node_indexes": [1], "head_columns": ["customer"], "tail_node_types": ["Supplier"], "tail_node_indexes": [3], "tail_columns": ["supplier"], "feature_columns": ["quantity"]}},
+                    {
+                        "relation_type": "path", "path_name": "same_nation", "join_type": "inner", "hop_join": "inner",
+                        "path_schema": [
+                            {"tail_node_types": ["Nation"], "tail_node_indexes": [2], "relation_list": [{"relation_type": "edge", "edge_schema": {"edge_table_name": "in_nation_c", "edge_index": 11, "head_node_types": ["Customer"], "head_node_indexes": [1], "head_columns": ["customer"], "tail_node_types": ["Nation"], "tail_node_indexes": [2], "tail_columns": ["nation"]}}]},
+                            {"head_node_types": ["Nation"], "head_node_indexes": [2], "tail_node_types": ["Supplier"], "tail_node_indexes": [3], "relation_list": [{"relation_type": "edge", "edge_schema": {"edge_table_name": "in_nation_s", "edge_index": 12, "head_node_types": ["Nation"], "head_node_indexes": [2], "head_columns": ["nation"], "tail_node_types": ["Supplier"], "tail_node_indexes": [3], "tail_columns": ["supplier"]}}]},
+                        ],
+                    },
+                ],
+            }
+        ],
+    }
+    return path.find_paths(t.graph(), PathSpec.from_json(config)).select("Customer_1", "Nation_2", "Supplier_3", "Edge_1_quantity")
+
+
+@query("G03_path_batch", FLAGSHIP_SQL + f""", local AS ({LOCAL_SQL}) SELECT 'Customer__Part__Customer' AS metapath, 'customers_of_same_parts' AS path, count(*) AS n FROM paths UNION ALL SELECT 'Customer__Nation__Supplier', 'local_suppliers', count(*) FROM local""")
+def _(t):
+    specs = [FLAGSHIP, LOCAL_SUPPLIERS]
+    found = path.find_all(t.graph(), specs)
+    parts = [found[n].agg(F.count("*").alias("n")).select(F.lit(m).alias("metapath"), F.lit(n).alias("path"), "n") for m, group in path.grouped_by_metapath(specs).items() for n in group]
+    return parts[0].unionByName(parts[1])
+
+
+@query("G04_linear_path", """, h1 AS (SELECT customer AS Customer_1, part AS Part_2 FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY md5('42|' || customer || '|' || part), part) rk FROM bought WHERE quantity > 30) WHERE rk <= 4),
+h2 AS (SELECT part AS Part_2, customer AS Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('42|' || part || '|' || customer), customer) rk FROM bought) WHERE rk <= 4)
+SELECT Customer_1, Part_2, Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY Customer_1 ORDER BY md5('42|' || Customer_1 || '|' || Part_2 || '|' || Customer_3), Part_2, Customer_3) rk FROM h1 JOIN h2 USING (Part_2) WHERE Customer_1 <> Customer_3) WHERE rk <= 10""")
+def _(t):
+    four = Sample("random", 4)
+    steps = [step("bought", 1, ("Customer", 1, "customer"), ("Part", 2, "part"), limit="quantity > 30", sample=four), step("bought", 2, ("Part", 2, "part"), ("Customer", 3, "customer"), sample=four)]
+    return path.find_paths(t.graph(), chain("linear", steps, limits={1: "Customer_1 <> Customer_3"}, samples={1: Sample("random", 10)}))
+
+
+METAPATH = """, a AS (SELECT o_custkey AS c, l_partkey AS p, sum(l_quantity) AS w1 FROM purchases GROUP BY 1, 2), a5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY w1 DESC, md5('42|' || c || '|' || p), p) rk FROM a) WHERE rk <= 5),
+b AS (SELECT part AS p, supplier AS s, sum(quantity) AS w2 FROM line WHERE discount < 0.05 GROUP BY 1, 2), meta AS (SELECT c AS Customer, p AS Part, s AS Supplier, w1 AS Weight_1, w2 AS Weight_2 FROM a5 JOIN b USING (p) WHERE w1 + w2 > 60)
+"""
+
+
+def customer_part_supplier(t):
+    first = metapath.Link(t.purchases().select("o_custkey", "l_partkey", "l_quantity"), "o_custkey", "l_partkey", "l_quantity", sample=Sample("top", 5, ("weight",)))
+    second = metapath.Link(t.line(), "part", "supplier", "quantity", "discount < 0.05")
+    return metapath.metapath([first, second], ["Customer", "Part", "Supplier"], limits={2: "Weight_1 + Weight_2 > 60"})
+
+
+@query("G05_metapath", METAPATH + "SELECT * FROM meta")
+def _(t):
+    return customer_part_supplier(t)
+
+
+@query("G06_khop_path_types", KHOP + 'SELECT path, start, "end" FROM instances')
+def _(t):
+    return khop_instances(t)
+
+
+SUBGRAPH = """, seeds AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9900),
+h1a AS (SELECT 1 AS hop, 'buys_from' AS relation, 'Aim_Head' AS direction, customer AS head, supplier AS tail, quantity AS weight FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY quantity DESC, md5('42|' || customer || '|' || supplier), supplier) rk FROM buys_from WHERE customer IN (SELECT node FROM seeds)) WHERE rk <= 3),
+h1b AS (SELECT 1, 'in_nation_c', 'Aim_Head', customer, nation, 1.0 FROM in_nation_c WHERE customer IN (SELECT node FROM seeds)),
+h2a AS (SELECT 2, 'buys_from', 'Aim_Tail', customer, supplier, quantity FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY quantity DESC, md5('42|' || supplier || '|' || customer), customer) rk FROM buys_from WHERE supplier IN (SELECT tail FROM h1a)) WHERE rk <= 3),
+h2b AS (SELECT 2, 'in_nation_c', 'Aim_Tail', customer, nation, 1.0 FROM in_nation_c WHERE nation IN (SELECT nation FROM h1b)),
+h2c AS (SELECT 2, 'in_nation_s', 'Aim_Head', supplier, nation, 1.0 FROM in_nation_s WHERE supplier IN (SELECT tail FROM h1a)),
+h2d AS (SELECT 2, 'in_nation_s', 'Aim_Tail', supplier, nation, 1.0 FROM in_nation_s WHERE nation IN (SELECT nation FROM h1b)),
+sub AS (SELECT * FROM h1a UNION ALL SELECT * FROM h1b UNION ALL SELECT * FROM h2a UNION ALL SELECT * FROM h2b UNION ALL SELECT * FROM h2c UNION ALL SELECT * FROM h2d)
+"""
+
+
+def customer_subgraph(t):
+    relations = [
+        khop.Relation("buys_from", t.buys_from(), ("customer", "Customer"), ("supplier", "Supplier"), "quantity", (3, 3), (3, 3)),
+        khop.Relation("in_nation_c", t.in_nation_c().withColumn("nation", F.col("nation").cast("long")), ("customer", "Customer"), ("nation", "Nation")),
+        khop.Relation("in_nation_s", t.in_nation_s().withColumn("nation", F.col("nation").cast("long")), ("supplier", "Supplier"), ("nation", "Nation")),
+    ]
+    seeds = t.customer.where("c_acctbal > 9900").select("c_custkey")
+    return khop.subgraph(relations, seeds, "Customer", 2)
+
+
+@query("G07_khop_subgraph", SUBGRAPH + "SELECT * FROM sub")
+def _(t):
+    return customer_subgraph(t)
+
+
+@query("G08_node_query", METAPATH + "SELECT DISTINCT Customer FROM meta")
+def _(t):
+    return metapath.node_query(customer_part_supplier(t), "Customer")
+
+
+UNIVERSE = METAPATH + ", nodes AS (SELECT 'Customer' AS node_type, Customer::varchar AS node FROM meta UNION SELECT 'Part', Part::varchar FROM meta UNION SELECT 'Supplier', Supplier::varchar FROM meta UNION SELECT 'Nation', nation::varchar FROM in_nation_s), idx AS (SELECT node_type, node, row_number() OVER (PARTITION BY node_type ORDER BY node) - 1 AS idx FROM nodes)\n"
+
+
+def node_universe(t):
+    return metapath.universe([(customer_part_supplier(t), {"Customer": "Customer", "Part": "Part", "Supplier": "Supplier"}), (t.in_nation_s(), {"nation": "Nation"})])
+
+
+@query("G09_node_universe", UNIVERSE + "SELECT * FROM nodes")
+def _(t):
+    return node_universe(t)
+
+
+@query("G10_dense_index", UNIVERSE + "SELECT * FROM idx")
+def _(t):
+    return index.dense_index(node_universe(t))
+
+
+@query("G11_indexed_adjacency", UNIVERSE + "SELECT h.idx AS supplier_idx, d.idx AS nation_idx FROM in_nation_s LEFT JOIN idx h ON h.node_type = 'Supplier' AND h.node = supplier::varchar LEFT JOIN idx d ON d.node_type = 'Nation' AND d.node = nation::varchar")
+def _(t):
+    return index.indexed(t.in_nation_s(), {"supplier": "Supplier", "nation": "Nation"}, index.dense_index(node_universe(t)))
+
+
+@query("G11_missing_nodes", UNIVERSE + ", found AS (SELECT h.idx AS a, d.idx AS b FROM in_nation_s LEFT JOIN idx h ON h.node_type = 'Supplier' AND h.node = supplier::varchar LEFT JOIN idx d ON d.node_type = 'Nation' AND d.node = nation::varchar) SELECT count(*) AS n_rows, count(*) FILTER (a IS NULL) AS supplier_missing, count(*) FILTER (b IS NULL) AS nation_missing FROM found")
+def _(t):
+    return index.missing_nodes(t.in_nation_s(), {"supplier": "Supplier", "nation": "Nation"}, index.dense_index(node_universe(t)))
+
+
+@query("G12_indexed_instances", UNIVERSE + "SELECT c.idx AS Customer_idx, p.idx AS Part_idx, s.idx AS Supplier_idx FROM meta JOIN idx c ON c.node_type = 'Customer' AND c.node = Customer::varchar JOIN idx p ON p.node_type = 'Part' AND p.node = Part::varchar JOIN idx s ON s.node_type = 'Supplier' AND s.node = Supplier::varchar")
+def _(t):
+    return index.indexed(customer_part_supplier(t), {c: c for c in ("Customer", "Part", "Supplier")}, index.dense_index(node_universe(t)))
+
+
+@query("G13_batch_induced", """, e AS (SELECT customer AS head, part + 1000000 AS tail FROM bought UNION SELECT part + 1000000, supplier + 2000000 FROM line), b AS (SELECT c_custkey AS head FROM customer WHERE c_acctbal > 9950),
+r1 AS (SELECT DISTINCT 1 AS hop, e.* FROM e WHERE head IN (SELECT head FROM b)), r2 AS (SELECT DISTINCT 2 AS hop, e.* FROM e WHERE head IN (SELECT tail FROM r1)), f AS (SELECT head, tail, min(hop) AS hop FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2),
+l AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS local FROM (SELECT head AS node FROM f UNION SELECT tail FROM f)) SELECT hop, head, tail, a.local AS head_local, c.local AS tail_local FROM f JOIN l a ON a.node = head JOIN l c ON c.node = tail""")
+def _(t):
+    edges = t.bought().select(F.col("customer").alias("head"), (F.col("part") + 1_000_000).alias("tail")).union(t.line().select(F.col("part") + 1_000_000, F.col("supplier") + 2_000_000)).distinct()
+    return khop.induced(edges, t.customer.where("c_acctbal > 9950").select("c_custkey"), 2)
+
+
+@query("G14_reverse_edges", SUBGRAPH + "SELECT relation, head, tail FROM sub UNION ALL SELECT relation || '_by', tail, head FROM sub")
+def _(t):
+    return index.with_reverse(customer_subgraph(t))
+
+
+@query("G15_merged_hops", SUBGRAPH + "SELECT DISTINCT relation, head, tail FROM sub")
+def _(t):
+    sub = customer_subgraph(t)
+    return index.merged_hops([sub.where("hop = 1"), sub.where("hop = 2")])
+
+
+@query("G16_merged_parallel", """SELECT customer, supplier, round(sum(q), 4) AS quantity, round(sum(p), 4) AS price FROM (SELECT customer, supplier, quantity AS q, 0.0 AS p FROM buys_from UNION ALL SELECT o_custkey, l_suppkey, 0.0, l_extendedprice FROM purchases WHERE l_returnflag = 'R') GROUP BY 1, 2""")
+def _(t):
+    returned = t.purchases().where("l_returnflag = 'R'").select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").alias("price"))
+    return rounded(index.merged_parallel([t.buys_from().select("customer", "supplier", "quantity"), returned], ["customer", "supplier"]))
+
+
+# ---------------------------------------------------------------- X: sampling and splits
+
+
+@query("X01_random_n", "SELECT customer, part, quantity FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY md5('42|' || customer || '|' || part), part) rk FROM bought) WHERE rk <= 7")
+def _(t):
+    return sampling.random_n(t.bought().select("customer", "part", "quantity"), ["customer"], ["part"], 7)
+
+
+@query("X02_top_n", "SELECT customer, part, quantity FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY quantity DESC, md5('42|' || part || '|' || customer), customer) rk FROM bought) WHERE rk <= 5")
+def _(t):
+    return sampling.top_n(t.bought().select("customer", "part", "quantity"), ["part"], ["quantity"], ["customer"], 5)
+
+
+@query("X03_threshold_n", "SELECT customer, part FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY part) rk FROM bought) WHERE rk <= 6")
+def _(t):
+    return sampling.threshold_n(t.bought().select("customer", "part"), ["customer"], ["part"], 6)
+
+
+@query("X04_whole_path_cap", FLAGSHIP_SQL + "SELECT Customer_1, Part_2, Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY Customer_1 ORDER BY md5('42|' || Customer_1 || '|' || Part_2 || '|' || Customer_3), Part_2, Customer_3) rk FROM paths) WHERE rk <= 15")
+def _(t):
+    return sampling.capped(flagship_paths(t).select("Customer_1", "Part_2", "Customer_3"), ["Customer_1"], ["Part_2", "Customer_3"], Sample("Random".lower(), 15))
+
+
+@query("X05_negative_cap", """, l AS (SELECT o_orderkey, (o_orderstatus = 'P')::int AS label FROM orders), c AS (SELECT count(*) // 2 AS most FROM orders) SELECT o_orderkey, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || o_orderkey), o_orderkey) rk, sum(label) OVER () AS pos FROM l) WHERE label = 1 OR rk <= greatest((SELECT most FROM c) - pos, 0)""")
+def _(t):
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("label"))
+    return sampling.negatives_capped(rows, "label", rows.count() // 2, ["o_orderkey"])
+
+
+@query("X06_class_batch", ", l AS (SELECT o_orderkey, (o_orderstatus = 'P')::int AS label FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || o_orderkey), o_orderkey) rk FROM l) SELECT o_orderkey, label FROM r WHERE (label = 1 AND rk <= 31) OR (label = 0 AND rk <= 70)")
+def _(t):
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("label"))
+    return sampling.class_batch(rows, "label", 101, 0.3, ["o_orderkey"])
+
+
+RANGES = {"train": ("1995-01-01", "1999-01-01"), "validation": ("1999-01-01", "2000-01-01"), "test": ("2000-01-01", "2001-01-01")}
+SPLIT = "CASE WHEN o_orderdate >= '1995-01-01' AND o_orderdate < '1999-01-01' THEN 'train' WHEN o_orderdate >= '1999-01-01' AND o_orderdate < '2000-01-01' THEN 'validation' WHEN o_orderdate >= '2000-01-01' AND o_orderdate < '2001-01-01' AND o_totalprice > 1000 THEN 'test' END"
+
+
+@query("X07_time_split", f"SELECT o_orderkey, {SPLIT} AS split FROM orders WHERE {SPLIT} IS NOT NULL", bare=True)
+def _(t):
+    return sampling.time_split(t.orders, "o_orderdate", RANGES, {"test": "o_totalprice > 1000"}).select("o_orderkey", "split")
+
+
+@query("X08_row_slice", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500 OFFSET 300", bare=True)
+def _(t):
+    return sampling.row_slice(t.orders, ["o_orderdate", "o_orderkey"], 300, 800).select("o_orderkey", "o_totalprice")
+
+
+# ---------------------------------------------------------------- A: aggregation and profiling
+
+FIVE = ["AVG", "SUM", "MAX", "MIN", "COUNT"]
+
+
+def five(column: str, name: str | None = None, zero: bool = True) -> str:
+    c = f"coalesce({column}, 0)" if zero else column
+    n = name or column
+    return f"round(avg({c}), 4) AS AVG_{n}, round(sum({c})::double, 4) AS SUM_{n}, round(max({c})::double, 4) AS MAX_{n}, round(min({c})::double, 4) AS MIN_{n}, count(*) AS COUNT_All"
+
+
+@query("A01_grouped_features", f"SELECT l_suppkey, {five('l_quantity')} FROM lineitem GROUP BY 1", bare=True)
+def _(t):
+    return rounded(aggregate.aggregate_features(t.lineitem, ["l_suppkey"], ["l_quantity"], FIVE))
+
+
+@query("A01_missing_ignored", "SELECT o_custkey, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS AVG_price, count(*) AS COUNT_All FROM orders GROUP BY 1", bare=True)
+def _(t):
+    rows = t.orders.withColumn("price", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")))
+    return rounded(aggregate.aggregate_features(rows, ["o_custkey"], ["price"], ["AVG", "COUNT"], missing="ignore"))
+
+
+@query("A02_path_node_aggregate", FLAGSHIP_SQL + f"SELECT Customer_1, {', '.join(f'round(avg({s}), 4) AS AVG_{s}' for s in SEGMENTS)}, count(*) AS COUNT_All FROM paths JOIN segments ON customer = Customer_3 GROUP BY 1")
+def _(t):
+    return rounded(aggregate.node_aggregate(flagship_paths(t), ["Customer_1"], C3, t.segments(), "customer", SEGMENTS, ["AVG", "COUNT"]))
+
+
+@query("A02_hopwise", "SELECT a.customer, round(sum(retailprice), 4) AS SUM_retailprice, count(*) AS COUNT_All, round(avg(retailprice), 4) AS AVG_retailprice FROM buys_from a JOIN (SELECT DISTINCT supplier, part FROM line) l USING (supplier) JOIN parts USING (part) GROUP BY 1")
+def _(t):
+    sold = t.line().select("supplier", "part").distinct()
+    return rounded(aggregate.hopwise_sum(t.buys_from(), sold, "customer", "supplier", "part", t.parts(), "part", "retailprice"))
+
+
+@query("A03_path_edge_aggregate", FLAGSHIP_SQL + f"SELECT Customer_1, {five('Edge_2_quantity')} FROM paths GROUP BY 1")
+def _(t):
+    return rounded(aggregate.edge_aggregate(flagship_paths(t), ["Customer_1"], 2, FIVE))
+
+
+@query("A04_start_features", FLAGSHIP_SQL + "SELECT DISTINCT Customer_1, acctbal, first_order_year FROM paths JOIN customers c ON c.customer = Customer_1 JOIN first_orders f ON f.customer = Customer_1")
+def _(t):
+    return aggregate.start_features(flagship_paths(t), C1, [(t.customers(), "customer", ["acctbal"]), (t.first_orders(), "customer", ["first_order_year"])])
+
+
+@query("A05_all_positions", FLAGSHIP_SQL + """SELECT 'Node___Part___2' AS element, Customer_1, round(avg(retailprice) + 1e-9, 4) AS mean, count(*) AS n FROM paths JOIN parts ON part = Part_2 GROUP BY 2
+UNION ALL SELECT 'Node___Customer___3', Customer_1, round(avg(acctbal) + 1e-9, 4), count(*) FROM paths JOIN customers ON customer = Customer_3 GROUP BY 2
+UNION ALL SELECT 'Edge___bought___1', Customer_1, round(avg(Edge_1_quantity) + 1e-9, 4), count(*) FROM paths GROUP BY 2""")
+def _(t):
+    tables = {"Customer": (t.customers(), "customer", ["acctbal"]), "Part": (t.parts(), "part", ["retailprice"])}
+    found = aggregate.aggregate_path(flagship_paths(t), FLAGSHIP, tables, ["AVG", "COUNT"])
+    parts = [found[n].select(F.lit(n).alias("element"), "Customer_1", F.col(c).alias("mean"), F.col("COUNT_All").alias("n")) for n, c in (("Node___Part___2", "AVG_retailprice"), ("Node___Customer___3", "AVG_acctbal"), ("Edge___bought___1", "AVG_Edge_1_quantity"))]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), nudge=1e-9)
+
+
+@query("A06_weight_aggregate", METAPATH + f", s AS (SELECT Customer, Supplier, sum(Weight_2) AS Weight_2 FROM meta GROUP BY 1, 2) SELECT Customer, {five('Weight_2')} FROM s GROUP BY 1")
+def _(t):
+    return rounded(aggregate.weight_aggregate(customer_part_supplier(t), "Customer", "Supplier", "Weight_2"))
+
+
+WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("A07_wide_aggregate", f"SELECT l_partkey, {', '.join(f'round({f}({c}) + 1e-9, 4) AS {f}_{c}' for f in ('AVG', 'SUM', 'MAX', 'MIN') for c in WIDE)}, count(*) AS COUNT_All FROM lineitem GROUP BY 1", bare=True)
+def _(t):
+    return rounded(aggregate.wide_aggregate(t.lineitem, ["l_partkey"], WIDE, FIVE, columns=5), nudge=1e-9)
+
+
+@query("A08_tail_features", f", p AS (SELECT customer, part FROM bought WHERE quantity > 45), a AS (SELECT customer, {five('retailprice', 'r')} FROM p JOIN parts USING (part) GROUP BY 1) SELECT c.customer, {', '.join(f'coalesce({f}_r, 0) AS buys_{f}_retailprice' for f in ('AVG', 'SUM', 'MAX', 'MIN'))}, coalesce(COUNT_All, 0) AS buys_COUNT_All FROM customers c LEFT JOIN a USING (customer)")
+def _(t):
+    found = t.bought().where("quantity > 45").select("customer", "part")
+    return rounded(aggregate.tail_features(t.customers(), "customer", found, "part", t.parts(), "part", ["retailprice"], "buys_"))
+
+
+VOTE = FLAGSHIP_SQL + f", v AS (SELECT customer AS Customer_1, {', '.join(f'round(coalesce(avg(s.{s}), 0), 9) AS {s}' for s in SEGMENTS)} FROM customers LEFT JOIN (SELECT Customer_1, segments.* EXCLUDE (customer) FROM paths JOIN segments ON customer = Customer_3) s ON Customer_1 = customer GROUP BY 1), votes AS (SELECT Customer_1, list_position([{', '.join(SEGMENTS)}], greatest({', '.join(SEGMENTS)})) - 1 AS predicted FROM v)\n"
+
+
+def votes(t):
+    targets = t.customers().select(F.col("customer").alias("Customer_1"))
+    return aggregate.label_vote(flagship_paths(t), "Customer_1", C3, t.segments(), "customer", SEGMENTS, targets)
+
+
+@query("A09_label_vote", VOTE + "SELECT Customer_1, predicted::int AS predicted FROM votes")
+def _(t):
+    return votes(t)
+
+
+@query("A10_duplicate_edges", "SELECT l_orderkey, l_partkey, round(sum(l_quantity), 4) AS l_quantity, round(sum(l_extendedprice), 4) AS l_extendedprice FROM lineitem GROUP BY 1, 2", bare=True)
+def _(t):
+    return rounded(scan.deduplicated(t.lineitem, ["l_orderkey", "l_partkey"], ["l_quantity", "l_extendedprice"], "sum"))
+
+
+@query("A11_column_summary", "SELECT l_returnflag, unnest(['l_quantity', 'l_tax']) AS column_name, count(*) AS n, unnest([min(l_quantity), min(l_tax)]) AS min_value, unnest([max(l_quantity), max(l_tax)]) AS max_value, round(unnest([avg(l_quantity), avg(l_tax)]), 4) AS mean_value, round(unnest([stddev_samp(l_quantity), stddev_samp(l_tax)]), 4) AS std_value FROM lineitem GROUP BY 1", bare=True)
+def _(t):
+    return rounded(profile.column_summary(t.lineitem, ["l_quantity", "l_tax"], ["l_returnflag"]))
+
+
+@query("A12_constant_columns", "SELECT 'l_linestatus' AS column_name, 'F' AS value FROM (SELECT count(*) AS n FROM lineitem WHERE l_linestatus = 'F') WHERE n > 0", bare=True)
+def _(t):
+    return profile.constant_columns(t.lineitem.where("l_linestatus = 'F'"), ["l_linestatus", "l_returnflag", "l_quantity"])
+
+
+@query("A13_duplicate_ids", "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_distinct, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_extra FROM lineitem", bare=True)
+def _(t):
+    return profile.duplicate_ids(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("A14_value_frequencies", "SELECT p_brand, count(*) AS n, (SELECT count(DISTINCT p_brand) FROM part) AS n_distinct FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10", bare=True)
+def _(t):
+    return profile.value_frequencies(t.part, "p_brand", 10)
+
+
+@query("A15_pivot_counts", "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type NOT IN ('click', 'view')) AS Extra FROM events GROUP BY 1", bare=True)
+def _(t):
+    return profile.pivot_counts(t.events, "user_id", "event_type", ["click", "view"])
+
+
+@query("A16_quantile_histogram", "WITH q AS (SELECT quantile_cont(l_extendedprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM lineitem), b AS (SELECT i - 1 AS bin, e[i] AS low, e[i + 1] AS high FROM q, range(1, 11) r(i)) SELECT bin::int AS bin, round(low, 4) AS low, round(high, 4) AS high, count(l_extendedprice) AS n FROM b LEFT JOIN lineitem ON l_extendedprice >= low AND (l_extendedprice < high OR (bin = 9 AND l_extendedprice = high)) GROUP BY 1, 2, 3", bare=True)
+def _(t):
+    return rounded(profile.quantile_histogram(t.lineitem, "l_extendedprice", 10))
+
+
+@query("A17_cover_summary", KNOWN + KHOP + """SELECT path, count(*) FILTER (p.start IS NOT NULL) AS n_covered, count(*) FILTER (p.start IS NULL) AS n_uncovered, round(count(p.start) / count(*), 4) AS rate FROM instances i LEFT JOIN pairs p ON p.start = i.start AND p."end" = i."end" GROUP BY 1""")
+def _(t):
+    return rounded(pairs.cover_summary(pairs.path_cover(khop_instances(t), known_pairs(t), ENDS), ["path"]))
+
+
+@query("A18_size_report", FLAGSHIP_SQL + METAPATH + "SELECT 'flagship' AS path, count(*) AS n_rows, count(DISTINCT Customer_1) AS n_starts FROM paths UNION ALL SELECT 'meta', count(*), count(DISTINCT Customer) FROM meta")
+def _(t):
+    return profile.size_report({"flagship": (flagship_paths(t), "Customer_1"), "meta": (customer_part_supplier(t), "Customer")})
+
+
+# ---------------------------------------------------------------- K, U: ranking and union
+
+
+@query("K01_best_per_month", "SELECT o_custkey, feature_month::date AS feature_month, label, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, feature_month ORDER BY label DESC, o_orderdate DESC) rk FROM (SELECT o_custkey, date_trunc('month', o_orderdate) AS feature_month, (o_orderstatus = 'F')::int AS label, o_orderdate FROM orders)) WHERE rk = 1", bare=True)
+def _(t):
+    rows = t.orders.select("o_custkey", dates.month("o_orderdate").alias("feature_month"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"), "o_orderdate")
+    return labels.best_per_month(rows, ["o_custkey"], "label", "o_orderdate")
+
+
+SCORES = FLAGSHIP_SQL + ", rated AS (SELECT Customer_1 AS customer, avg(acctbal) AS score FROM paths JOIN customers ON customer = Customer_3 GROUP BY 1), flagged AS (SELECT o_custkey AS customer, (sum((l_returnflag = 'R')::int) * 10 > count(*) * 4)::int AS label FROM purchases GROUP BY 1), scored AS (SELECT customer, round(score, 1) AS score, label FROM rated JOIN flagged USING (customer))\n"
+
+
+def scored(t):
+    """Customers scored by the average balance of those who buy the same parts; label: many returned lines."""
+    rated = aggregate.node_aggregate(flagship_paths(t), ["Customer_1"], C3, t.customers(), "customer", ["acctbal"], ["AVG"]).select(F.col("Customer_1").alias("customer"), F.round("AVG_acctbal", 1).alias("score"))
+    flagged = t.purchases().groupBy(F.col("o_custkey").alias("customer")).agg((F.count_if(F.col("l_returnflag") == "R") * 10 > F.count("*") * 4).cast("int").alias("label"))
+    return rated.join(flagged, "customer")
+
+
+@query("K02_ranked_nodes", SCORES + "SELECT customer, score FROM scored ORDER BY score DESC, customer LIMIT 100")
+def _(t):
+    return evaluate.rank_nodes(scored(t).select("customer", "score"), "score", "customer", 100)
+
+
+RANKED = ", s AS (SELECT path, count(p.start) AS n_covered, count(*) - count(p.start) AS n_uncovered, count(p.start) / count(*) AS rate FROM instances i LEFT JOIN pairs p ON p.start = i.start AND p.\"end\" = i.\"end\" GROUP BY 1), ranked AS (SELECT path, n_covered, n_uncovered, rate, CASE WHEN row_number() OVER (ORDER BY rate DESC, n_covered + n_uncovered DESC, path) <= 1 THEN 'main' ELSE 'auxiliary' END AS role FROM s)\n"
+
+
+@query("K03_ranked_path_types", KNOWN + KHOP + RANKED + "SELECT path, n_covered, n_uncovered, round(rate, 4) AS rate, role FROM ranked")
+def _(t):
+    return rounded(pairs.ranked_types(khop_instances(t), known_pairs(t), ENDS, main=1))
+
+
+@query("U01_union_of_endpoints", KHOP + 'SELECT DISTINCT start, "end" FROM instances')
+def _(t):
+    relations = khop_relations(t)
+    parts = [khop.all_instances(relations, [p]).select("start", "end") for p in khop.path_types(relations, "Customer", "Supplier", 2)]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+# ---------------------------------------------------------------- F: scalar functions
+
+
+@query("F01_month_floor", "SELECT event_id, date_trunc('month', ts)::date AS month FROM events", bare=True)
+def _(t):
+    return t.events.select("event_id", dates.month("ts").alias("month"))
+
+
+@query("F02_month_expansion", "SELECT DISTINCT o_custkey, m AS month, (m - to_months(k))::date AS feature_month FROM (SELECT o_custkey, date_trunc('month', o_orderdate)::date AS m FROM orders), range(0, 3) r(k)", bare=True)
+def _(t):
+    return dates.expanded_months(t.orders.select("o_custkey", dates.month("o_orderdate").alias("month")), "month", 2)
+
+
+@query("F03_split_at_months", """, r AS (SELECT o_custkey, min(o_orderdate)::date AS a, max(o_orderdate)::date AS b FROM orders GROUP BY 1), e AS (SELECT o_custkey, a, b, a AS part_start FROM r UNION SELECT o_custkey, a, b, m::date FROM r, unnest(generate_series(date_trunc('month', a::timestamp), b::timestamp, INTERVAL 1 MONTH)) u(m) WHERE m::date > a AND m::date < b)
+SELECT o_custkey, part_start, least((date_trunc('month', part_start) + INTERVAL 1 MONTH)::date, b) AS part_end FROM e WHERE part_start < b""")
+def _(t):
+    ranges = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return dates.split_at_months(ranges, "a", "b").select("o_custkey", "part_start", "part_end")
+
+
+@query("F04_positive_columns", "SELECT l_orderkey, l_linenumber, l_partkey, ((l_discount > 0)::int + (l_tax > 0)::int) AS n_positive FROM lineitem", bare=True)
+def _(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", pairs.positive_columns(["l_discount", "l_tax"]).alias("n_positive"))
+
+
+@query("F05_label_mapping", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS label FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1000 AND 300000", bare=True)
+def _(t):
+    return t.orders.where("o_totalprice between 1000 and 300000").select("o_orderkey", labels.mapped("o_orderstatus", {"F": 1, "O": 0}).alias("label")).where("label is not null")
+
+
+@query("F06_vector_concat", "SELECT vec_id, list_concat(embedding::double[], [label::double, 1.0]) AS v FROM embeddings", bare=True)
+def _(t):
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"), F.array(F.col("label").cast("double"), F.lit(1.0)).alias("b"))
+    return rows.select("vec_id", vectors.concatenated("a", "b").alias("v"))
+
+
+@query("F07_parsed_vectors", "SELECT p_partkey, CASE WHEN p_size > 25 THEN [p_size::double, -1.5, 1000.0] ELSE [0.0, p_size::double, 0.0, -0.25] END AS v FROM part", bare=True)
+def _(t):
+    dense = F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(", -1.5, 1e3]"))
+    sparse = F.concat(F.lit("(4,[1, 3],["), F.col("p_size").cast("string"), F.lit(", -2.5e-1])"))
+    return t.part.select("p_partkey", vectors.parsed(F.when(F.col("p_size") > 25, dense).otherwise(sparse)).alias("v"))
+
+
+# ---------------------------------------------------------------- V: vectors and scaling
+
+COLUMNS = ["p_size", "p_retailprice"]
+
+
+def long_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return rounded(df.select(key, F.posexplode(vector).alias("pos", "value")))
+
+
+@query("V01_assembled", "SELECT p_partkey, [p_size::double, p_retailprice] AS features_raw FROM part", bare=True)
+def _(t):
+    return features.vectorize(t.part, ["p_partkey"], COLUMNS, ["raw"])
+
+
+@query("V02_min_max", "SELECT p_partkey, unnest([0, 1]) AS pos, round(unnest([(p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()), (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ())]), 4) AS value FROM part", bare=True)
+def _(t):
+    return long_vectors(features.vectorize(t.part, ["p_partkey"], COLUMNS, ["norm"]), "p_partkey", "features_norm")
+
+
+@query("V03_standard", "SELECT p_partkey, unnest([0, 1]) AS pos, round(unnest([p_size / stddev_samp(p_size) OVER (), p_retailprice / stddev_samp(p_retailprice) OVER ()]), 4) AS value FROM part", bare=True)
+def _(t):
+    return long_vectors(features.vectorize(t.part, ["p_partkey"], COLUMNS, ["std"]), "p_partkey", "features_std")
+
+
+@query("V04_scaled_by_partition", ", h AS (SELECT o_custkey AS customer, strftime(o_orderdate, '%Y') AS year, sum(o_totalprice) AS spent FROM orders GROUP BY 1, 2) SELECT customer, year, round((spent - lo) / (hi - lo + 1e-5), 4) AS spent FROM h JOIN (SELECT year, min(spent) AS lo, max(spent) AS hi FROM h GROUP BY 1) USING (year) WHERE customer IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(t):
+    table = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy").alias("year")).agg(F.sum("o_totalprice").alias("spent"))
+    builders = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("customer"))
+    targets = table.join(builders, "customer", "left_semi").select("customer", "year")
+    return rounded(features.scale_by_partition(targets, table, "customer", "year", ["spent"]))
+
+
+@query("V04_standardized_by_partition", ", h AS (SELECT o_custkey AS customer, strftime(o_orderdate, '%Y') AS year, sum(o_totalprice) AS spent FROM orders GROUP BY 1, 2) SELECT customer, year, round((spent - m) / sqrt(v + 1e-5), 4) AS spent FROM h JOIN (SELECT year, avg(spent) AS m, var_samp(spent) AS v FROM h GROUP BY 1) USING (year) WHERE customer IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(t):
+    table = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy").alias("year")).agg(F.sum("o_totalprice").alias("spent"))
+    builders = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("customer"))
+    targets = table.join(builders, "customer", "left_semi").select("customer", "year")
+    return rounded(features.scale_by_partition(targets, table, "customer", "year", ["spent"], "std"))
+
+
+MATRIX = FLAGSHIP_SQL + "SELECT c.customer, coalesce(round(x + 1e-9, 4), 0) AS AVG_acctbal__same_parts__Customer_3, coalesce(n, 0) AS COUNT_All__same_parts__Customer_3, coalesce(round(q + 1e-9, 4), 0) AS AVG_retailprice__same_parts__Part_2 FROM customers c LEFT JOIN (SELECT Customer_1 AS customer, avg(acctbal) AS x, count(*) AS n FROM paths JOIN customers k ON k.customer = Customer_3 GROUP BY 1) USING (customer) LEFT JOIN (SELECT Customer_1 AS customer, avg(retailprice) AS q FROM paths JOIN parts ON part = Part_2 GROUP BY 1) USING (customer)"
+
+
+def matrix(t):
+    found = flagship_paths(t)
+    blocks = {
+        ("same_parts", "Customer_3"): aggregate.node_aggregate(found, ["Customer_1"], C3, t.customers(), "customer", ["acctbal"], ["AVG", "COUNT"]).withColumnRenamed("Customer_1", "customer"),
+        ("same_parts", "Part_2"): aggregate.node_aggregate(found, ["Customer_1"], P2, t.parts(), "part", ["retailprice"], ["AVG"]).withColumnRenamed("Customer_1", "customer"),
+        ("unused", "Part_2"): t.customers(),
+    }
+    return features.feature_matrix(t.customers().select("customer"), ["customer"], blocks, drop=[("unused", "*")])
+
+
+@query("V05_feature_matrix", MATRIX)
+def _(t):
+    return rounded(matrix(t), nudge=1e-9)
+
+
+# ---------------------------------------------------------------- L: label samples
+
+
+@query("L01_labelled_targets", f""", r AS (SELECT o_custkey, o_orderdate, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 0 WHEN 'O' THEN 0 END AS label, {SPLIT} AS split FROM orders WHERE o_totalprice > 500),
+b AS (SELECT * FROM (SELECT o_custkey, label, o_orderdate AS source_time, date_trunc('month', o_orderdate)::date AS feature_month, split, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY label DESC, o_orderdate DESC) rk FROM r WHERE split IS NOT NULL AND label IS NOT NULL) WHERE rk = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || o_custkey || '|' || feature_month), o_custkey, feature_month) AS k, count(*) OVER () AS n, sum(label) OVER () AS p FROM b WHERE split = 'train')
+SELECT o_custkey, label, source_time, feature_month, split FROM t WHERE label = 1 OR n <= 1500 OR k <= greatest(1500 - p, 0) UNION ALL SELECT o_custkey, label, source_time, feature_month, split FROM b WHERE split <> 'train'""")
+def _(t):
+    return labels.labelled_targets(t.orders, ["o_custkey"], "o_orderdate", "o_orderstatus", {"P": 1, "F": 0, "O": 0}, "o_totalprice > 500", RANGES, {"test": "o_totalprice > 1000"}, 1500).select("o_custkey", "label", "source_time", "feature_month", "split")
+
+
+@query("L02_pair_samples", KNOWN + KHOP + RANKED + """SELECT DISTINCT i.start, i."end", (p.start IS NOT NULL)::int AS label FROM instances i LEFT JOIN pairs p ON p.start = i.start AND p."end" = i."end" WHERE path IN (SELECT path FROM ranked WHERE role = 'main')""")
+def _(t):
+    found, known = khop_instances(t), known_pairs(t)
+    main = pairs.ranked_types(found, known, ENDS, main=1).where("role = 'main'")
+    return pairs.pair_samples(found, known, ENDS, main)
+
+
+# ---------------------------------------------------------------- E: evaluation
+
+
+@query("E01_roc_auc", SCORES + ", k AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored), n AS (SELECT sum(label) AS p, count(*) - sum(label) AS q FROM scored) SELECT round((sum(r) FILTER (label = 1) - max(p) * (max(p) + 1) / 2.0) / (max(p) * max(q)), 4) AS roc_auc FROM k, n")
+def _(t):
+    return rounded(evaluate.roc_auc(scored(t), "score", "label"))
+
+
+@query("E02_pr_auc", SCORES + ", g AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY 1), c AS (SELECT score, p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS tn FROM g), d AS (SELECT score, p, tp / tn AS prec, coalesce(lag(tp / tn) OVER (ORDER BY score DESC), 1.0) AS last FROM c) SELECT round(sum(p * (prec + last) / 2.0) / sum(p), 4) AS pr_auc FROM d")
+def _(t):
+    return rounded(evaluate.pr_auc(scored(t), "score", "label"))
+
+
+@query("E03_hit_rates", SCORES + ", o AS (SELECT label, row_number() OVER (ORDER BY score DESC, customer) AS r, count(*) OVER () AS n FROM scored), k AS (SELECT 'top_10' AS cut, 10::bigint AS k UNION ALL SELECT 'top_100', 100 UNION ALL SELECT 'top_5%', (SELECT floor(max(n) * 5 / 100.0)::bigint FROM o)) SELECT cut, k, coalesce(sum(label), 0)::bigint AS hits, round(coalesce(sum(label), 0) / k, 4) AS rate FROM k LEFT JOIN o ON r <= k GROUP BY 1, 2")
+def _(t):
+    return rounded(evaluate.hit_rates(scored(t), "score", "label", "customer", [10, 100], [5]))
+
+
+@query("E04_regression_errors", ", s AS (SELECT o_custkey AS customer, sum(o_totalprice) AS spend FROM orders GROUP BY 1), b AS (SELECT customer, sum(price) AS price FROM bought GROUP BY 1) SELECT round(sqrt(avg((price - spend) * (price - spend))), 2) AS rmse, round(avg(abs(price - spend)), 2) AS mae FROM s JOIN b USING (customer)")
+def _(t):
+    spend = t.orders.groupBy(F.col("o_custkey").alias("customer")).agg(F.sum("o_totalprice").alias("spend"))
+    return rounded(evaluate.regression_errors(spend.join(t.bought().groupBy("customer").agg(F.sum("price").alias("price")), "customer"), "price", "spend"), 2)
+
+
+@query("E05_accuracy", VOTE + f", truth AS (SELECT customer AS Customer_1, list_position([{', '.join(SEGMENTS)}], 1.0) - 1 AS actual FROM segments) SELECT round(avg((predicted = actual)::int), 4) AS accuracy FROM votes JOIN truth USING (Customer_1)")
+def _(t):
+    truth = t.segments().select(F.col("customer").alias("Customer_1"), (F.array_position(F.array(*SEGMENTS), 1.0) - 1).alias("actual"))
+    return rounded(evaluate.accuracy(votes(t).join(truth, "Customer_1"), "predicted", "actual"))
+
+
+@query("E06_scored_nodes")
+def _(t):
+    flagged = t.purchases().groupBy(F.col("o_custkey").alias("customer")).agg((F.count_if(F.col("l_returnflag") == "R") * 10 > F.count("*") * 4).cast("int").alias("label"))
+    rows = matrix(t).join(flagged, "customer").join(t.first_orders(), "customer", "left")
+    columns = [c for c in rows.columns if c not in ("customer", "label")]
+    parts = rows.withColumn("fold", F.substring(F.md5(F.col("customer").cast("string")), 1, 1))
+    ranked = evaluate.score_nodes(parts.where("fold < 'c'"), rows, columns, "label", "customer")
+    return rounded(evaluate.rank_nodes(ranked, "score", "customer", 1000))
