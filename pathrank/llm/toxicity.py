@@ -2,15 +2,16 @@
 
 Only documents carry labels. A document is taken for toxic if at least one of its sentences is, so the
 sentences' probabilities are combined by noisy-or: 1 - (1 - leak) * product(1 - p). The leak takes the labels
-that no sentence explains, and is left out of the score. A sentence's probability is logistic in the words
-it holds; the weights are fitted to document labels alone, and then tell which sentences offend.
+that no sentence explains. A sentence's probability is logistic in the weighted words it holds, and 0 without
+any, so that long clean documents stay clean; the weights are fitted to document labels alone, and then tell
+which sentences offend.
 
 The words with weights are those that lean significantly to either label in a bounded sample of labelled
 documents (``SAMPLE`` of them at most), counted by Spark; ``WORDS`` of them at most. The fit is numpy on that
 sample; scoring is one pass over all documents.
 
-Defined results: null and empty texts have one empty sentence; without labels, or with labels of one kind
-only, no word gets a weight and all scores are near zero; repeated rows score alike; further columns are
+Defined results: null and empty texts have no sentences and score the leak; without labels, or with labels of
+one kind only, no word gets a weight and all scores are zero; repeated rows score alike; further columns are
 kept by ``reject`` and ignored otherwise.
 """
 
@@ -36,8 +37,8 @@ LEAST_DOCS = 4
 #: Score from which a document is toxic, and from which a sentence offends.
 THRESHOLD = 0.7
 SENTENCE_THRESHOLD = 0.5
-#: Log odds of a sentence without weighted words before any evidence.
-PRIOR = -11.0
+#: Log odds of a sentence before any evidence.
+PRIOR = -6.0
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,8 +61,7 @@ class Model:
         return out
 
     def score(self, text: str) -> float:
-        rest = max(1, len(text) // 40)  # sentences without weighted words count by length
-        log_clean = -rest * np.log1p(np.exp(self.bias))
+        log_clean = float(np.log1p(-self.leak))
         if not self.weights.keys().isdisjoint(_WORD.findall(text.lower())):
             for _, _, p in self.sentences(text):
                 log_clean += np.log1p(-min(p, 1 - 1e-12))
@@ -93,13 +93,12 @@ def _leaning(labelled: DataFrame, most: int) -> list[str]:
     return [r["word"] for r in found.orderBy(F.desc("ratio"), "word").limit(most).select("word").collect()]
 
 
-def _fit(docs: list[tuple[int, int, list[list[int]]]], n_words: int, rounds: int = 400) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak by Adam on the noisy-or likelihood; docs: (label, sentences without words, word ids of the others)."""
+def _fit(docs: list[tuple[int, list[list[int]]]], n_words: int, rounds: int = 400) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak by Adam on the noisy-or likelihood; docs: (label, word ids of each sentence)."""
     y = np.array([d[0] for d in docs], float)
-    empty = np.array([d[1] for d in docs], float)
-    doc = np.array([k for k, d in enumerate(docs) for _ in d[2]], np.int64)
-    size = np.array([len(s) for d in docs for s in d[2]], np.int64)
-    word = np.array([w for d in docs for s in d[2] for w in s], np.int64)
+    doc = np.array([k for k, d in enumerate(docs) for _ in d[1]], np.int64)
+    size = np.array([len(s) for d in docs for s in d[1]], np.int64)
+    word = np.array([w for d in docs for s in d[1] for w in s], np.int64)
     sentence = np.repeat(np.arange(len(size)), size)
     theta = np.zeros(n_words + 2)
     theta[-2], theta[-1] = PRIOR, -3.0
@@ -107,18 +106,18 @@ def _fit(docs: list[tuple[int, int, list[list[int]]]], n_words: int, rounds: int
     prior = np.zeros_like(theta)
     prior[-2] = PRIOR
     strength = np.full(len(theta), 0.02)
-    strength[-2], strength[-1] = 2.0, 0.0
+    strength[-2], strength[-1] = 0.5, 0.0
     for t in range(1, rounds + 1):
         w, bias, leak = theta[:-2], theta[-2], 1 / (1 + np.exp(-theta[-1]))
         z = bias + np.bincount(sentence, w[word], len(size))
         sigma = 1 / (1 + np.exp(-z))
-        log_clean = np.log1p(-leak) - np.bincount(doc, np.logaddexp(0, z), len(y)) - empty * np.logaddexp(0, bias)
+        log_clean = np.log1p(-leak) - np.bincount(doc, np.logaddexp(0, z), len(y))
         clean = np.exp(np.minimum(log_clean, -1e-9))
         pull = np.where(y > 0, -clean / (1 - clean), 1.0)  # by which each sentence's probability acts on the loss
         dz = sigma * pull[doc] if len(doc) else np.zeros(0)
         grad = np.empty_like(theta)
         grad[:-2] = np.bincount(word, dz[sentence], n_words)
-        grad[-2] = dz.sum() + (pull * empty).sum() / (1 + np.exp(-bias))
+        grad[-2] = dz.sum()
         grad[-1] = leak * pull.sum()
         grad += strength * (theta - prior)
         first = 0.9 * first + 0.1 * grad
@@ -139,17 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, words: int = WOR
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                held, n = [], 0
+                held = []
                 for m in _SENTENCE.finditer(text):
                     known = sorted({place[w] for w in _WORD.findall(m[0].lower()) if w in place})
-                    n += not known
                     if known:
                         held.append(known)
-                rows.append((n, held))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([n for n, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.list_(pa.list_(pa.int32())))], names=["y", "n", "held"])
+                rows.append(held)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["y", "held"])
 
-    rows = labelled.select("y", "text").mapInArrow(reduce, "y int, n int, held array<array<int>>").toArrow()
-    docs_in = list(zip(rows.column("y").to_pylist(), rows.column("n").to_pylist(), rows.column("held").to_pylist(), strict=True))
+    rows = labelled.select("y", "text").mapInArrow(reduce, "y int, held array<array<int>>").toArrow()
+    docs_in = list(zip(rows.column("y").to_pylist(), rows.column("held").to_pylist(), strict=True))
     w, bias, leak = _fit(sorted(docs_in), len(vocabulary))
     return Model({v: round(float(x), 6) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-3}, bias, leak)
 
