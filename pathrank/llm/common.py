@@ -136,14 +136,16 @@ class Words:
     def __init__(self, texts: list[bytes], separators: np.ndarray, seeds: int = 1) -> None:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.bases = np.concatenate(([0], np.cumsum(self.lengths + 1)[:-1]))
+        self.bases = np.cumsum(self.lengths + 1) - self.lengths - 1
         gap = separators[data]
-        gap[np.cumsum(self.lengths + 1) - 1] = True
+        gap[self.bases + self.lengths] = True
+        if not texts:
+            gap[:] = True
         edge = np.flatnonzero(np.diff(gap, prepend=True))
         self.begin, self.end = edge[::2], edge[1::2]
         self.doc = np.searchsorted(self.bases, self.begin, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.counts)[:-1]))
+        self.first = np.cumsum(self.counts) - self.counts
         self.hashes = [self._hash(data, gap, which) for which in range(seeds)]
         self.data = data
 
