@@ -26,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of SimHash neighbours."""
+    """Keeps the document of the smallest id of each group of near copies that SimHash finds."""
     return simhash.deduplicate(docs)
 
 

@@ -10,6 +10,10 @@ verified by counting the differing bits.
 
 Equal fingerprints are joined as one. Links go through connected components.
 
+Three bits of 64 find but a quarter of the pairs whose sets of five-word shingles are alike by 0.8 or more.
+``near_copies``, which the pipeline uses, therefore takes several fingerprints of each distinct text, from
+differently mixed hashes; what any of them links is compared by the shingle sets themselves.
+
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; repeated rows are repeated in the result; an empty table gives
 no rows; further columns are ignored by ``groups``.
@@ -24,44 +28,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import cut
+from pathrank.llm.common import cut, mix, text_key
 from pathrank.llm.components import components
 
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 3
+#: Of near copies: fingerprints of a text, words of a shingle and least likeness.
+PRINTS = 6
+WORDS = 5
+THRESHOLD = 0.8
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes."""
-    import xxhash
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
+
+def shingles(text: bytes, size: int) -> list[bytes]:
+    """A text's runs of ``size`` words, or all its words if they are fewer; none of a blank text."""
     words = text.lower().split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+        return []
+    joined, n = b" ".join(words), max(1, len(words) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begin, end = ([0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist())
+    return [joined[a:b] for a, b in zip(begin, end, strict=True)]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    places = hashes.view(np.uint8).reshape(n, 8) + np.arange(0, 2048, 256)
+    counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int(np.packbits((counts * 2 > n).ravel(), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """Bit i is set if it is set in over half of the shingles' hashes; further prints mix the hashes anew."""
+    import xxhash
+
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    half = bits.sum(axis=0, dtype=np.int64) * 2 > n
-    return int(np.packbits(half, bitorder="little").view("<u8")[0])
+    hashes = np.array([digest(s, SEED) for s in shingles(text, shingle)], "<u8")
+    if not len(hashes):
+        return [0] * prints
+    return [_majority(hashes if m == 0 else mix(hashes + np.uint64(m * 0x9E3779B97F4A7C15 % (1 << 64)))) for m in range(prints)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (a signed 64-bit number) of each document."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """doc_id and fps, its fingerprints (signed 64-bit numbers), of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist())
-            values = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.array([fingerprint(t, shingle, prints) for t in texts], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(values), pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fps array<long>")
 
 
 class Golay:
@@ -97,40 +120,41 @@ class Golay:
 
 
 def golay_keys(distinct: DataFrame) -> DataFrame:
-    """(key, own_first, fp): the keys of each fingerprint; one with own_first meets one without."""
+    """(key, own_first, fp): the keys of each fingerprint of print m; one with own_first meets one without."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         for batch in batches:
             for low in range(0, batch.num_rows, 20_000):
-                fp = batch.slice(low, 20_000).column("fp").to_numpy()
+                part = batch.slice(low, 20_000)
+                m, fp = part.column("m").to_numpy(), part.column("fp").to_numpy()
                 segments = [(fp.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1) for at, width in SEGMENTS]
                 own = [golay.decode(s) for s in segments]
                 near = [golay.nearby(s, width) for s, (_, width) in zip(segments, SEGMENTS, strict=True)]
                 for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
                     for own_first in (True, False):
                         row, code = near[j if own_first else i]
-                        key = tag << 24 | (own[i][row] << 12 | code if own_first else code << 12 | own[j][row])
+                        key = (m[row].astype(np.int64) << 26 | tag << 24) | (own[i][row] << 12 | code if own_first else code << 12 | own[j][row])
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(row), own_first)), pa.array(fp[row])], names=["key", "own_first", "fp"])
 
-    return distinct.select("fp").mapInArrow(scan, "key long, own_first boolean, fp long")
+    return distinct.select("m", "fp").mapInArrow(scan, "key long, own_first boolean, fp long")
 
 
 def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (x, y), x < y, of distinct fingerprints that differ in ``most_bits`` (three at most) or fewer."""
+    """(m, x, y), x < y: distinct fingerprints (m, fp) of one print that differ in ``most_bits`` (three at most) or fewer."""
     if most_bits > MOST_BITS:
         raise ValueError(f"keys of two segments find {MOST_BITS} differing bits at most")
     keys = golay_keys(distinct)
     left = keys.where("own_first").select("key", F.col("fp").alias("x"))
     right = keys.where("not own_first").select("key", F.col("fp").alias("y"))
-    return left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits)).select("x", "y").distinct()
+    return left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits)).select(F.shiftright("key", 26).cast("int").alias("m"), "x", "y").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that can be reached over links."""
-    found = cut(fingerprints(docs, shingle))
+    found = cut(fingerprints(docs, shingle).select("doc_id", F.col("fps")[0].alias("fp")))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs = links(distinct, most_bits)
+    pairs = links(distinct.withColumn("m", F.lit(0)), most_bits)
     a = distinct.select(F.col("fp").alias("x"), F.col("least").alias("a"))
     b = distinct.select(F.col("fp").alias("y"), F.col("least").alias("b"))
     rooted = components(pairs.join(a, "x").join(b, "y").select("a", "b"))
@@ -138,7 +162,48 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS)
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """``docs``, all columns, without those that are not the first of their group."""
-    first = groups(docs, shingle, most_bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and the sorted set of hashes of its runs of ``words`` words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            texts = (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist())
+            sets = [np.unique(np.array([digest(s, SEED) for s in shingles(t, words)], np.uint64)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, set array<long>")
+
+
+def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) for each document that is no group's first: root is the smallest id of its group.
+
+    Groups are linked by equal texts and by sets of ``words``-word shingles of a likeness of ``threshold`` or more,
+    where one of the fingerprints makes two texts candidates.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", "text", text_key(F.coalesce("text", F.lit(""))).alias("key"))
+    keys = texts.select("doc_id", "key")
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("least"))
+    copies = keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    one = cut(least.select(F.col("least").alias("doc_id")))
+    found = cut(fingerprints(docs, SHINGLE, prints).join(one, "doc_id", "left_semi").select("doc_id", F.posexplode("fps").alias("m", "fp")))
+    distinct = cut(found.groupBy("m", "fp").agg(F.min("doc_id").alias("least")))
+    same = found.join(distinct, ["m", "fp"]).where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    x = distinct.select("m", F.col("fp").alias("x"), F.col("least").alias("a"))
+    y = distinct.select("m", F.col("fp").alias("y"), F.col("least").alias("b"))
+    near = links(distinct).join(x, ["m", "x"]).join(y, ["m", "y"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    candidates = cut(same.union(near).where("a <> b").distinct())
+    ends = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
+    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words))
+    compared = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = compared.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return components(alike.union(copies))
+
+
+def deduplicate(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without those that are not the first of their group of near copies."""
+    later = near_copies(docs.select("doc_id", "text"), prints, words, threshold).select(F.col("node").alias("doc_id"))
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

@@ -261,13 +261,20 @@ def test_simhash(spark, docs, rows, nothing):
                 if (prints[a] ^ prints[b]).bit_count() <= 3 and least[a] > least[b]:
                     least[a], changed = least[b], True
     assert {i: r.component_id for i, r in found.items()} == least
-    assert {r.doc_id for r in deduplicate(docs).collect()} == set(least.values())
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := WORDS.findall(lowered(t))) else frozenset() for i, t in rows}
+    kept = {r.doc_id for r in deduplicate(docs).collect()}
+    same = {}
+    for i, t in sorted(rows):
+        same.setdefault(t or "", i)
+    assert all(i not in kept for i, t in rows if same[t or ""] != i)
+    alone = [i for i in sets if all(i == j or len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for j in sets)]
+    assert set(alone) <= kept and len(kept) < len(same)
     assert groups(nothing).count() == deduplicate(nothing).count() == 0
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(60)]
     values = sorted({v ^ sum(1 << b for b in rng.sample(range(64), k)) for v in base for k in (0, 1, 2, 3, 4, 5)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {tuple(r) for r in links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    got = {(r.x, r.y) for r in links(spark.createDataFrame([(3, v) for v in signed], "m int, fp long")).collect()}
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
 
 
