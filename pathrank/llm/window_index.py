@@ -11,6 +11,8 @@ Candidates are verified over the texts: the windows that they stand for are comp
 all their words, and a window is removed if its digest also occurs in a document with a smaller id. (Two
 different windows of candidate anchors are taken for equal with a chance of 2^-64 a pair.)
 
+Exact copies of an earlier document lose all their windows at once, so only the first of each text is verified.
+
 Batches must come in the order of their ids. Hot anchors are aggregated before each shuffle; the joins that
 carry a row for each document and anchor are ordinary ones, which Spark splits where they are skewed.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import SPACES, Words, chunks, cut, leftmost_minima, rolling, shared_folder
+from pathrank.llm.common import SPACES, Words, chunks, cut, leftmost_minima, rolling, shared_folder, text_key
 
 WINDOW = 13
 #: Words whose hash an anchor is.
@@ -101,7 +103,7 @@ class FingerprintIndex:
         shared = found.where("old is not null or n > 1")
         candidates = own.join(shared.select("h"), "h").select("doc_id", "h").union(shared.where("old is not null").select(F.col("old").alias("doc_id"), "h"))
         kept = f"{self.folder}/candidates-{self.made}"
-        candidates.write.parquet(kept)
+        candidates.write.option("compression", "zstd").parquet(kept)
         self._write(found.where("old is null").select("h", "first"), 0)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(stored)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -147,7 +149,10 @@ def _windows(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, starts): for each document that has any, the first words of its windows to remove."""
+    """(doc_id, starts, copy): for each document that has any, the first words of its windows to remove.
+
+    A copy of an earlier document loses all its windows; they are not listed.
+    """
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window)
     edges = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
@@ -160,18 +165,24 @@ def removals(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> D
         new = index.add(part)
         candidates = new if candidates is None else candidates.unionByName(new)
     index.close()
-    rows = _windows(docs, candidates, window)
+    keys = docs.where("doc_id is not null and text is not null").select("doc_id", text_key(F.col("text")).alias("key"))
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("least"))
+    copies = cut(keys.join(least, "key").where("doc_id > least").select("doc_id").distinct())
+    rows = _windows(docs, candidates.join(copies, "doc_id", "left_anti"), window)
     first = rows.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("d", "first")
-    return rows.join(first, "d").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("word").alias("starts"))
+    found = rows.join(first, "d").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("word").alias("starts"))
+    return found.select("doc_id", "starts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
 
 
 def _kept(part: list[tuple], window: int) -> Iterator[tuple[int, np.ndarray, Words, int]]:
-    """For each (starts, text): number of words, flags of removed words, the words' arrays and the text's index."""
+    """For each (starts, copy, text): number of words, flags of removed words, the words' arrays and the text's index."""
     words = Words([t for *_, t in part], SPACES)
-    for k, (*_, starts, _) in enumerate(part):
+    for k, (*_, starts, copy, _) in enumerate(part):
         n = int(words.counts[k])
         gone = np.zeros(n + 1, np.int64)
-        if starts is not None:
+        if copy and n >= window:
+            gone[0] = 1
+        elif starts is not None:
             np.add.at(gone, starts, 1)
             np.add.at(gone, np.minimum(starts + window, n), -1)
         yield n, np.cumsum(gone)[:-1] > 0, words, k
@@ -190,16 +201,16 @@ def digest(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Dat
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             starts = (s.values.to_numpy() if s.is_valid else None for s in batch.column("starts"))
-            rows = zip(batch.column("doc_id").to_pylist(), starts, (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)
+            rows = zip(batch.column("doc_id").to_pylist(), starts, batch.column("copy").to_pylist(), (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)
             for part in chunks(rows):
                 out = []
-                for (doc, _, text), (n, gone, words, k) in zip(part, _kept(part, window), strict=True):
+                for (doc, *_, text), (n, gone, words, k) in zip(part, _kept(part, window), strict=True):
                     kept = b" ".join(_pieces(words, k, gone, text)) if gone.any() else b" ".join(text.split())
                     out.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    joined = docs.join(removals(docs, window, batches), "doc_id", "left").select("doc_id", "starts", "text")
+    joined = docs.join(removals(docs, window, batches), "doc_id", "left").select("doc_id", "starts", "copy", "text")
     return joined.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -210,18 +221,18 @@ def clean(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Data
         for batch in stream:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             starts = [s.values.to_numpy() if s.is_valid else None for s in batch.column("_starts")]
-            for j, (s, t) in enumerate(zip(starts, texts, strict=True)):
-                if s is None or not t:
+            for j, (s, copy, t) in enumerate(zip(starts, batch.column("_copy").to_pylist(), texts, strict=True)):
+                if (s is None and not copy) or not t:
                     continue
-                ((_, gone, words, _),) = _kept([(s, t)], window)
+                ((_, gone, words, _),) = _kept([(s, copy, t)], window)
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                 held, at = [], 0
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     held.append(t[at : words.begin[a]])
                     at = words.begin[b] if b < len(gone) else len(t)
                 texts[j] = b"".join([*held, t[at:]])
-            out = batch.drop_columns(["_starts"])
+            out = batch.drop_columns(["_starts", "_copy"])
             yield out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
-    found = removals(docs.select("doc_id", "text"), window, batches).withColumnRenamed("starts", "_starts")
-    return docs.join(found, "doc_id", "left").select(*docs.columns, "_starts").mapInArrow(scan, docs.schema)
+    found = removals(docs.select("doc_id", "text"), window, batches).withColumnsRenamed({"starts": "_starts", "copy": "_copy"})
+    return docs.join(found, "doc_id", "left").select(*docs.columns, "_starts", "_copy").mapInArrow(scan, docs.schema)
