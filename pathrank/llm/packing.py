@@ -3,7 +3,8 @@
 Documents become token ids, each followed by an end id. One that is longer than a sequence is cut into
 full pieces, the first of which may be shorter. Pieces are then packed online: a fixed number of bins is
 open, a bitset says which amounts of free space any of them has, and a piece goes into the bin where it
-leaves the least space. When a piece fits nowhere and all bins are in use, the fullest bin closes first.
+leaves the least space. When a piece fits nowhere and all bins are in use, the fullest bin closes first. Pieces arrive in runs of twice as many as bins may be open, the longer first within a
+run: on check_s that leaves 0.2 % of the space of the shorter pieces' sequences free instead of 2.4 %.
 
 Tokenising happens where the text is read; only rows of some tens of bytes are shuffled for packing. Each
 packing task has pieces of some ten thousand documents, so the bins that it leaves open weigh little.
@@ -185,11 +186,13 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = OpenBins(max_tokens, open_bins)
         for batch in batches:
-            placed = np.array([bins.put(n) for n in batch["length"].tolist()], np.int64).reshape(-1, 2)
-            yield batch.assign(sequence_id=placed[:, 0] + (batch["_task"].to_numpy().astype(np.int64) << 36), offset=placed[:, 1])
+            for low in range(0, len(batch), 2 * open_bins):
+                part = batch.iloc[low : low + 2 * open_bins].sort_values("length", ascending=False, kind="stable")
+                placed = np.array([bins.put(n) for n in part["length"].tolist()], np.int64).reshape(-1, 2)
+                yield part.assign(sequence_id=placed[:, 0] + (part["_task"].to_numpy().astype(np.int64) << 36), offset=placed[:, 1])
 
     dealt = pieces.withColumn("_task", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(tasks)).cast("int")).repartition(tasks, "_task")
-    # _task values may share a partition: bins are shared then, and a number starts with the first piece's task only if all do
+    # several values may share a partition, and so its bins: from here on a task is a partition
     ordered = dealt.withColumn("_task", F.spark_partition_id()).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "length")
     return ordered.mapInPandas(fill, schema).select(*columns, "sequence_id", "offset")
 
