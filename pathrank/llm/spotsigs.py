@@ -36,7 +36,8 @@ _MARK = "\x01"
 def signatures(text: Column) -> Column:
     """The sorted set of a text's spot signatures, as 64-bit numbers."""
     words = F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, f"(?:(?<![^ ])(?:{'|'.join(sorted(set(ANCHORS)))}) )+", _MARK)
+    # a repeated group would take a stack frame for each common word of a run
+    marked = F.regexp_replace(F.regexp_replace(words, f"(?<![^ ])(?:{'|'.join(sorted(set(ANCHORS)))}) ", _MARK), f"{_MARK}+", _MARK)
     chains = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?=([^ {_MARK}]+ {_MARK}?[^ {_MARK}]+ ))"), F.lit(1))
     head = F.concat(F.lit("^"), F.substring_index(words, " ", 2))
     return F.array_sort(F.array_distinct(F.transform(F.array_append(chains, head), lambda c: F.xxhash64(c))))

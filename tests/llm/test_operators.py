@@ -183,6 +183,7 @@ def test_spot_signatures(spark, docs, rows, nothing):
                 want[a, b] = round(j, 9)
     assert want
     assert {(r.a, r.b): round(r.likeness, 9) for r in similar(docs).collect()} == want
+    assert spark.range(1).select(F.size(signatures(F.repeat(F.lit("the of "), 200_000)))).first()[0] == 1
     one = spark.range(1).select(signatures(F.lit("the cat of sat on a mat")).alias("s")).select(fingerprint(F.col("s")).alias("f"), likeness(F.col("s"), F.col("s")).alias("j")).first()
     assert len(one.f) % 16 == 0 and one.j == 1.0
 
