@@ -7,6 +7,7 @@ routines that turn a batch of texts into arrays of words and rolling hashes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy batch holds: temporary arrays take some 8 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -35,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
@@ -126,6 +134,13 @@ def rolling(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * down[:n])
 
 
+def stretches(values: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the runs from each ``first`` to before its ``last``, of any lengths."""
+    up, down = _POWERS[which].upto(len(values) + 1)
+    sums = np.concatenate(([_U64(0)], np.cumsum(values * up[: len(values)], dtype=_U64)))
+    return mix((sums[last] - sums[first]) * down[first] + mix((last - first).astype(_U64)))
+
+
 def byte_values(data: np.ndarray, which: int = 0) -> np.ndarray:
     return _BYTES[which][data]
 
@@ -170,15 +185,15 @@ PUNCTUATION = separators(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For every run of ``width`` successive values, the index of the leftmost smallest one."""
+    """For every run of ``width`` successive values, the index of the leftmost smallest one (by 32 of its bits)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    best = np.arange(len(values), dtype=np.int32)
+    # the upper half of a value before its place: the smallest of these is the leftmost of the smallest
+    best = (values & _U64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=_U64)
     span = 1
     while span < width:
         step = min(span, width - span)
-        a, b = best[: len(best) - step], best[step:]
-        best = np.where(values[b] < values[a], b, a)
+        best = np.minimum(best[: len(best) - step], best[step:])
         span += step
-    return best[:n].astype(np.int64)
+    return (best[:n] & _U64(0xFFFFFFFF)).astype(np.int64)

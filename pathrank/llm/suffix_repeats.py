@@ -23,14 +23,14 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import byte_values, chunks, leftmost_minima, mix, rolling
+from pathrank.llm.common import byte_values, chunks, leftmost_minima, rolling, stored, stretches
 
 LEAST = 100
 ANCHOR = 24
@@ -54,15 +54,7 @@ def _segments(texts: list[bytes], least: int, which: int = 0) -> tuple[np.ndarra
     new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1))))
     first, last = start[new], start[np.concatenate((new[1:] - 1, [len(start) - 1]))] + least
     own, anchor = doc[first], grams[place[new]]
-    # the hash of a whole segment: its bytes weighted by their place, by sums over all bytes
-    values = mix(byte_values(data, 1))
-    weights = np.cumprod(np.full(2 * least, 0xD6E8FEB86659FD93 | 1, np.uint64), dtype=np.uint64)
-    length = last - first
-    total = np.zeros(len(first), np.uint64)
-    for k in range(int(length.max())):
-        inside = np.flatnonzero(length > k)
-        total[inside] += values[first[inside] + k] * weights[k]
-    return own, anchor.view(np.int64), first - base[own], last - base[own], mix(total ^ length.astype(np.uint64)).view(np.int64)
+    return own, anchor.view(np.int64), first - base[own], last - base[own], stretches(byte_values(data, 1), first, last, 1).view(np.int64)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -120,8 +112,8 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 ids = np.array([i for i, _, _ in part], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(ids[doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)], names=["h", "s", "doc_id", "first", "last", "again"])
 
-    # left joins keep the shuffled texts the same in all three uses, so that they are shuffled once
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("doc_id", "anchors", "text").mapInArrow(scan, "h long, s long, doc_id long, first int, last int, again boolean")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("doc_id", "anchors", "text").mapInArrow(scan, "h long, s long, doc_id long, first int, last int, again boolean")
+    return stored(found)
 
 
 def suffix_array(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +126,13 @@ def suffix_array(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         after = np.zeros(n, np.int64)
         after[: n - span] = rank[span:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         held = key[order]
         new = np.empty(n, np.int32)
         new[order] = np.cumsum(np.concatenate(([0], held[1:] != held[:-1])))
         levels.append(new)
         span *= 2
-    order = np.argsort(levels[-1], kind="stable")
+    order = np.argsort(levels[-1])  # all differ: each segment ends in a number of its own
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n - 1, np.int64)
     for k in range(len(levels) - 1, -1, -1):
@@ -152,11 +144,27 @@ def suffix_array(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _with_repeats(segments: list[bytes], least: int) -> list[int]:
+    """The segments that hold a string of ``least`` bytes which stands elsewhere too, by its hash; no other has repeats."""
+    size = np.fromiter(map(len, segments), np.int64, len(segments))
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    owner = np.repeat(np.arange(len(segments)), size)
+    hashes = rolling(byte_values(data), least)
+    inside = np.flatnonzero(owner[: len(hashes)] == owner[least - 1 :][: len(hashes)])
+    order = inside[np.argsort(hashes[inside])]
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    return np.unique(np.concatenate((owner[order[same]], owner[order[same + 1]]))).tolist()
+
+
 def maximal_repeats(segments: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(length, [(segment, start)]) of the maximal repeats of ``least`` bytes or more, with all occurrences.
 
     The beginning of a segment differs from every other byte before it, as what precedes it is not known.
     """
+    chosen = _with_repeats(segments, least)
+    if len(chosen) < 2:
+        return
+    segments = [segments[k] for k in chosen]
     size = np.fromiter(map(len, segments), np.int64, len(segments))
     data = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64)
     end = np.cumsum(size)
@@ -180,7 +188,7 @@ def maximal_repeats(segments: list[bytes], least: int) -> Iterator[tuple[int, li
                 found, begins, own = stack.pop()
                 own = own | kinds
                 if len(own) > 1:
-                    yield found, [(who[r], place[r] - starts[who[r]]) for r in range(begins, row + 1)]
+                    yield found, [(chosen[who[r]], place[r] - starts[who[r]]) for r in range(begins, row + 1)]
                 kinds = own if len(own) < 3 else set(list(own)[:2])
             if length and stack and stack[-1][0] == length:
                 stack[-1][2] = set(list(stack[-1][2] | kinds)[:2])
@@ -198,11 +206,8 @@ def _runs(rows: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(rows[np.concatenate(([0], breaks))].tolist(), (rows[np.concatenate((breaks - 1, [len(rows) - 1]))] + 1).tolist(), strict=True)
 
 
-def repeats(docs: DataFrame, found: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h, repeat, length, doc_id, first, head): the maximal repeats among the distinct segments, an occurrence a row.
-
-    h and repeat name a repeat; head tells its first occurrence.
-    """
+def _arrays(docs: DataFrame, found: DataFrame, report, schema: str) -> DataFrame:
+    """What ``report`` (segments as (h, doc_id, first, bytes) to a batch of ``schema``) gives for each suffix array."""
     firsts = found.groupBy("h", "s").agg(F.min("doc_id").alias("least"))
     distinct = found.where("not again").join(firsts, ["h", "s"]).where("doc_id = least").select("h", "doc_id", "first", "last")
     several = firsts.groupBy("h").count().where("count > 1").select("h")
@@ -219,30 +224,54 @@ def repeats(docs: DataFrame, found: DataFrame, least: int = LEAST) -> DataFrame:
                 )
 
     cut_out = docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "held", "text").mapInArrow(slices, "h long, doc_id long, first int, segment binary")
-    names = ["h", "repeat", "length", "doc_id", "first", "head"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(group: list[tuple]) -> pa.RecordBatch:
-            out: list[tuple] = []
-            for k, (length, places) in enumerate(maximal_repeats([g[3] for g in group], least)):
-                found = sorted((group[segment][1], group[segment][2] + at) for segment, at in places)
-                h = group[places[0][0]][0]
-                out += [(h, k, length, doc, first, (doc, first) == found[0]) for doc, first in found]
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], t) for c, t in enumerate(types)], names=names)
-
         group, held = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "first", "segment")), strict=True):
                 if held >= ARRAY_BYTES and row[0] != group[-1][0]:
-                    yield done(group)
+                    yield report(group)
                     group, held = [], 0
                 group.append(row)
                 held += len(row[3])
         if group:
-            yield done(group)
+            yield report(group)
+
+    return cut_out.repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "first").mapInArrow(scan, schema)
+
+
+def _occurrences(group: list[tuple], least: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(h, length, sorted [(doc_id, start)]) of each maximal repeat of some segments."""
+    for length, places in maximal_repeats([g[3] for g in group], least):
+        yield group[places[0][0]][0], length, sorted((group[segment][1], group[segment][2] + at) for segment, at in places)
+
+
+def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(h, repeat, length, doc_id, first, head): the maximal repeats among the distinct segments, an occurrence a row.
+
+    h and repeat name a repeat; head tells its first occurrence. ``occurrences`` tells where segments stand again.
+    """
+
+    def report(group: list[tuple]) -> pa.RecordBatch:
+        out = [(h, k, length, doc, first, (doc, first) == found[0]) for k, (h, length, found) in enumerate(_occurrences(group, least)) for doc, first in found]
+        types = {"h": pa.int64(), "repeat": pa.int32(), "length": pa.int32(), "doc_id": pa.int64(), "first": pa.int32(), "head": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], t) for c, t in enumerate(types.values())], names=list(types))
+
+    return _arrays(docs, occurrences(docs, least), report, "h long, repeat int, length int, doc_id long, first int, head boolean")
+
+
+def later(docs: DataFrame, found: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, first, last): what the repeats' occurrences but the first cover, joined within each suffix array."""
+
+    def report(group: list[tuple]) -> pa.RecordBatch:
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for _, length, places in _occurrences(group, least):
+            for doc, first in places[1:]:
+                spans.setdefault(doc, []).append((first, first + length))
+        out = [(doc, a, b) for doc, own in spans.items() for a, b in merged(own)]
+        return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "first", "last"])
 
-    return cut_out.repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "first").mapInArrow(scan, "h long, repeat int, length int, doc_id long, first int, head boolean")
+    return _arrays(docs, found, report, "doc_id long, first int, last int")
 
 
 def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -250,9 +279,7 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = occurrences(docs, least)
     firsts = found.groupBy("h", "s").agg(F.min("doc_id").alias("least"))
     folded = found.join(firsts, ["h", "s"]).where("again or doc_id > least").select("doc_id", "first", "last")
-    listed = repeats(docs, found, least)
-    later = listed.where("not head").select("doc_id", "first", (F.col("first") + F.col("length")).alias("last"))
-    return folded.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return folded.unionByName(later(docs, found, least)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -263,7 +290,7 @@ def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
             out = []
             for doc, spans, text in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 text, held, at, gone, n = text or b"", [], 0, 0, 0
-                for a, b in merged(spans or []):
+                for a, b in merged((s["first"], s["last"]) for s in spans or []):
                     held.append(text[at:a])
                     at, gone, n = b, gone + b - a, n + 1
                 out.append((doc, len(text), gone, n, hashlib.sha256(b"".join([*held, text[at:]])).hexdigest()))
@@ -273,9 +300,9 @@ def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.join(removals(docs, least), "doc_id", "left").select("doc_id", "spans", "text").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted((s["first"], s["last"]) for s in spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
