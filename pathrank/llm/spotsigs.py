@@ -59,12 +59,15 @@ def edited(docs: DataFrame) -> DataFrame:
     The last third of a text is replaced by the beginning of the next document, in descending order of ids.
     Texts are shuffled once, by id; of the next document only the needed beginning and its signatures move.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = every.where("doc_id is not null")  # in both joins the same rows, which Spark then shuffles once
     order = followers(docs)
     lengths = docs.select("doc_id", F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).cast("int").alias("third"))
     wanted = order.join(lengths, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "third")
-    after = texts.join(wanted, "doc_id", "left").where("`to` is not null").select(F.col("to").alias("doc_id"), F.expr("left(text, third)").alias("beginning"), signatures(F.col("text")).alias("next_signatures"))
+    after = texts.join(wanted, "doc_id").select(F.col("to").alias("doc_id"), F.expr("left(text, third)").alias("beginning"), signatures(F.col("text")).alias("next_signatures"))
     joined = texts.join(after, "doc_id", "left")
+    alone = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("beginning"), F.lit(None).cast("array<bigint>").alias("next_signatures"))
+    joined = joined.unionByName(alone)
     n = F.length("text")
     new = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 3) as int))"), F.coalesce("beginning", F.lit("")))
     return joined.select("doc_id", n.cast("long").alias("n_chars"), new.alias("edited"), signatures(F.col("text")).alias("signatures"), F.coalesce("next_signatures", F.array().cast("array<bigint>")).alias("next_signatures")).withColumn("edited_signatures", signatures(F.col("edited")))
