@@ -12,7 +12,11 @@ Equal fingerprints are joined as one. Links go through connected components.
 
 Three bits of 64 find but a quarter of the pairs whose sets of five-word shingles are alike by 0.8 or more.
 ``near_copies``, which the pipeline uses, therefore takes several fingerprints of each distinct text, from
-differently mixed hashes; what any of them links is compared by the shingle sets themselves.
+differently mixed hashes; what any of them links is compared by the shingle sets themselves. The rest comes
+from an exact join: two sets that are alike share one of their rarest shingles (a prefix of each set in one
+order of all shingles). Of texts in different groups yet that share one, each is first compared with one least
+text; then all pairs that are still in different groups and share enough of their prefixes. Groups are thus
+those of all pairs, while the texts of a large group are not compared with each other again.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; repeated rows are repeated in the result; an empty table gives
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import cut, mix, text_key
+from pathrank.llm.common import SPACES, Words, chunks, cut, mix, rolling, stretches, text_key
 from pathrank.llm.components import components
 
 SHINGLE = 3
@@ -38,6 +42,9 @@ MOST_BITS = 3
 PRINTS = 6
 WORDS = 5
 THRESHOLD = 0.8
+#: A shingle of so many texts of one slice or more counts as common, and so many of all are told apart; both only order shingles.
+COMMON = 3
+MOST_COMMON = 200_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
@@ -162,26 +169,93 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS)
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text's index, hash), in order: the set of each text's runs of ``size`` words, as in ``shingles``; a blank text has 0."""
+    words = Words([t.lower() for t in texts], SPACES)
+    hashes = rolling(words.hashes[0], size)
+    inside = np.flatnonzero(words.doc[: len(hashes)] == words.doc[size - 1 :][: len(hashes)])
+    short = np.flatnonzero((words.counts > 0) & (words.counts < size))
+    blank = np.flatnonzero(words.counts == 0)
+    owner = np.concatenate((words.doc[inside], short, blank))
+    value = np.concatenate((hashes[inside], stretches(words.hashes[0], words.first[short], words.first[short] + words.counts[short]), np.zeros(len(blank), np.uint64)))
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order].view(np.int64)
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))[: len(owner)]
+    return owner[new], value[new]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    for batch in batches:
+        for part in chunks(zip(batch.column("doc_id").to_pylist(), (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)):
+            yield [i for i, _ in part], [t for _, t in part]
+
+
+def _listed(ids: list[int], owner: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    n = np.bincount(owner, minlength=len(ids))
+    return pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(values)), n
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and the sorted set of hashes of its runs of ``words`` words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for ids, texts in _parts(batches):
+            yield pa.RecordBatch.from_arrays(list(_listed(ids, *_sets(texts, words))[:2]), names=["doc_id", "set"])
 
-        digest = xxhash.xxh64_intdigest
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, set array<long>")
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, that many texts have, and about how many have them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist())
-            sets = [np.unique(np.array([digest(s, SEED) for s in shingles(t, words)], np.uint64)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+            held = [_sets(texts, words)[1] for _, texts in _parts([batch])]
+            shingle, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[n >= COMMON]), pa.array(n[n >= COMMON].astype(np.int64))], names=["shingle", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, set array<long>")
+    counted = docs.select("doc_id", "text").mapInArrow(scan, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    shingle, n = found.column("shingle").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """doc_id, n, the size of its shingle set, and so many of its rarest shingles that an alike set shares one of its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = shared.value
+        for ids, texts in _parts(batches):
+            owner, value = _sets(texts, words)
+            weight = np.zeros(len(value), np.int64)
+            if len(common):
+                place = np.minimum(np.searchsorted(common, value), len(common) - 1)
+                weight = np.where(common[place] == value, count[place], 0)
+            order = np.lexsort((value, weight, owner))  # by text; in it the rarest first, in one order of all shingles
+            n = np.bincount(owner, minlength=len(ids))
+            rank = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+            kept = rank < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[owner]
+            doc, prefix, _ = _listed(ids, owner[kept], value[order][kept])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(n.astype(np.int32)), prefix], names=["doc_id", "n", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n int, prefix array<long>")
+
+
+def _alike(docs: DataFrame, candidates: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets are alike."""
+    ends = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
+    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words))
+    compared = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return compared.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) for each document that is no group's first: root is the smallest id of its group.
 
-    Groups are linked by equal texts and by sets of ``words``-word shingles of a likeness of ``threshold`` or more,
-    where one of the fingerprints makes two texts candidates.
+    Groups are linked by equal texts and by sets of ``words``-word shingles of a likeness of ``threshold`` or more.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text", text_key(F.coalesce("text", F.lit(""))).alias("key"))
     keys = texts.select("doc_id", "key")
@@ -195,12 +269,35 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     y = distinct.select("m", F.col("fp").alias("y"), F.col("least").alias("b"))
     near = links(distinct).join(x, ["m", "x"]).join(y, ["m", "y"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     candidates = cut(same.union(near).where("a <> b").distinct())
-    ends = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
-    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words))
-    compared = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = compared.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    return components(alike.union(copies))
+    grouped = cut(components(_alike(docs, candidates, words, threshold).union(copies)))
+
+    def mixed(held: DataFrame) -> DataFrame:
+        """The rows (key, doc_id, n, root) of shingles whose texts are in several groups, with the least text and its group."""
+        by_key = Window.partitionBy("key")
+        least = F.min(F.struct("doc_id", "root", "n")).over(by_key)
+        return cut(held.select("key", "doc_id", "n", "root", least.alias("least"), F.min("root").over(by_key).alias("low"), F.max("root").over(by_key).alias("high")).where("low < high").drop("low", "high"))
+
+    def placed(held: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+        return held.join(roots, held["doc_id"] == roots["node"], "left").select("doc_id", "n", *columns, F.coalesce("root", "doc_id").alias("root"))
+
+    rare = placed(prefixes(docs, words, threshold).join(one, "doc_id", "left_semi"), grouped, "prefix")
+    rare = mixed(rare.select("doc_id", "n", "root", F.explode("prefix").alias("key")))
+    # a text of another group is compared with the least text of most of its shingles, which joins large groups
+    fits = lambda x, y: (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9)
+    first = rare.where((F.col("root") != F.col("least.root")) & fits(F.col("n"), F.col("least.n"))).groupBy(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).count()
+    first = cut(first.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")).join(candidates, ["a", "b"], "left_anti"))
+    edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    grouped = cut(components(_alike(docs, first, words, threshold).union(edges)))
+    # then with all others of other groups: beyond their prefixes two sets share no more than what is left of one
+    rare = mixed(placed(rare.drop("root"), grouped, "key"))
+    a = rare.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = rare.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = a.join(b, "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"))).groupBy("a", "b", "na", "nb").count()
+    most = F.col("count") + F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
+    others = pairs.where(most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    others = cut(others.join(candidates.union(first), ["a", "b"], "left_anti"))
+    edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(_alike(docs, others, words, threshold).union(edges))
 
 
 def deduplicate(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:

@@ -279,6 +279,35 @@ def test_simhash(spark, docs, rows, nothing):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
 
 
+def test_near_copies_are_all_found(spark):
+    from pathrank.llm.simhash import deduplicate
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    line, texts = " ".join(rng.choice(vocabulary) for _ in range(12)), []
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(4):  # scattered edits: about 0.75 to 0.95 of the shingles stay alike
+            w = list(base)
+            for at in rng.sample(range(len(w)), max(1, int(len(w) * rng.uniform(0.005, 0.03)))):
+                w[at] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+        texts.append(line + f" {k}")
+        texts.append(texts[-2].upper())
+    texts += ["", " ", None, "a b", "A  b", "a b c"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := WORDS.findall(lowered(t))) else frozenset() for i, t in rows}
+    least = {i: i for i in sets}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(least[a] != least[b] for a, b in alike):
+        for a, b in alike:
+            least[a] = least[b] = min(least[a], least[b])
+    got = sorted(r.doc_id for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted({*least.values()})
+
+
 def test_components(spark):
     from pathrank.llm.components import components
 
