@@ -6,8 +6,8 @@ hold a window: suffix array, Burrows-Wheeler transform, wavelet matrix for ranks
 position. All benchmark windows are searched backwards at once, their rows walked to a sampled position,
 and the found places merged into spans of words to remove.
 
-The benchmark reaches the tasks in blocks of bounded size; with more than one block the spans of a
-document are merged once more.
+The benchmark reaches the tasks in blocks of bounded size, of which a task holds one at a time. Each shard is
+searched for every block as it came; the spans of all blocks are merged row by row, and cut once.
 
 Defined results: null and empty texts have no words and no spans; an item without words has no windows;
 equal items are all reported; an empty benchmark hits nothing; columns besides the id and the text are
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,65 +219,67 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phr
         yield Phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], window)
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list[Broadcast]:
+    """The blocks; an empty one if there is none."""
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(phrases) for phrases in _blocks(benchmark, window, block_bytes)] or [sc.broadcast(Phrases([], window))]
+
+
+def _all_hits(texts: list[bytes], blocks: list[Broadcast]) -> list[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
+    """For each text: number of words, merged spans (first word, last word, first byte, last byte) and items of all blocks."""
+    counts, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for shared in blocks:
+        for k, (n, in_words, own, in_bytes) in enumerate(_hits(texts, shared.value)):
+            counts[k] = n
+            spans[k].extend((*w, *x) for w, x in zip(in_words, in_bytes, strict=True))
+            items[k].update(own)
+        if len(blocks) > 1:
+            vars(shared).pop("_value", None)  # read again when it is needed: a task holds one block
+    return [(n, _merged(s), sorted(i)) for n, s, i in zip(counts, spans, items, strict=True)]
+
+
+def _merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    out: list[list[int]] = []
+    for first, last, begin, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1][1], out[-1][3] = max(out[-1][1], last), max(out[-1][3], end)
+        else:
+            out.append([first, last, begin, end])
+    return [tuple(s) for s in out]
+
+
 _SPANS = "array<struct<first:bigint,last:bigint>>"
 _ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans of hit words (from word ``first`` to before ``last``) and items of each document."""
-    docs = docs.select("doc_id", "text")
-    results = []
-    for phrases in _blocks(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in sliced(batches, SHARD_BYTES):
-                n, spans, items, _ = zip(*_hits(_texts(part), shared.value), strict=True)
-                spans = [[{"first": a, "last": b} for a, b in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
-
-        results.append(docs.mapInArrow(scan, f"doc_id long, n_words long, spans {_SPANS}, items array<string>"))
-    if not results:
-        nothing = Phrases([], window)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in sliced(batches, SHARD_BYTES):
-                n = [x[0] for x in _hits(_texts(part), nothing)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_words"])
-
-        return docs.mapInArrow(count, "doc_id long, n_words long").select("*", F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    if len(results) == 1:
-        return results[0]
-    merged = results[0]
-    for other in results[1:]:
-        merged = merged.unionByName(other)
-    merged = merged.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.expr(
-        "aggregate(spans, cast(array() as " + _SPANS + "), (held, s) -> "
-        "if(size(held) > 0 and element_at(held, -1).last >= s.first, "
-        "concat(slice(held, 1, size(held) - 1), array(named_struct('first', element_at(held, -1).first, 'last', greatest(element_at(held, -1).last, s.last)))), "
-        "concat(held, array(s))))"
-    )
-    return merged.withColumn("spans", joined)
+    blocks = _shared(docs, benchmark, window, block_bytes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, SHARD_BYTES):
+            n, spans, items = zip(*_all_hits(_texts(part), blocks), strict=True)
+            spans = [[{"first": a, "last": b} for a, b, _, _ in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id long, n_words long, spans {_SPANS}, items array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with all its columns; hit words, and what stands between them, are cut from the text."""
-    for phrases in _blocks(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in sliced(batches, SHARD_BYTES):
-                texts = _texts(part)
-                for k, (_, _, _, spans) in enumerate(_hits(texts, shared.value)):
-                    if spans:
-                        edges = [0, *(x for s in spans for x in s), len(texts[k])]
-                        texts[k] = b"".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                column = pc.if_else(part.column("text").is_null(), None, pa.array(texts, pa.binary()).cast(pa.string()))
-                yield part.set_column(part.schema.get_field_index("text"), "text", column)
-
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    blocks = _shared(docs, benchmark, window, block_bytes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, SHARD_BYTES):
+            texts = _texts(part)
+            for k, (_, spans, _) in enumerate(_all_hits(texts, blocks)):
+                if spans:
+                    edges = [0, *(x for *_, begin, end in spans for x in (begin, end)), len(texts[k])]
+                    texts[k] = b"".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            column = pc.if_else(part.column("text").is_null(), None, pa.array(texts, pa.binary()).cast(pa.string()))
+            yield part.set_column(part.schema.get_field_index("text"), "text", column)
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

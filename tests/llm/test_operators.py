@@ -226,6 +226,22 @@ def test_decontamination(spark, docs, rows, nothing):
     assert digest(find(nothing, benchmark)).count() == clean(nothing, benchmark).count() == 0
 
 
+def test_decontamination_blocks_see_the_same_text(spark):
+    from pathrank.llm.decontaminate import brute_force, clean, digest, find
+
+    words = [f"w{k}x" for k in range(40)]
+    # windows of different items overlap: words 1-10, 6-15; what remains after a cut must not form a window either
+    items = [(f"i{k}", " ".join(words[k : k + 10])) for k in range(0, 30, 5)] + [("joined", "left one two three four five six seven eight right")]
+    texts = ["lead " + " ".join(words[:15]) + " tail", " ".join(words), "left one two three " + " ".join(words[5:15]) + " four five six seven eight right", "clean text", None]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (None, texts[0]), (None, texts[3]), (2, texts[2]), (3, texts[4])]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    null_last = lambda x: sorted((tuple(r) for r in x), key=lambda r: tuple((v is None, str(v)) for v in r))
+    for block in (1 << 20, 60):
+        assert null_last(digest(find(docs, benchmark, block_bytes=block)).collect()) == null_last(brute_force(rows, items))
+        kept = null_last(clean(docs, benchmark, block_bytes=block).collect())
+        assert kept == null_last([(1, "lead  tail"), (1, " " + " ".join(words[35:])), (1, "lead  tail"), (None, "lead  tail"), (None, "clean text"), (2, "left one two three  four five six seven eight right"), (3, None)])
+
+
 def test_golay_keys_meet():
     from pathrank.llm.simhash import Golay
 
