@@ -426,6 +426,22 @@ def test_packing(spark, docs, rows, nothing):
     assert pack_documents(nothing, path).count() == 0
 
 
+def test_packing_splits_at_added_tokens(spark, sf_dir, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from pathrank.llm import queries
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # in its default setting
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "two  <|endoftext|>  spaces ", "<|endoftext|><|endoftext|> lead", "a <|endoftext| > b", "plain words only", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in enumerate(texts)}
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    for found in (queries.op10_best_fit_packing(spark, sf_dir), corpus_pipeline.pack_sequences(spark, docs, sf_dir)):
+        assert {r.doc_id: r.ids_crc32 for r in found.collect()} == want
+
+
 def test_open_bins_are_bounded():
     from pathrank.llm.packing import OpenBins
 
