@@ -1,8 +1,9 @@
 """Licence scan with a positional index of rare words.
 
 The words of all licence templates are the vocabulary; how rare each is, is counted over all documents. A
-file's highest-IDF licence words (``RAREST`` of them, and the words of the key phrases it may hold) are looked
-up in the templates' postings (word, template, position). A place in the file and a posting that lie as far
+template is a candidate for a file that holds its key phrase and one of its rarest words, which are so many that
+the others weigh less than ``LEAST_SCORE`` of it. All words of a file's candidates are looked up in their postings
+(word, template, position), so that no other licence in the file lowers a score. A place in the file and a posting that lie as far
 apart as others do belong to one alignment of the template; an alignment's score is the share of the
 template's IDF weight that it meets. A template counts where its mandatory key phrase stands in the file word
 by word and an alignment reaches ``LEAST_SCORE``. Phrases are templates that must align in all their words.
@@ -41,7 +42,6 @@ TEMPLATES = [
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
-RAREST = 8
 LEAST_SCORE = 0.6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,13 +61,22 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _rarest(notice: str, idf: dict[str, float]) -> list[str]:
+    """A notice's rarest words, of which an alignment that reaches ``LEAST_SCORE`` has one at least."""
+    words = sorted(notice.split(), key=lambda w: (-idf[w], w))
+    whole, rest, n = sum(idf[w] for w in words), sum(idf[w] for w in words), 0
+    while n < len(words) and rest >= (LEAST_SCORE - 1e-3) * whole:
+        rest -= idf[words[n]]
+        n += 1
+    return sorted(set(words[:n]))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, found_labels (arrays) and score."""
     spark = docs.sparkSession
     patterns = [(label, phrase, phrase, True) for phrase, label in phrases.items()] + [(*t, False) for t in templates]
     vocabulary = sorted({w for *_, notice, _ in patterns for w in notice.split()})
     keys = sorted({phrase for _, phrase, _, _ in patterns})
-    key_words = sorted({w for k in keys for w in k.split()})
 
     t = F.col("_t")
     words = docs.select("doc_id", normal(F.col("text")).alias("_t")).select("doc_id", "_t", F.array_intersect(F.split(t, " "), _strings(vocabulary)).alias("present"))
@@ -84,18 +93,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     idf = {w: round(math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-3, 6) for w in vocabulary}
     weight = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
 
-    ranked = F.array_sort(F.transform("present", lambda w: F.struct((-weight[w]).alias("idf"), w.alias("word"))))
-    rarest = F.transform(F.slice(ranked, 1, RAREST), lambda s: s["word"])
-    files = base.where("_t is not null").withColumn("wanted", F.array_union(rarest, F.array_intersect("present", _strings(key_words))))
+    files = base.where("_t is not null")
     padded = F.concat(F.lit(" "), F.col("_t"), F.lit(" "))
     held = F.filter(_strings(keys), lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" "))))
     files = files.withColumn("held", held).where(F.size("held") > 0)
-    places = files.select("row", "wanted", "held", F.posexplode(F.split("_t", " ")).alias("at", "word")).where(F.array_contains("wanted", F.col("word"))).select("row", "held", "at", "word")
+    chosen = [F.when(F.array_contains("held", key) & F.arrays_overlap("present", _strings(_rarest(notice, idf))), F.lit(p)) for p, (_, key, notice, _) in enumerate(patterns)]
+    own_words = F.array(*[_strings(sorted(set(notice.split()))) for _, _, notice, _ in patterns])
+    files = files.withColumn("candidates", F.array_compact(F.array(*chosen))).withColumn("wanted", F.array_distinct(F.flatten(F.transform("candidates", lambda p: own_words[p]))))
+    places = files.select("row", "wanted", "candidates", F.posexplode(F.split("_t", " ")).alias("at", "word")).where(F.array_contains("wanted", F.col("word"))).select("row", "candidates", "at", "word")
     postings = spark.createDataFrame(
-        [(w, p, k, label, key, exact, len(notice.split()), float(sum(idf[x] for x in notice.split()))) for p, (label, key, notice, exact) in enumerate(patterns) for k, w in enumerate(notice.split())],
-        "word string, pattern int, k int, label string, phrase string, exact boolean, n int, whole double",
+        [(w, p, k, label, exact, len(notice.split()), float(sum(idf[x] for x in notice.split()))) for p, (label, _, notice, exact) in enumerate(patterns) for k, w in enumerate(notice.split())],
+        "word string, pattern int, k int, label string, exact boolean, n int, whole double",
     )
-    met = places.join(F.broadcast(postings), "word").where(F.array_contains("held", F.col("phrase")))
+    met = places.join(F.broadcast(postings), "word").where(F.array_contains("candidates", F.col("pattern")))
     # an alignment of a template starts where the file's place and the posting's lie apart; it may begin before the file
     aligned = met.groupBy("row", "pattern", (F.col("at") - F.col("k")).alias("start")).agg(
         F.count("*").alias("hits"), F.sum(weight[F.col("word")]).alias("weight"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("n").alias("n"), F.first("whole").alias("whole")

@@ -208,6 +208,18 @@ def test_licenses(docs, rows, nothing):
     assert scan(nothing).count() == 0
 
 
+def test_licenses_of_a_bundle_do_not_lower_each_other(spark):
+    from pathrank.llm.licenses import TEMPLATES, scan
+
+    notices = {label: notice for label, _, notice in TEMPLATES}
+    common = "redistribution and use in source and binary forms with or without modification are permitted"  # BSD's words are the commoner
+    rows = [(1, notices["mit"] + ". " + notices["bsd"]), (2, notices["bsd"]), (3, "\n".join(notices.values()))] + [(10 + k, common) for k in range(40)] + [(100 + k, "other words") for k in range(60)]
+    found = by_id(scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[1].found_labels == ["bsd", "mit"] and found[2].found_labels == ["bsd"]
+    assert found[1].score == found[2].score == 1.0
+    assert set(found[3].found_labels) >= set(notices)
+
+
 def test_decontamination(spark, docs, rows, nothing):
     from pathrank.llm.decontaminate import brute_force, clean, digest, find
 
