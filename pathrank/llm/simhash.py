@@ -1,17 +1,18 @@
 """SimHash near-duplicates found by Golay-code fuzzy hashing.
 
-A fingerprint has 64 bits, cut into three segments of 22, 21 and 21. Three differing bits or fewer leave two
-segments with one or none each. The binary Golay code is perfect: every 23-bit word decodes to one codeword
-at a distance of three or less. Of two segments that differ in a bit or none, the one's own codeword is
-among the codewords to which the other, with one of its bits flipped or none, decodes: at most six. Two
-fingerprints therefore meet in a key of some two segments, own codeword of one and neighbouring codeword of
-the other, and of the same on the other side. An equi-join on such keys gives the candidates; each is
-verified by counting the differing bits.
+A fingerprint has 64 bits, cut into four segments of 16. By the pigeonhole principle three differing bits or
+fewer leave one segment equal and two more that differ in a bit or none each; the choices of ``TRIPLES`` have
+such a one in every case. The binary Golay code is perfect: every 23-bit word decodes to one codeword at a
+distance of three or less. Of two segments that differ in a bit or none, the one's own codeword is among the
+codewords to which the other, with one of its bits flipped or none, decodes: at most six. Two fingerprints
+therefore meet in a key of the equal segment, the own codeword of one segment and a neighbouring codeword of
+another, and of the same on the other side. An equi-join on such keys of 40 bits gives the candidates, each of
+which is verified by counting the differing bits; two random fingerprints meet with a chance of some 2.5e-10.
 
 Equal fingerprints are joined as one. Links go through connected components.
 
 Three bits of 64 find but a quarter of the pairs whose sets of five-word shingles are alike by 0.8 or more.
-``near_copies``, which the pipeline uses, therefore takes several fingerprints of each distinct text, from
+``near_copies``, which the pipeline uses, therefore takes two fingerprints of each distinct text, from
 differently mixed hashes; what any of them links is compared by the shingle sets themselves. The rest comes
 from an exact join: two sets that are alike share one of their rarest shingles (a prefix of each set in one
 order of all shingles). Of texts in different groups yet that share one, each is first compared with one least
@@ -20,7 +21,8 @@ those of all pairs, while the texts of a large group are not compared with each
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; repeated rows are repeated in the result; an empty table gives
-no rows; further columns are ignored by ``groups``.
+no rows; further columns are ignored by ``groups``. ``deduplicate`` keeps all columns, rows without an id, and
+every row of an id that it keeps; null, empty and blank texts are copies of each other for it.
 """
 
 from __future__ import annotations
@@ -29,23 +31,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import SPACES, Words, chunks, cut, mix, rolling, stretches, text_key
+from pathrank.llm.common import SPACES, Words, chunks, cut, mix, rolling, stored, stretches, text_key
 from pathrank.llm.components import components
 
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 3
 #: Of near copies: fingerprints of a text, words of a shingle and least likeness.
-PRINTS = 6
+PRINTS = 2
 WORDS = 5
 THRESHOLD = 0.8
 #: A shingle of so many texts of one slice or more counts as common, and so many of all are told apart; both only order shingles.
 COMMON = 3
 MOST_COMMON = 200_000
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+WIDTH = 16
+#: (equal segment, the two others of a key): without any one segment, that of several bits, either of two may be the equal one.
+TRIPLES = tuple((equal, *sorted({0, 1, 2, 3} - {bad, equal})) for bad in range(4) for equal in ((bad + 1) % 4, (bad + 2) % 4))
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -135,13 +139,14 @@ def golay_keys(distinct: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, 20_000):
                 part = batch.slice(low, 20_000)
                 m, fp = part.column("m").to_numpy(), part.column("fp").to_numpy()
-                segments = [(fp.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1) for at, width in SEGMENTS]
+                segments = [(fp.view(np.uint64) >> np.uint64(WIDTH * k)).astype(np.int64) & ((1 << WIDTH) - 1) for k in range(4)]
                 own = [golay.decode(s) for s in segments]
-                near = [golay.nearby(s, width) for s, (_, width) in zip(segments, SEGMENTS, strict=True)]
-                for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+                near = [golay.nearby(s, WIDTH) for s in segments]
+                for tag, (equal, i, j) in enumerate(TRIPLES):
                     for own_first in (True, False):
                         row, code = near[j if own_first else i]
-                        key = (m[row].astype(np.int64) << 26 | tag << 24) | (own[i][row] << 12 | code if own_first else code << 12 | own[j][row])
+                        codes = own[i][row] << 12 | code if own_first else code << 12 | own[j][row]
+                        key = m[row].astype(np.int64) << 43 | tag << 40 | segments[equal][row] << 24 | codes
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(row), own_first)), pa.array(fp[row])], names=["key", "own_first", "fp"])
 
     return distinct.select("m", "fp").mapInArrow(scan, "key long, own_first boolean, fp long")
@@ -150,11 +155,11 @@ def golay_keys(distinct: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(m, x, y), x < y: distinct fingerprints (m, fp) of one print that differ in ``most_bits`` (three at most) or fewer."""
     if most_bits > MOST_BITS:
-        raise ValueError(f"keys of two segments find {MOST_BITS} differing bits at most")
+        raise ValueError(f"the keys find {MOST_BITS} differing bits at most")
     keys = golay_keys(distinct)
     left = keys.where("own_first").select("key", F.col("fp").alias("x"))
     right = keys.where("not own_first").select("key", F.col("fp").alias("y"))
-    return left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits)).select(F.shiftright("key", 26).cast("int").alias("m"), "x", "y").distinct()
+    return left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits)).select(F.shiftright("key", 43).cast("int").alias("m"), "x", "y").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
@@ -273,14 +278,14 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
 
     def mixed(held: DataFrame) -> DataFrame:
         """The rows (key, doc_id, n, root) of shingles whose texts are in several groups, with the least text and its group."""
-        by_key = Window.partitionBy("key")
-        least = F.min(F.struct("doc_id", "root", "n")).over(by_key)
-        return cut(held.select("key", "doc_id", "n", "root", least.alias("least"), F.min("root").over(by_key).alias("low"), F.max("root").over(by_key).alias("high")).where("low < high").drop("low", "high"))
+        by_key = held.groupBy("key").agg(F.min(F.struct("doc_id", "root", "n")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+        # cut before the join, which Spark can split only between shuffles: a shingle may stand in a third of all texts
+        return stored(held.join(cut(by_key.where("low < high").select("key", "least")), "key"))
 
     def placed(held: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
         return held.join(roots, held["doc_id"] == roots["node"], "left").select("doc_id", "n", *columns, F.coalesce("root", "doc_id").alias("root"))
 
-    rare = placed(prefixes(docs, words, threshold).join(one, "doc_id", "left_semi"), grouped, "prefix")
+    rare = stored(placed(prefixes(docs, words, threshold).join(one, "doc_id", "left_semi"), grouped, "prefix"))
     rare = mixed(rare.select("doc_id", "n", "root", F.explode("prefix").alias("key")))
     # a text of another group is compared with the least text of most of its shingles, which joins large groups
     fits = lambda x, y: (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9)
