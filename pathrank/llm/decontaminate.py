@@ -1,17 +1,20 @@
 """Benchmark decontamination with an FM-index for each shard of the corpus.
 
-A shard is a slice of a partition. Its words are hashed; those stretches of words in which every run of
-three is also a run of a benchmark item (shorter where an item is) are indexed, as no other stretch can
-hold a window: suffix array, Burrows-Wheeler transform, wavelet matrix for ranks, and every eighth suffix
-position. All benchmark windows are searched backwards at once, their rows walked to a sampled position,
-and the found places merged into spans of words to remove.
+A shard is a slice of a partition. The alphabet of its index is the vocabulary of the benchmark: the words that
+the benchmark has too are indexed (runs of them too short for any window are not), and one symbol stands for
+whatever lies between. The index is a suffix
+array, its Burrows-Wheeler transform, a wavelet matrix for ranks, and every eighth suffix position. All
+benchmark windows are searched backwards at once, their rows walked to a sampled position, and the found
+places merged into spans of words to remove.
 
-The benchmark reaches the tasks in blocks of bounded size, of which a task holds one at a time. Each shard is
-searched for every block as it came; the spans of all blocks are merged row by row, and cut once.
+The benchmark reaches the tasks in blocks of bounded size, of which the driver and a task hold one at a time
+(the broadcast itself spills to disk). Each shard is searched for every block as it came; the spans of all
+blocks are merged row by row, and cut once.
 
 Defined results: null and empty texts have no words and no spans; an item without words has no windows;
-equal items are all reported; an empty benchmark hits nothing; columns besides the id and the text are
-kept by ``clean`` and ignored by ``find``.
+equal items are all reported; an empty benchmark hits nothing; repeated rows and rows without an id are
+documents of their own; an empty table gives no rows; columns besides the id and the text are kept by
+``clean`` and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -26,34 +29,34 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import PUNCTUATION, Words, chunks, rolling, sliced
+from pathrank.llm.common import PUNCTUATION, Words, chunks, sliced
 
 WINDOW = 10
 #: Bytes of benchmark text that the tasks hold at once.
 BLOCK_BYTES = 4 << 20
 #: Every so many suffix positions one is kept.
 SAMPLED = 8
-SHARD_BYTES = 32 << 20
-#: Longest runs of words by which stretches are chosen for the index.
-GRAM = 3
+SHARD_BYTES = 8 << 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of non-negative numbers by prefix doubling."""
+    """Suffix array of non-negative numbers by prefix doubling; suffixes that have a place of their own are sorted no more."""
     n, span = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - span] = rank[span:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        held = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([1], held[1:] != held[:-1])))
-        rank = new
+    order = np.argsort(text, kind="stable")
+    key = text[order]
+    rank, tied = np.zeros(n, np.int64), np.arange(n)
+    while len(tied):
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        place = order[tied]
+        rank[place] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]  # the first place of those alike
+        tied = tied[~(new & np.append(new[1:], True))]
+        place = order[tied]
+        after = np.where(place + span < n, rank[np.minimum(place + span, n - 1)] + 1, 0)
+        key = rank[place] * (n + 1) + after
+        sort = np.argsort(key)
+        order[tied], key = place[sort], key[sort]
         span *= 2
-        if span >= n or rank[order[-1]] == n:
-            return order
+    return order
 
 
 class WaveletMatrix:
@@ -133,30 +136,21 @@ class Phrases:
         self.windows = {size: np.frombuffer(b"".join(w), np.int64).reshape(-1, size) for size, w in found.items()}
         self.items = {size: [sorted(x) for x in w.values()] for size, w in found.items()}
         self.least = min(found, default=0)
-        self.gram = min(GRAM, self.least)
-        if self.least:
-            inside = words.doc[self.gram - 1 :] == words.doc[: len(words.doc) - self.gram + 1]
-            self.grams = np.unique(rolling(words.hashes[0], self.gram)[inside])
-            self.sieve = np.zeros(1 << 20, bool)
-            self.sieve[self.grams >> np.uint64(44)] = True
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[self.vocabulary >> np.uint64(48)] = True
 
     def stretches(self, words: Words) -> np.ndarray:
-        """Which words may belong to a window."""
-        covered = np.zeros(len(words.doc) + 1, np.int64)
-        if not self.least or len(words.doc) < self.least:
-            return covered[:-1].astype(bool)
-        grams = rolling(words.hashes[0], self.gram)
-        near = np.flatnonzero(self.sieve[grams >> np.uint64(44)])
-        near = near[words.doc[near] == words.doc[near + self.gram - 1]]
-        place = np.minimum(np.searchsorted(self.grams, grams[near]), len(self.grams) - 1)
-        near = near[self.grams[place] == grams[near]]
-        if len(near):  # runs of such grams, long enough for the shortest window
-            breaks = np.flatnonzero((np.diff(near) != 1) | (words.doc[near[1:]] != words.doc[near[:-1]])) + 1
-            first, last = near[np.concatenate(([0], breaks))], near[np.concatenate((breaks - 1, [len(near) - 1]))] + self.gram
-            long = last - first >= self.least
-            np.add.at(covered, first[long], 1)
-            np.add.at(covered, last[long], -1)
-        return np.cumsum(covered)[:-1] > 0
+        """The words of the vocabulary, in runs that are long enough for the shortest window."""
+        near = np.flatnonzero(self.sieve[words.hashes[0] >> np.uint64(48)])
+        if not self.least or not len(near):
+            return near[:0]
+        place = np.minimum(np.searchsorted(self.vocabulary, words.hashes[0][near]), len(self.vocabulary) - 1)
+        near = near[self.vocabulary[place] == words.hashes[0][near]]
+        if not len(near):
+            return near
+        breaks = np.flatnonzero((np.diff(near) != 1) | (words.doc[near[1:]] != words.doc[near[:-1]])) + 1
+        size = np.diff(np.concatenate(([0], breaks, [len(near)])))
+        return near[np.repeat(size >= self.least, size)]
 
 
 def _hits(texts: list[bytes], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], list[str], list[tuple[int, int]]]]:
@@ -165,7 +159,7 @@ def _hits(texts: list[bytes], phrases: Phrases) -> Iterator[tuple[int, list[tupl
     for part in chunks((t,) for t in texts):
         words = Words([t.lower() for (t,) in part], PUNCTUATION)
         counts.append(words.counts)
-        chosen = np.flatnonzero(phrases.stretches(words))
+        chosen = phrases.stretches(words)
         if len(chosen):
             symbols = np.searchsorted(phrases.vocabulary, words.hashes[0][chosen]) + 1
             breaks = np.flatnonzero((np.diff(chosen) != 1) | (words.doc[chosen[1:]] != words.doc[chosen[:-1]])) + 1
