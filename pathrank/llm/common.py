@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: the session's ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """The folder of checkpoints: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one is made if Spark runs in one process; a cluster would not share it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder, and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -49,11 +68,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_of(df: DataFrame, column: str = "text") -> F.Column:
-    """The text, empty for null."""
-    return F.coalesce(df[column], F.lit(""))
-
-
 def text_key(text) -> F.Column:
     """A 256-bit key of a text: equal texts, and in effect only those, have equal keys."""
     return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
@@ -72,13 +86,6 @@ def chunks(rows: Iterable[tuple], size: int = CHUNK_BYTES) -> Iterator[list[tupl
         yield part
 
 
-def encoded(batches: Iterable[pd.DataFrame], key: str = "doc_id", text: str = "text") -> Iterator[tuple]:
-    """(key, text in UTF-8) of every row of the batches; null is empty."""
-    for batch in batches:
-        for k, t in zip(batch[key].tolist(), batch[text].tolist(), strict=True):
-            yield k, (t or "").encode("utf-8", "surrogatepass")
-
-
 def sliced(batches: Iterable[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about ``size`` bytes of text."""
     for batch in batches:

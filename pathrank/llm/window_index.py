@@ -1,24 +1,27 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
-Every window of successive words is represented by an anchor: the smallest of the hashes of its runs of four
-words, so that equal windows have equal anchors and neighbouring windows mostly share one. The index keeps,
-for each anchor, the first document that has it, in immutable runs: tables bucketed and sorted by the hash.
-A new batch of documents is aggregated by anchor, merge-joined with each run (the runs are not shuffled), and
-its new anchors become a further run; runs of like size are compacted into one. The anchors that a batch
-shares with the index, or that two of its documents share, are candidates.
+Every window of successive words is represented by a winnowed fingerprint, its anchor: the smallest of the hashes
+of its runs of four words, so that equal windows have equal anchors and neighbouring windows mostly share one.
+The index keeps, for each anchor, the first document that has it, in immutable runs: tables bucketed and sorted
+by the hash. A new batch of documents is aggregated by anchor, merge-joined with each run (the runs are not
+shuffled), and its new anchors become a further run; runs of like size are compacted into one. The anchors that
+a batch shares with the index, or that two of its documents share, are candidates.
 
 Candidates are verified over the texts: the windows that they stand for are compared by 64-bit digests of
 all their words, and a window is removed if its digest also occurs in a document with a smaller id. (Two
-different windows of candidate anchors are taken for equal with a chance of 2^-64 a pair.)
+different windows of candidate anchors are taken for equal with a chance of 2^-64 a pair.) A task first folds
+the windows of a slice of its documents: those that also occur in a document of the slice with a smaller id are
+settled there, as runs of windows, so that a hot window sends one row a slice, and copies mostly a row each.
 
-Exact copies of an earlier document lose all their windows at once, so only the first of each text is verified.
+All windows' own hashes in the runs, instead of one of five or six, would take the disk of some 10 bytes a
+word and copy, about 2.6 times the input each for the shuffle, the runs and their compaction.
 
-Batches must come in the order of their ids. Hot anchors are aggregated before each shuffle; the joins that
-carry a row for each document and anchor are ordinary ones, which Spark splits where they are skewed.
+Batches must come in the order of their ids. Hot anchors are aggregated before each shuffle; the join that
+carries a row for each document and anchor is an ordinary one, which Spark splits where it is skewed.
 
 Defined results: null, empty and short texts have no windows and lose nothing; repeated rows (the same id)
 are one document's and do not remove each other; rows without an id lose nothing; an empty table gives no
-rows; further columns are kept by ``clean`` and ignored by ``removals``.
+rows; further columns, whatever their names, are kept by ``clean`` and ignored by ``removals``.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import SPACES, Words, chunks, cut, leftmost_minima, rolling, shared_folder, text_key
+from pathrank.llm.common import SPACES, Words, chunks, delete, free_name, leftmost_minima, mix, rolling, shared_folder
 
 WINDOW = 13
 #: Words whose hash an anchor is.
@@ -39,6 +42,8 @@ ANCHOR = 4
 BATCHES = 3
 #: As many runs of a level make one of the next.
 FANOUT = 2
+#: Windows of candidates that are folded together in a task.
+SLICE_WINDOWS = 1 << 20
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,8 +92,7 @@ class FingerprintIndex:
 
     def _drop(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE {table}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.folder}/{table}")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch whose ids follow those before; (doc_id, h) of the candidates it brings, old documents' too."""
@@ -105,8 +109,7 @@ class FingerprintIndex:
         kept = f"{self.folder}/candidates-{self.made}"
         candidates.write.option("compression", "zstd").parquet(kept)
         self._write(found.where("old is null").select("h", "first"), 0)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(stored)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, stored)
         self.compact()
         return self.spark.read.parquet(kept)
 
@@ -127,11 +130,39 @@ class FingerprintIndex:
         self.runs = []
 
 
+def _folded(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Windows (digest, document, first word) of a slice as rows: those settled in the slice as runs, the others one by one."""
+    digest, doc, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, digest))
+    d = digest[order]
+    group = np.cumsum(np.concatenate(([True], d[1:] != d[:-1]))) - 1
+    first = doc[order][np.flatnonzero(np.diff(group, prepend=-1))]
+    known = np.empty(len(order), bool)
+    known[order] = doc[order] > first[group]
+    open_ = ~known
+    yield _batch(digest[open_], doc[open_], word[open_], word[open_] + 1, False)
+    doc, word = doc[known], word[known]
+    order = np.lexsort((word, doc))
+    doc, word = doc[order], word[order]
+    begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + 1))))[: len(doc)]
+    end = word[np.concatenate((begin[1:] - 1, [len(doc) - 1]))] + 1 if len(doc) else word
+    # runs take part in the shuffle by a number of their own, so that no task gets all of them
+    yield _batch(mix(doc[begin].astype(np.uint64) + (word[begin].astype(np.uint64) << np.uint64(40))).view(np.int64), doc[begin], word[begin], end, True)
+
+
+def _batch(digest: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, known: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(doc), known))], names=["d", "doc_id", "first", "last", "known"])
+
+
 def _windows(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """(d, doc_id, word): digest and first word of the windows that candidates stand for."""
+    """(d, doc_id, first, last, known): digest and first word of the windows that candidates stand for.
+
+    A row that is known stands for the windows that start from ``first`` to before ``last``, and are to be removed.
+    """
     by_doc = candidates.groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("anchors"), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
             for part in chunks((i, a.values.to_numpy(), t) for i, a, t in rows if a.is_valid and t):
@@ -139,20 +170,21 @@ def _windows(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
                 start, place, hashes = _anchors(words, window)
                 wanted = np.unique(np.concatenate([a for _, a, _ in part]))
                 start = start[np.isin(hashes[place].view(np.int64), wanted)]
-                digest = rolling(words.hashes[1], window, 1)[start].view(np.int64)
                 own = words.doc[start]
-                ids = np.array([i for i, _, _ in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(ids[own]), pa.array((start - words.first[own]).astype(np.int32))], names=["d", "doc_id", "word"])
+                held.append((rolling(words.hashes[1], window, 1)[start].view(np.int64), np.array([i for i, _, _ in part], np.int64)[own], start - words.first[own]))
+                n += len(start)
+                if n >= SLICE_WINDOWS:
+                    yield from _folded(held)
+                    held, n = [], 0
+        if n:
+            yield from _folded(held)
 
     # the join is a left one, so that the shuffled texts are the same as those of the last join, and are shuffled once
-    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "anchors", "text").mapInArrow(scan, "d long, doc_id long, word int")
+    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "anchors", "text").mapInArrow(scan, "d long, doc_id long, first int, last int, known boolean")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, starts, copy): for each document that has any, the first words of its windows to remove.
-
-    A copy of an earlier document loses all its windows; they are not listed.
-    """
+    """(doc_id, spans): for each document that has any, the windows to remove, as runs of their first words."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window)
     edges = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
@@ -165,29 +197,33 @@ def removals(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> D
         new = index.add(part)
         candidates = new if candidates is None else candidates.unionByName(new)
     index.close()
-    keys = docs.where("doc_id is not null and text is not null").select("doc_id", text_key(F.col("text")).alias("key"))
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("least"))
-    copies = cut(keys.join(least, "key").where("doc_id > least").select("doc_id").distinct())
-    rows = _windows(docs, candidates.join(copies, "doc_id", "left_anti"), window)
-    first = rows.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("d", "first")
-    found = rows.join(first, "d").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("word").alias("starts"))
-    return found.select("doc_id", "starts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-
-
-def _kept(part: list[tuple], window: int) -> Iterator[tuple[int, np.ndarray, Words, int]]:
-    """For each (starts, copy, text): number of words, flags of removed words, the words' arrays and the text's index."""
-    words = Words([t for *_, t in part], SPACES)
-    for k, (*_, starts, copy, _) in enumerate(part):
+    return verified(docs, candidates, window)
+
+
+def verified(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, spans): the windows of candidates (doc_id, h) that also start in a document with a smaller id."""
+    first = F.min(F.when(~F.col("known"), F.col("doc_id"))).over(Window.partitionBy("d"))
+    later = _windows(docs, candidates, window).withColumn("least", first).where(F.col("known") | (F.col("doc_id") > F.col("least")))
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
+
+def _kept(texts: list[bytes], spans: list[tuple[np.ndarray, np.ndarray] | None], window: int) -> Iterator[tuple[int, np.ndarray, Words, int]]:
+    """For each text: number of words, flags of removed words, the words' arrays and the text's index."""
+    words = Words(texts, SPACES)
+    for k, own in enumerate(spans):
         n = int(words.counts[k])
         gone = np.zeros(n + 1, np.int64)
-        if copy and n >= window:
-            gone[0] = 1
-        elif starts is not None:
-            np.add.at(gone, starts, 1)
-            np.add.at(gone, np.minimum(starts + window, n), -1)
+        if own is not None:
+            np.add.at(gone, own[0], 1)
+            np.add.at(gone, np.minimum(own[1] - 1 + window, n), -1)
         yield n, np.cumsum(gone)[:-1] > 0, words, k
 
 
+def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    for own in column:
+        yield (own.values.field("first").to_numpy(), own.values.field("last").to_numpy()) if own.is_valid else None
+
+
 def _pieces(words: Words, k: int, gone: np.ndarray, text: bytes) -> list[bytes]:
     a = words.first[k]
     begin, end = (words.begin[a : a + len(gone)] - words.bases[k])[~gone], (words.end[a : a + len(gone)] - words.bases[k])[~gone]
@@ -200,39 +236,39 @@ def digest(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Dat
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            starts = (s.values.to_numpy() if s.is_valid else None for s in batch.column("starts"))
-            rows = zip(batch.column("doc_id").to_pylist(), starts, batch.column("copy").to_pylist(), (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)
+            rows = zip(batch.column("doc_id").to_pylist(), _spans(batch.column("spans")), (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)
             for part in chunks(rows):
                 out = []
-                for (doc, *_, text), (n, gone, words, k) in zip(part, _kept(part, window), strict=True):
+                texts = [t for *_, t in part]
+                for (doc, _, text), (n, gone, words, k) in zip(part, _kept(texts, [s for _, s, _ in part], window), strict=True):
                     kept = b" ".join(_pieces(words, k, gone, text)) if gone.any() else b" ".join(text.split())
                     out.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    joined = docs.join(removals(docs, window, batches), "doc_id", "left").select("doc_id", "starts", "copy", "text")
+    joined = docs.join(removals(docs, window, batches), "doc_id", "left").select("doc_id", "spans", "text")
     return joined.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """``docs`` with all its columns; removed words, and the white space after them, are cut from the text."""
+    name = free_name(docs, "spans")
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            starts = [s.values.to_numpy() if s.is_valid else None for s in batch.column("_starts")]
-            for j, (s, copy, t) in enumerate(zip(starts, batch.column("_copy").to_pylist(), texts, strict=True)):
-                if (s is None and not copy) or not t:
+            for j, (own, t) in enumerate(zip(_spans(batch.column(name)), texts, strict=True)):
+                if own is None or not t:
                     continue
-                ((_, gone, words, _),) = _kept([(s, copy, t)], window)
+                ((_, gone, words, _),) = _kept([t], [own], window)
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                 held, at = [], 0
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     held.append(t[at : words.begin[a]])
                     at = words.begin[b] if b < len(gone) else len(t)
                 texts[j] = b"".join([*held, t[at:]])
-            out = batch.drop_columns(["_starts", "_copy"])
+            out = batch.drop_columns([name])
             yield out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
-    found = removals(docs.select("doc_id", "text"), window, batches).withColumnsRenamed({"starts": "_starts", "copy": "_copy"})
-    return docs.join(found, "doc_id", "left").select(*docs.columns, "_starts", "_copy").mapInArrow(scan, docs.schema)
+    found = removals(docs.select("doc_id", "text"), window, batches).withColumnRenamed("spans", name)
+    return docs.join(found, "doc_id", "left").select(*docs.columns, name).mapInArrow(scan, docs.schema)
