@@ -12,12 +12,12 @@ which is verified by counting the differing bits; two random fingerprints meet w
 Equal fingerprints are joined as one. Links go through connected components.
 
 Three bits of 64 find but a quarter of the pairs whose sets of five-word shingles are alike by 0.8 or more.
-``near_copies``, which the pipeline uses, therefore takes two fingerprints of each distinct text, from
-differently mixed hashes; what any of them links is compared by the shingle sets themselves. The rest comes
-from an exact join: two sets that are alike share one of their rarest shingles (a prefix of each set in one
-order of all shingles). Of texts in different groups yet that share one, each is first compared with one least
-text; then all pairs that are still in different groups and share enough of their prefixes. Groups are thus
-those of all pairs, while the texts of a large group are not compared with each other again.
+``near_copies``, which the pipeline uses, therefore compares what the fingerprints link (one of each distinct
+text, or more from differently mixed hashes) by the shingle sets themselves, and finds the rest by an exact
+join: two sets that are alike share some of their rarest shingles (a prefix of each set in one order of all
+shingles). Of texts in different groups yet that share one, each is first compared with one least text; then
+all pairs that are still in different groups and share enough of their prefixes. Groups are thus those of all
+pairs, while the texts of a large group are not compared with each other again.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; repeated rows are repeated in the result; an empty table gives
@@ -41,7 +41,9 @@ SHINGLE = 3
 SEED = 42
 MOST_BITS = 3
 #: Of near copies: fingerprints of a text, words of a shingle and least likeness.
-PRINTS = 2
+PRINTS = 1
+#: So many ids are broadcast to the texts at most; more of them are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 WORDS = 5
 THRESHOLD = 0.8
 #: A shingle of so many texts of one slice or more counts as common, and so many of all are told apart; both only order shingles.
@@ -250,8 +252,9 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 def _alike(docs: DataFrame, candidates: DataFrame, words: int, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose shingle sets are alike."""
-    ends = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
-    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words))
+    ends = cut(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct())
+    ends = F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends
+    sets = stored(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words))
     compared = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return compared.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -289,17 +292,20 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     rare = mixed(rare.select("doc_id", "n", "root", F.explode("prefix").alias("key")))
     # a text of another group is compared with the least text of most of its shingles, which joins large groups
     fits = lambda x, y: (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9)
-    first = rare.where((F.col("root") != F.col("least.root")) & fits(F.col("n"), F.col("least.n"))).groupBy(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).count()
+    # beyond their prefixes two sets share no more than what is left of one
+    most = F.col("count") + F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
+    enough = most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    first = rare.where((F.col("root") != F.col("least.root")) & fits(F.col("n"), F.col("least.n")))
+    first = first.groupBy(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b"), F.col("n").alias("na"), F.col("least.n").alias("nb")).count().where(enough)
     first = cut(first.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")).join(candidates, ["a", "b"], "left_anti"))
     edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
     grouped = cut(components(_alike(docs, first, words, threshold).union(edges)))
-    # then with all others of other groups: beyond their prefixes two sets share no more than what is left of one
+    # then with all others of other groups
     rare = mixed(placed(rare.drop("root"), grouped, "key"))
     a = rare.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     b = rare.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = a.join(b, "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"))).groupBy("a", "b", "na", "nb").count()
-    most = F.col("count") + F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
-    others = pairs.where(most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    others = pairs.where(enough).select("a", "b")
     others = cut(others.join(candidates.union(first), ["a", "b"], "left_anti"))
     edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(_alike(docs, others, words, threshold).union(edges))
