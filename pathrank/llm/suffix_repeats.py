@@ -3,17 +3,22 @@
 Suffixes that can share a string of ``LEAST`` bytes have to meet in one suffix array. Every window of that many
 bytes is represented by an anchor, the leftmost smallest hash of its runs of ``ANCHOR`` bytes, so that equal
 windows have equal anchors at the same place. An anchor stands for a segment of its document: the windows it
-represents. Anchors that occur once in the corpus are dropped; equal segments are folded into their first
-occurrence (aggregated before the shuffle, so a hot passage is one row a task); the segments of an anchor
-that are left are joined in one suffix array with its longest common prefixes. A stack scan gives the
-intervals of its common-prefix tree; one whose occurrences are preceded by different bytes is a maximal
-repeat, and is put out with all its occurrences.
+represents. Anchors that occur once in the corpus are dropped. Equal segments are leaves of the tree with the same
+string: they are folded into their first occurrence (aggregated before the shuffle, so a hot passage is one row a
+task), and their places are an interval of the tree. The distinct segments of an anchor are joined in one suffix
+array with its longest common prefixes. A stack scan gives the intervals of its common-prefix tree; one whose
+occurrences are preceded by different bytes is a maximal repeat.
 
-A byte is removed if it lies in an occurrence of a repeat that is not the repeat's first (smaller id, then
-smaller start). With the folded segments this covers exactly the bytes of windows that start earlier too.
+An anchor of more than ``HOT_SEGMENTS`` distinct segments is not put into one array: its windows are compared
+each by its digest, which gives the same repeats in pieces of ``LEAST`` bytes, in groups that Spark aggregates.
+
+``digest`` removes a byte if it lies in an occurrence of a repeat that is not the repeat's first (smaller id, then
+smaller start), which covers exactly the bytes of windows that start earlier too. ``repeats`` gives the groups
+with all their occurrences; pieces of neighbouring segments that have the same occurrences are joined to one repeat,
+so it ends where the set of its occurrences changes.
 
 Anchor and segment hashes have 64 bits; the bytes themselves are compared in the suffix arrays, while folded
-segments are equal in 64 bits of their bytes and 64 of their anchor.
+segments are equal in 64 bits of their bytes and 64 of their anchor, and so are windows of hot anchors.
 
 Defined results: null and empty texts and those shorter than ``LEAST`` lose nothing; rows without an id lose
 nothing; repeated rows (the same id) count as one document; an empty table gives no rows; further columns
@@ -27,15 +32,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import byte_values, chunks, leftmost_minima, rolling, stored, stretches
+from pathrank.llm.common import byte_values, chunks, cut, leftmost_minima, mix, rolling, stored, stretches
 
 LEAST = 100
 ANCHOR = 24
-#: Bytes of segments that one suffix array holds; a larger group of segments has one of its own.
+#: Bytes of segments that one suffix array holds, besides those of its last anchor.
 ARRAY_BYTES = 400_000
+#: Distinct segments (of 176 bytes at most) of an anchor that share a suffix array, at most.
+HOT_SEGMENTS = 2_000
+#: So many documents with segments of hot anchors are broadcast to the texts at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def _segments(texts: list[bytes], least: int, which: int = 0) -> tuple[np.ndarray, ...]:
@@ -90,10 +99,7 @@ def _segments_anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, np.nd
 
 
 def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h, s, doc_id, first, last, again): the segments of anchors that occur more than once.
-
-    s is the segment's hash; again tells that the document has the same segment before.
-    """
+    """(h, s, doc_id, first, last): the segments of anchors that occur more than once; s is the segment's hash."""
     own = anchors(docs, least)
     shared = own.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     wanted = own.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
@@ -105,17 +111,19 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 doc, anchor, first, last, segment = _segments([t for *_, t in part], least)
                 some = np.isin(anchor, np.unique(np.concatenate([a for _, a, _ in part])))
                 doc, anchor, first, last, segment = (x[some] for x in (doc, anchor, first, last, segment))
-                order = np.lexsort((first, segment, anchor, doc))
-                d, a, s = doc[order], anchor[order], segment[order]
-                again = np.empty(len(order), bool)
-                again[order] = np.concatenate(([False], (d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (s[1:] == s[:-1]))) if len(order) else again
                 ids = np.array([i for i, _, _ in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(ids[doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)], names=["h", "s", "doc_id", "first", "last", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(ids[doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "s", "doc_id", "first", "last"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("doc_id", "anchors", "text").mapInArrow(scan, "h long, s long, doc_id long, first int, last int, again boolean")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("doc_id", "anchors", "text").mapInArrow(scan, "h long, s long, doc_id long, first int, last int")
     return stored(found)
 
 
+def distinct_segments(found: DataFrame) -> DataFrame:
+    """(h, s, doc_id, first, last, n): each distinct segment at its first occurrence, and how often it occurs."""
+    head = F.min(F.struct("doc_id", "first", "last")).alias("head")
+    return stored(found.groupBy("h", "s").agg(head, F.count("*").alias("n")).select("h", "s", "head.doc_id", "head.first", "head.last", "n"))
+
+
 def suffix_array(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of numbers, and the common prefixes of neighbours up to ``reach``, by prefix doubling."""
     n = len(text)
@@ -206,24 +214,29 @@ def _runs(rows: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(rows[np.concatenate(([0], breaks))].tolist(), (rows[np.concatenate((breaks - 1, [len(rows) - 1]))] + 1).tolist(), strict=True)
 
 
-def _arrays(docs: DataFrame, found: DataFrame, report, schema: str) -> DataFrame:
+def _held(segments: DataFrame) -> DataFrame:
+    """(doc_id, held): the segments (h, first, last) by document."""
+    return segments.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "last")).alias("held"))
+
+
+def _texts_with(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
+    ids, held, texts = batch.column("doc_id").to_pylist(), batch.column("held"), batch.column("text").cast(pa.binary())
+    for k in np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False) & texts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        yield ids[k], texts[k].as_py(), held[k].as_py()
+
+
+def _arrays(docs: DataFrame, segments: DataFrame, report, schema: str) -> DataFrame:
     """What ``report`` (segments as (h, doc_id, first, bytes) to a batch of ``schema``) gives for each suffix array."""
-    firsts = found.groupBy("h", "s").agg(F.min("doc_id").alias("least"))
-    distinct = found.where("not again").join(firsts, ["h", "s"]).where("doc_id = least").select("h", "doc_id", "first", "last")
-    several = firsts.groupBy("h").count().where("count > 1").select("h")
-    by_doc = distinct.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "last")).alias("held"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, texts = batch.column("doc_id").to_pylist(), batch.column("held"), batch.column("text").cast(pa.binary())
-            for k in np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                text, own = texts[k].as_py(), held[k].as_py()
+            for doc, text, own in _texts_with(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o["h"] for o in own], pa.int64()), pa.array([ids[k]] * len(own), pa.int64()), pa.array([o["first"] for o in own], pa.int32()), pa.array([text[o["first"] : o["last"]] for o in own], pa.binary())],
+                    [pa.array([o["h"] for o in own], pa.int64()), pa.array([doc] * len(own), pa.int64()), pa.array([o["first"] for o in own], pa.int32()), pa.array([text[o["first"] : o["last"]] for o in own], pa.binary())],
                     names=["h", "doc_id", "first", "segment"],
                 )
 
-    cut_out = docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "held", "text").mapInArrow(slices, "h long, doc_id long, first int, segment binary")
+    cut_out = docs.select("doc_id", "text").join(_held(segments), "doc_id", "left").select("doc_id", "held", "text").mapInArrow(slices, "h long, doc_id long, first int, segment binary")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = [], 0
@@ -240,49 +253,116 @@ def _arrays(docs: DataFrame, found: DataFrame, report, schema: str) -> DataFrame
     return cut_out.repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "first").mapInArrow(scan, schema)
 
 
-def _occurrences(group: list[tuple], least: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """(h, length, sorted [(doc_id, start)]) of each maximal repeat of some segments."""
+def _nodes(group: list[tuple], least: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(h, length, sorted [(doc_id, segment's start, place in it)]) of each maximal repeat of some segments."""
     for length, places in maximal_repeats([g[3] for g in group], least):
-        yield group[places[0][0]][0], length, sorted((group[segment][1], group[segment][2] + at) for segment, at in places)
+        yield group[places[0][0]][0], length, sorted((group[segment][1], group[segment][2], at) for segment, at in places)
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h, repeat, length, doc_id, first, head): the maximal repeats among the distinct segments, an occurrence a row.
+def _hot_windows(docs: DataFrame, segments: DataFrame, least: int) -> DataFrame:
+    """(g, h, doc_id, first, place): digest, anchor and place of each window of the segments of hot anchors."""
 
-    h and repeat name a repeat; head tells its first occurrence. ``occurrences`` tells where segments stand again.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, own in _texts_with(batch):
+                data = byte_values(np.frombuffer(text, np.uint8), 1)
+                for o in own:
+                    windows = rolling(data[o["first"] : o["last"]], least, 1)
+                    n = len(windows)
+                    g = mix(windows + mix(np.array([o["h"]], np.int64).view(np.uint64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(n, o["h"])), pa.array(np.full(n, doc)), pa.array(np.full(n, o["first"], np.int32)), pa.array(np.arange(n, dtype=np.int32))], names=["g", "h", "doc_id", "first", "place"])
+
+    held = cut(_held(segments))
+    held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held
+    return stored(docs.select("doc_id", "text").join(held, "doc_id").select("doc_id", "held", "text").mapInArrow(scan, "g long, h long, doc_id long, first int, place int"))
+
+
+def _hot_nodes(docs: DataFrame, segments: DataFrame, least: int) -> DataFrame:
+    """The windows of hot anchors that occur in several segments, with the first such as ``least``: (doc_id, at)."""
+    rows = _hot_windows(docs, segments, least).withColumn("at", F.col("first") + F.col("place"))
+    several = cut(rows.groupBy("g").agg(F.min(F.struct("doc_id", "at")).alias("least"), F.count("*").alias("n")).where("n > 1").select("g", "least"))
+    return rows.join(F.broadcast(several) if several.count() <= MOST_BROADCAST else several, "g")
+
+
+def _dealt(segments: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """The segments of anchors that have several: those for suffix arrays, and those of hot anchors if there are any."""
+    sizes = cut(segments.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1"))
+    arrays = segments.join(sizes.where(F.col("segments") <= hot).select("h"), "h")
+    hottest = sizes.where(F.col("segments") > hot).select("h")
+    return arrays, segments.join(hottest, "h") if hottest.limit(1).count() else None
+
+
+def repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT_SEGMENTS) -> DataFrame:
+    """(head_id, head_start, n, length, doc_id, start): the repeats with all their occurrences, one a row.
+
+    The first occurrence and the number of occurrences name a repeat. Every window of ``least`` bytes that occurs
+    more than once lies in a repeat with exactly the window's occurrences.
     """
 
     def report(group: list[tuple]) -> pa.RecordBatch:
-        out = [(h, k, length, doc, first, (doc, first) == found[0]) for k, (h, length, found) in enumerate(_occurrences(group, least)) for doc, first in found]
-        types = {"h": pa.int64(), "repeat": pa.int32(), "length": pa.int32(), "doc_id": pa.int64(), "first": pa.int32(), "head": pa.bool_()}
+        out = [(h, k, length, doc, first, at) for k, (h, length, places) in enumerate(_nodes(group, least)) for doc, first, at in places]
+        types = {"h": pa.int64(), "k": pa.int64(), "length": pa.int32(), "doc_id": pa.int64(), "first": pa.int32(), "place": pa.int32()}
         return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], t) for c, t in enumerate(types.values())], names=list(types))
 
-    return _arrays(docs, occurrences(docs, least), report, "h long, repeat int, length int, doc_id long, first int, head boolean")
-
-
-def later(docs: DataFrame, found: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, first, last): what the repeats' occurrences but the first cover, joined within each suffix array."""
+    found = occurrences(docs, least).distinct()
+    segments = distinct_segments(found)
+    arrays, hottest = _dealt(segments, hot)
+    nodes = _arrays(docs, arrays, report, "h long, k long, length int, doc_id long, first int, place int").withColumn("kind", F.lit("array"))
+    if hottest is not None:
+        nodes = nodes.unionByName(_hot_nodes(docs, hottest, least).select("h", F.col("g").alias("k"), F.lit(least).alias("length"), "doc_id", "first", "place", F.lit("window").alias("kind")))
+    nodes = stored(nodes)
+    # folded segments, but for those that are a prefix of others: their repeat has more occurrences
+    whole = nodes.where("place = 0").select("h", "doc_id", "first", (F.col("first") + F.col("length")).alias("last"))
+    folded = segments.where("n > 1").join(whole, ["h", "doc_id", "first", "last"], "left_anti")
+    nodes = nodes.unionByName(folded.select("h", F.col("s").alias("k"), (F.col("last") - F.col("first")).alias("length"), "doc_id", "first", F.lit(0).alias("place"), F.lit("segment").alias("kind")))
+    named = nodes.join(segments.select("h", "doc_id", "first", "s"), ["h", "doc_id", "first"]).select("kind", "h", "k", "length", "place", "s")
+    places = stored(named.join(found.select("h", "s", "doc_id", "first"), ["h", "s"]).select("kind", "h", "k", "length", "doc_id", (F.col("first") + F.col("place")).alias("start")))
+    node = ["kind", "h", "k"]
+    heads = places.groupBy(*node).agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n"))
+    placed = places.join(heads, node)
+    shape = F.bit_xor(F.xxhash64("doc_id", F.col("start") - F.col("head.start")))
+    groups = placed.groupBy(*node, "length", "head", "n").agg(shape.alias("shape"))
+    # pieces with the same occurrences that overlap are one repeat
+    same = Window.partitionBy("head.doc_id", "n", "shape").orderBy("head.start", F.desc("length"), *node)
+    end = F.col("head.start") + F.col("length")
+    groups = groups.withColumn("reached", F.max(end).over(same.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.coalesce((F.col("head.start") > F.col("reached")).cast("int"), F.lit(1)))
+    groups = groups.withColumn("island", F.sum("new").over(same))
+    island = Window.partitionBy("head.doc_id", "n", "shape", "island")
+    joined = groups.withColumn("length", F.max(end).over(island) - F.col("head.start")).where("new = 1").select(*node, "head", "n", "length")
+    return joined.join(places.drop("length"), node).select(F.col("head.doc_id").alias("head_id"), F.col("head.start").alias("head_start"), "n", "length", "doc_id", "start")
+
+
+def later(docs: DataFrame, segments: DataFrame, least: int = LEAST, hot: int = HOT_SEGMENTS) -> DataFrame:
+    """(doc_id, first, last): what occurrences but the first cover among the distinct segments, joined within each suffix array."""
 
     def report(group: list[tuple]) -> pa.RecordBatch:
         spans: dict[int, list[tuple[int, int]]] = {}
-        for _, length, places in _occurrences(group, least):
-            for doc, first in places[1:]:
-                spans.setdefault(doc, []).append((first, first + length))
+        for _, length, places in _nodes(group, least):
+            head = min((doc, first + at) for doc, first, at in places)
+            for doc, first, at in places:
+                if (doc, first + at) != head:
+                    spans.setdefault(doc, []).append((first + at, first + at + length))
         out = [(doc, a, b) for doc, own in spans.items() for a, b in merged(own)]
         return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "first", "last"])
 
-    return _arrays(docs, found, report, "doc_id long, first int, last int")
+    arrays, hottest = _dealt(segments, hot)
+    found = _arrays(docs, arrays, report, "doc_id long, first int, last int")
+    if hottest is None:
+        return found
+    windows = _hot_nodes(docs, hottest, least).where(F.struct("doc_id", "at") > F.col("least"))
+    return found.unionByName(windows.select("doc_id", F.col("at").alias("first"), (F.col("at") + least).alias("last")))
 
 
-def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST, hot: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, spans): the byte spans of later occurrences, unmerged."""
     found = occurrences(docs, least)
-    firsts = found.groupBy("h", "s").agg(F.min("doc_id").alias("least"))
-    folded = found.join(firsts, ["h", "s"]).where("again or doc_id > least").select("doc_id", "first", "last")
-    return folded.unionByName(later(docs, found, least)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    segments = distinct_segments(found)
+    heads = segments.where("n > 1").select("h", "s", F.col("doc_id").alias("head_id"), F.col("first").alias("head_start"))
+    folded = found.join(heads, ["h", "s"]).where("doc_id > head_id or first > head_start").select("doc_id", "first", "last")
+    return folded.unionByName(later(docs, segments, least, hot)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def digest(docs: DataFrame, least: int = LEAST, hot: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +377,7 @@ def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    return docs.join(removals(docs, least), "doc_id", "left").select("doc_id", "spans", "text").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(removals(docs, least, hot), "doc_id", "left").select("doc_id", "spans", "text").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

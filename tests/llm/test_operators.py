@@ -155,11 +155,42 @@ def repeats_plainly(rows, least):
 def test_suffix_repeats(docs, rows, nothing):
     from pathrank.llm.suffix_repeats import digest
 
-    for least in (100, 40):
-        assert {r[0]: tuple(r)[1:] for r in digest(docs, least).collect()} == repeats_plainly(rows, least)
+    for least, hot in ((100, 2000), (40, 2000), (40, 2)):
+        assert {r[0]: tuple(r)[1:] for r in digest(docs, least, hot).collect()} == repeats_plainly(rows, least)
     assert digest(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeats_have_all_their_occurrences(spark, nothing, hot):
+    from pathrank.llm.suffix_repeats import repeats
+
+    rng, least = random.Random(21), 40
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, line, long = noise(150), noise(60), noise(900)
+    texts = [noise(300) for _ in range(8)] + [noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90)) for _ in range(6)]
+    texts += [noise(20) + line + noise(30) + line + noise(20) for _ in range(5)] + [long, "x" + long, long[:500], long[100:800] + passage, passage[20:120], "ab" * 150, None, ""]
+    texts += [texts[0], texts[0], passage[:70] + noise(9) + passage[70:]]
+    data = {3 * k: (t or "").encode() for k, t in enumerate(texts)}
+    frame = spark.createDataFrame([(3 * k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {}
+    for r in repeats(frame, least, hot).collect():
+        found.setdefault((r.head_id, r.head_start, r.n, r.length), []).append((r.doc_id, r.start))
+    for (doc, start, n, length), places in found.items():
+        s = data[doc][start : start + length]
+        want = [(i, k) for i, b in data.items() for k in range(len(b) - length + 1) if b[k : k + length] == s]
+        assert length >= least and len(want) > 1 and sorted(places) == want and want[0] == (doc, start) and n == len(want)
+    assert any(length >= 300 for *_, length in found)  # much longer than a segment
+    windows = {}
+    for i, b in data.items():
+        for k in range(len(b) - least + 1):
+            windows.setdefault(b[k : k + least], []).append((i, k))
+    for places in windows.values():
+        if len(places) > 1:
+            (doc, at), n = places[0], len(places)
+            assert any(d == doc and a <= at and at + least <= a + size and m == n for d, a, m, size in found)
+    assert repeats(nothing).count() == 0
+
+
 def test_spot_signatures(spark, docs, rows, nothing):
     from pathrank.llm.spotsigs import edited, fingerprint, likeness, signatures, similar
 
