@@ -309,16 +309,17 @@ def repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT_SEGMENTS) -> Dat
     arrays, hottest = _dealt(segments, hot)
     nodes = _arrays(docs, arrays, report, "h long, k long, length int, doc_id long, first int, place int").withColumn("kind", F.lit("array"))
     if hottest is not None:
-        nodes = nodes.unionByName(_hot_nodes(docs, hottest, least).select("h", F.col("g").alias("k"), F.lit(least).alias("length"), "doc_id", "first", "place", F.lit("window").alias("kind")))
+        nodes = nodes.unionByName(_hot_windows(docs, hottest, least).select("h", F.col("g").alias("k"), F.lit(least).alias("length"), "doc_id", "first", "place", F.lit("window").alias("kind")))
     nodes = stored(nodes)
-    # folded segments, but for those that are a prefix of others: their repeat has more occurrences
+    # folded segments, but for those that lie in others, whose repeat has more occurrences, and those of hot anchors
     whole = nodes.where("place = 0").select("h", "doc_id", "first", (F.col("first") + F.col("length")).alias("last"))
     folded = segments.where("n > 1").join(whole, ["h", "doc_id", "first", "last"], "left_anti")
+    folded = folded if hottest is None else folded.join(hottest.select("h").distinct(), "h", "left_anti")
     nodes = nodes.unionByName(folded.select("h", F.col("s").alias("k"), (F.col("last") - F.col("first")).alias("length"), "doc_id", "first", F.lit(0).alias("place"), F.lit("segment").alias("kind")))
     named = nodes.join(segments.select("h", "doc_id", "first", "s"), ["h", "doc_id", "first"]).select("kind", "h", "k", "length", "place", "s")
     places = stored(named.join(found.select("h", "s", "doc_id", "first"), ["h", "s"]).select("kind", "h", "k", "length", "doc_id", (F.col("first") + F.col("place")).alias("start")))
     node = ["kind", "h", "k"]
-    heads = places.groupBy(*node).agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n"))
+    heads = places.groupBy(*node).agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")).where("n > 1")
     placed = places.join(heads, node)
     shape = F.bit_xor(F.xxhash64("doc_id", F.col("start") - F.col("head.start")))
     groups = placed.groupBy(*node, "length", "head", "n").agg(shape.alias("shape"))
