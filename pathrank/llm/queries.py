@@ -37,7 +37,7 @@ def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
     from pathrank.llm.sharding import shard
 
     placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked", "links", "links_before", "links_after")
 
 
 def op2_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Sharding by balanced label propagation.
 
-Documents are linked through keys: equal texts share one, and so do documents with the same smallest line hash
-(a one-row MinHash over lines). Each round every key names the shard that most of its documents are in, and
-each document follows the key that gathers most of its neighbours there. Capacities then hold: linked
-documents take a shard's places first, those beyond its quota move, neighbours together, to the shards that
-have places left. Shards start as a hash of the text, so equal texts begin together.
+Documents are linked through keys that they share: their text, and every line of ``LEAST_LINE`` characters or
+more. Each round every key names the shard that most of its documents are in, and each document moves to the
+shard that its keys name with the most neighbours in all. Capacities then hold: linked documents take a shard's
+places first, those beyond its quota move, neighbours together, to the shards that have places left. Shards
+start as a hash of the text, so equal texts begin together.
 
 Law ``rows``: after every round the numbers of documents of any two shards differ by one at most. A group of
 copies larger than a shard is cut into as few parts as the places allow.
 
-Votes are counts per key and shard, so a hot key gives a row for each shard; numbering works in cells of
-bounded size (hot keys are salted), and only sizes of cells are added up over a shard.
+A key's documents are never paired: votes and uncut links are counts by key and shard, aggregated before the
+shuffle, so a hot key gives a row for each shard; numbering works in cells of bounded size (hot groups are
+salted), and only sizes of cells are added up over a shard.
 
 Defined results: null texts have no bytes and count as equal to empty ones; repeated rows are documents of
 their own; an empty table gives no rows; further columns are ignored. All is DataFrame work.
@@ -41,38 +42,46 @@ def describe(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text, F.octet_length(text)).alias("text_key"),
-        F.array_min(F.transform(lines, lambda line: F.xxhash64(line, F.lit(1)))).alias("line_key"),
+        F.array_distinct(F.transform(lines, lambda line: F.xxhash64(line, F.lit(1)))).alias("line_keys"),
         F.monotonically_increasing_id().alias("row"),
     )
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(row, key): the keys that at least two documents share."""
-    long = rows.select("row", F.explode(F.array(F.xxhash64("text_key", F.lit(1)), F.xxhash64("line_key", F.lit(2)))).alias("key"), "line_key", "text_key")
-    long = long.where(F.col("line_key").isNotNull() | (F.col("key") == F.xxhash64("text_key", F.lit(1)))).select("row", "key")
-    shared = long.groupBy("key").count().where("count > 1").select("key")
-    return long.join(shared, "key", "left_semi").select("row", "key")
-
-
-def votes(linked: DataFrame, placed: DataFrame) -> DataFrame:
-    """(row, wanted): the shard that gathers most of each linked document's neighbours."""
-    here = linked.join(placed.select("row", "shard"), "row")
-    counts = here.groupBy("key", "shard").agg(F.count("*").alias("n"))
-    leading = counts.groupBy("key").agg(F.max(F.struct("n", -F.col("shard"))).alias("most"))
-    each = linked.join(leading, "key").select("row", F.col("most.n").alias("n"), (-F.col("most.col2")).alias("to"))
+    """(row, key, size): the keys that at least two documents share, and how many do."""
+    long = rows.select("row", F.explode(F.array_append("line_keys", F.xxhash64("text_key", F.lit(2)))).alias("key"))
+    shared = cut(long.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))  # cut, so that Spark can split a hot key's join
+    return long.join(shared, "key").select("row", "key", "size")
+
+
+def spread(linked: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, shard, n): how many of a key's documents are in a shard."""
+    return linked.select("row", "key").join(placed.select("row", "shard"), "row").groupBy("key", "shard").agg(F.count("*").alias("n"))
+
+
+def votes(linked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, wanted): the shard that a document's keys name with the most neighbours."""
+    leading = cut(counts.groupBy("key").agg(F.max(F.struct("n", -F.col("shard"))).alias("most")).select("key", F.col("most.n").alias("n"), (-F.col("most.col2")).alias("to")))
+    each = linked.select("row", "key").join(leading, "key").groupBy("row", "to").agg(F.sum("n").alias("n"))
     return each.groupBy("row").agg(F.max(F.struct("n", F.col("to"))).alias("best")).select("row", F.col("best.to").alias("wanted"))
 
 
+def neighbours(linked: DataFrame, counts: DataFrame, placed: DataFrame, name: str) -> DataFrame:
+    """(row, ``name``): the documents with which each linked one shares a key and its shard, counted by key."""
+    here = linked.select("row", "key").join(placed.select("row", "shard"), "row")
+    return here.join(cut(counts), ["key", "shard"]).groupBy("row").agg(F.sum(F.col("n") - 1).alias(name))
+
+
 _CELLS = ["cell", "salt"]
 
 
 def _fitted(rows: DataFrame, limits: list[int]) -> tuple[DataFrame, list[int]]:
     """``rows`` with no more than ``limits`` in a shard, and how many each then has.
 
-    Those beyond a limit go, in the order of their texts, to the shards that have the most room.
+    Those beyond a limit go, in the order of their groups, to the shards that have the most room.
     """
     limit = F.element_at(F.array(*[F.lit(n) for n in limits]), F.col("shard") + 1)
-    ranked = cut(numbered(rows, "shard", _CELLS, ["text_key", "row"], "rank"))
+    ranked = cut(numbered(rows, "shard", _CELLS, ["group_key", "row"], "rank"))
     counts = dict(ranked.groupBy("shard").count().collect())  # a number for each shard
     held = [min(counts.get(s, 0), n) for s, n in enumerate(limits)]
     left = sum(counts.values()) - sum(held)
@@ -86,7 +95,7 @@ def _fitted(rows: DataFrame, limits: list[int]) -> tuple[DataFrame, list[int]]:
             held[s] += room
             at += room
     stay = ranked.where(F.col("rank") < limit).drop("rank")
-    over = numbered(ranked.where(F.col("rank") >= limit).drop("rank").withColumn("_all", F.lit(0)), "_all", _CELLS, ["text_key", "row"], "rank")
+    over = numbered(ranked.where(F.col("rank") >= limit).drop("rank").withColumn("_all", F.lit(0)), "_all", _CELLS, ["group_key", "row"], "rank")
     return stay.unionByName(over.withColumn("shard", place.cast("int")).select(*stay.columns)), held
 
 
@@ -99,31 +108,41 @@ def balanced(placed: DataFrame, shards: int, total: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot (its number in the shard) of each document."""
+    """doc_id, size, text_crc32, shard and slot (its number in the shard) of each document.
+
+    Also linked, and links, links_before and links_after: how many documents share a key with it (counted by key),
+    and how many of those are in its shard before the first round and in the end.
+    """
     rows = cut(describe(docs))
     total = rows.count()
     linked = cut(links(rows))
-    copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
-    neighbours = linked.select("row").distinct().withColumn("loose", F.lit(0))
+    quota = max(1, total // shards)
+    # a document stands beside those of its largest key that fits into a shard
+    fits = F.when(F.col("size") <= quota, F.col("size")).otherwise(-F.col("size"))
+    near = linked.groupBy("row").agg(F.max(F.struct(fits.alias("fits"), "key", "size")).alias("hub"), F.sum(F.col("size") - 1).alias("links"))
     cells = max(1, total // (shards * ROWS_A_WINDOW))
-    placed = (
-        rows.join(copies, "text_key")
-        .join(neighbours, "row", "left")
-        .select(
-            "row",
-            "doc_id",
-            "size",
-            "text_crc32",
-            "text_key",
-            F.coalesce("loose", F.lit(1)).alias("loose"),
-            F.floor(F.pmod(F.shiftrightunsigned("text_key", 16), F.lit(1 << 40)) / F.lit((1 << 40) / cells)).cast("int").alias("cell"),
-            F.pmod(F.xxhash64("row"), F.ceil(F.col("copies") / ROWS_A_WINDOW)).cast("int").alias("salt"),
-            F.pmod(F.xxhash64("text_key"), F.lit(shards)).cast("int").alias("shard"),
-        )
+    placed = rows.join(near, "row", "left").select(
+        "row",
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.coalesce("hub.key", "text_key").alias("group_key"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+        F.col("links").isNull().cast("int").alias("loose"),
+        F.floor(F.pmod(F.shiftrightunsigned(F.coalesce("hub.key", "text_key"), 16), F.lit(1 << 40)) / F.lit((1 << 40) / cells)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64("row"), F.ceil(F.coalesce("hub.size", F.lit(1)) / ROWS_A_WINDOW)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("text_key"), F.lit(shards)).cast("int").alias("shard"),
     )
     placed = cut(balanced(placed, shards, total))
+    counts = cut(spread(linked, placed))
+    before = neighbours(linked, counts, placed, "links_before")
     for _ in range(rounds):
-        wanted = votes(linked, placed)
-        moved = placed.join(wanted, "row", "left").withColumn("shard", F.coalesce("wanted", "shard")).drop("wanted")
+        moved = placed.join(votes(linked, counts), "row", "left").withColumn("shard", F.coalesce("wanted", "shard")).drop("wanted")
         placed = cut(balanced(moved, shards, total))
-    return numbered(placed, "shard", ["loose", "cell", "salt"], ["text_key", "row"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot", (F.col("loose") == 0).alias("linked"))
+        counts = cut(spread(linked, placed))
+    after = neighbours(linked, counts, placed, "links_after")
+    both = before.join(after, "row")
+    found = numbered(placed, "shard", ["loose", "cell", "salt"], ["group_key", "row"], "slot").join(both, "row", "left")
+    return found.select(
+        "doc_id", "size", "text_crc32", "shard", "slot", (F.col("loose") == 0).alias("linked"), "links", F.coalesce("links_before", F.lit(0)).alias("links_before"), F.coalesce("links_after", F.lit(0)).alias("links_after")
+    )

@@ -10,8 +10,9 @@ neighbouring partitions those sharing one of their rarest signatures (a prefix t
 share in part) are candidates, and are compared.
 
 Defined results: null and empty texts have the one signature of an empty beginning, so they are alike;
-repeated rows are joined with every row of the next id; rows without an id have no next document; an empty
-table gives no rows; further columns are ignored. All is DataFrame work.
+repeated rows give a row each, and of several texts of the next id the one that begins smallest counts; rows
+without an id have no next document; an empty table gives no rows; further columns are ignored. All is
+DataFrame work.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def fingerprint(signs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two sets; sets without a common element are not counted further."""
+    """Jaccard likeness of two sets."""
     both = F.size(F.array_intersect(a, b))
     return both.cast("double") / (F.size(a) + F.size(b) - both)
 
@@ -57,20 +58,20 @@ def edited(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited text, both texts' signatures and those of the next document.
 
     The last third of a text is replaced by the beginning of the next document, in descending order of ids.
-    Texts are shuffled once, by id; of the next document only the needed beginning and its signatures move.
+    Texts are signed and shuffled once, by id; of the next document only the needed beginning and its signatures move.
     """
-    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("signatures", signatures(F.col("text")))
     texts = every.where("doc_id is not null")  # in both joins the same rows, which Spark then shuffles once
-    order = followers(docs)
-    lengths = docs.select("doc_id", F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).cast("int").alias("third"))
-    wanted = order.join(lengths, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "third")
-    after = texts.join(wanted, "doc_id").select(F.col("to").alias("doc_id"), F.expr("left(text, third)").alias("beginning"), signatures(F.col("text")).alias("next_signatures"))
-    joined = texts.join(after, "doc_id", "left")
-    alone = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("beginning"), F.lit(None).cast("array<bigint>").alias("next_signatures"))
-    joined = joined.unionByName(alone)
-    n = F.length("text")
-    new = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 3) as int))"), F.coalesce("beginning", F.lit("")))
-    return joined.select("doc_id", n.cast("long").alias("n_chars"), new.alias("edited"), signatures(F.col("text")).alias("signatures"), F.coalesce("next_signatures", F.array().cast("array<bigint>")).alias("next_signatures")).withColumn("edited_signatures", signatures(F.col("edited")))
+    third = F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).cast("int")
+    thirds = docs.select("doc_id", third.alias("third")).groupBy("doc_id").agg(F.max("third").alias("third"))
+    wanted = followers(docs).join(thirds, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "third")
+    after = texts.join(wanted, "doc_id").select(F.col("to").alias("doc_id"), F.struct(F.expr("left(text, third)").alias("beginning"), "signatures").alias("next"))
+    joined = texts.join(after.groupBy("doc_id").agg(F.min("next").alias("next")), "doc_id", "left")
+    joined = joined.unionByName(every.where("doc_id is null"), allowMissingColumns=True)
+    new = F.expr("concat(left(text, cast(length(text) - floor(length(text) / 3) as int)), left(coalesce(next.beginning, ''), cast(floor(length(text) / 3) as int)))")
+    return joined.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), new.alias("edited"), "signatures", F.coalesce("next.signatures", F.array().cast("array<bigint>")).alias("next_signatures")
+    ).withColumn("edited_signatures", signatures(F.col("edited")))
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

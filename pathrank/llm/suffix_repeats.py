@@ -41,8 +41,8 @@ LEAST = 100
 ANCHOR = 24
 #: Bytes of segments that one suffix array holds, besides those of its last anchor.
 ARRAY_BYTES = 400_000
-#: Distinct segments (of 176 bytes at most) of an anchor that share a suffix array, at most.
-HOT_SEGMENTS = 2_000
+#: Distinct segments (of 176 bytes at most) of an anchor that share a suffix array, at most: some 3.5 MB, which take 0.4 GB.
+HOT_SEGMENTS = 20_000
 #: So many documents with segments of hot anchors are broadcast to the texts at most; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 

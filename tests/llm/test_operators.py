@@ -80,11 +80,32 @@ def test_sharding(spark, docs, rows, nothing):
 
 
 def test_votes_bring_neighbours_together(spark):
-    from pathrank.llm.sharding import links, votes
+    from pathrank.llm.sharding import links, spread, votes
 
-    described = spark.createDataFrame([(0, 1, 7), (1, 2, 7), (2, 3, 7), (3, 9, None)], "row long, text_key long, line_key long")
-    placed = spark.createDataFrame([(0, 4), (1, 4), (2, 0), (3, 1)], "row long, shard int")
-    assert {tuple(r) for r in votes(links(described), placed).collect()} == {(0, 4), (1, 4), (2, 4)}
+    described = spark.createDataFrame([(0, 1, [7]), (1, 2, [7, 8]), (2, 3, [9, 7]), (3, 9, []), (4, 1, [5])], "row long, text_key long, line_keys array<long>")
+    placed = spark.createDataFrame([(0, 4), (1, 4), (2, 0), (3, 1), (4, 2)], "row long, shard int")
+    linked = links(described)
+    assert sorted((r.row, r.size) for r in linked.collect()) == [(0, 2), (0, 3), (1, 3), (2, 3), (4, 2)]
+    counts = spread(linked, placed)
+    assert {tuple(r) for r in votes(linked, counts).collect()} == {(0, 4), (1, 4), (2, 4), (4, 2)}
+
+
+def test_propagation_cuts_fewer_links(spark):
+    from pathrank.llm.sharding import shard
+
+    rng = random.Random(11)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(70))
+    shared = [line() for _ in range(60)]
+    texts = ["\n".join([line(), shared[k % 60], line()]) for k in range(600)]
+    rng.shuffle(texts)
+    found = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=6).toPandas()
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t.split("\n")[1], []).append(i)
+    place = dict(zip(found.doc_id, found.shard, strict=True))
+    inside = {i: sum(place[i] == place[j] for j in own) - 1 for own in groups.values() for i in own}
+    assert dict(zip(found.doc_id, found.links_after, strict=True)) == inside and set(found.links) == {9}
+    assert found.links_after.sum() > 0.7 * found.links.sum() > 2 * found.links_before.sum()
 
 
 def test_toxicity(spark, nothing):
@@ -191,6 +212,36 @@ def test_repeats_have_all_their_occurrences(spark, nothing, hot):
     assert repeats(nothing).count() == 0
 
 
+def chains(text):
+    """Spot signatures before they are hashed."""
+    from pathrank.llm.spotsigs import ANCHORS
+
+    tokens = [w for w in re.sub(r"[\W_]+", " ", text.lower()).split(" ") if w]
+    out = ["^" + (" ".join(tokens[:2]) if len(tokens) > 1 else "".join(tokens) + " ")]
+    for k in range(len(tokens) - 1):
+        if tokens[k] in ANCHORS and tokens[k + 1] not in ANCHORS:
+            later = next((j for j in range(k + 2, len(tokens)) if tokens[j] not in ANCHORS), None)
+            if later is not None:
+                out.append(f"{tokens[k + 1]} " + "\x01" * (later > k + 2) + f"{tokens[later]} ")
+    return out
+
+
+def hashed(spark, lists):
+    """Each list's sorted set of hashes."""
+    frame = spark.createDataFrame(list(lists.items()), "key string, chains array<string>")
+    return {r.key: r.h for r in frame.select("key", F.array_sort(F.array_distinct(F.transform("chains", lambda c: F.xxhash64(c)))).alias("h")).collect()}
+
+
+def test_repeated_rows_of_spot_signatures(spark):
+    from pathrank.llm.spotsigs import edited
+
+    rows = [(5, "the five words here one"), (5, "the five words here one"), (5, "another text of id five, longer"), (6, "six of these"), (6, "six of them"), (7, "seven is the last"), (None, "no id")]
+    found = edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in found) == sorted((i or 0, len(t)) for i, t in rows)
+    after = {7: "six of them", 6: "another text of id five, longer", 5: "seven is the last", None: ""}  # of an id's texts the one that begins smallest
+    assert sorted(r.edited for r in found) == sorted(t[: len(t) - len(t) // 3] + after[i][: len(t) // 3] for i, t in rows)
+
+
 def test_spot_signatures(spark, docs, rows, nothing):
     from pathrank.llm.spotsigs import edited, fingerprint, likeness, signatures, similar
 
@@ -198,12 +249,14 @@ def test_spot_signatures(spark, docs, rows, nothing):
     after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
     found = by_id(edited(docs))
     prints = {}
+    plain = hashed(spark, {t or "": chains(t or "") for t in text.values()})
     for i, t in rows:
         t, n = t or "", len(t or "") // 3
         assert found[i].edited == t[: len(t) - n] + (text[after[i]] or "")[:n]
         assert found[i].n_chars == len(t) and found[i].signatures
         assert prints.setdefault(t, found[i].signatures) == found[i].signatures
         assert found[i].next_signatures == found[after[i]].signatures
+        assert found[i].signatures == plain[t]
     assert edited(nothing).count() == 0
     sets = {tuple(r.signatures): min(x.doc_id for x in found.values() if x.signatures == r.signatures) for r in found.values()}
     want = {}
