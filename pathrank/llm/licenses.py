@@ -41,6 +41,41 @@ TEMPLATES = [
     ("agpl", "gnu affero general public license", "licensed under the gnu affero general public license"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    (
+        "gpl-3.0",
+        "gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    (
+        "apache-2.0",
+        "apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a "
+        "copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed "
+        "under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to "
+        "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+        "sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions "
+        "in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or "
+        "other materials provided with the distribution",
+    ),
+    (
+        "isc",
+        "for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+    ),
 ]
 LEAST_SCORE = 0.6
 
