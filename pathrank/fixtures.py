@@ -81,6 +81,11 @@ class Tables:
         }
         return GraphCatalog(nodes, edges)
 
+    def monthly_graph(self) -> GraphCatalog:
+        """Purchases by month: the edges are partitioned, the nodes hold for all months."""
+        edges = {"bought": EdgeTable(self.bought_monthly(), {"customer": "Customer", "part": "Part"}, ("quantity", "price", "n"))}
+        return GraphCatalog(self.graph().nodes, edges, "month")
+
 
 #: The same tables for DuckDB, as named subqueries.
 SQL = """WITH

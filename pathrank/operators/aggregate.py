@@ -61,12 +61,13 @@ def start_features(paths: DataFrame, position: Position, tables: Sequence[tuple[
     return out
 
 
-def aggregate_path(paths: DataFrame, spec: PathSpec, tables: dict[str, tuple[DataFrame, str, Sequence[str]]], functions: Sequence[str], missing: str = "zero") -> dict[str, DataFrame]:
+def aggregate_path(paths: DataFrame, spec: PathSpec, tables: dict[str, tuple[DataFrame, str, Sequence[str]]], functions: Sequence[str], missing: str = "zero", partition: str | None = None) -> dict[str, DataFrame]:
     """A DataFrame per position with features and per edge with features; tables: type: (data, id, features).
 
-    ``persist`` the path table first if several of the results will be computed.
+    ``partition``: a partition key of the paths that groups beside the start nodes. Cut or store the path table
+    first if several of the results will be computed.
     """
-    start = [p.column for p in spec.start]
+    start = [p.column for p in spec.start] + [partition] * (partition is not None)
     out: dict[str, DataFrame] = {}
     for p in spec.positions():
         if p.type in tables and p.column in paths.columns:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathrank.operators.ranges import cumulated, numbered
+
 
 def rank_nodes(scores: DataFrame, score: str, key: str, k: int) -> DataFrame:
     """The k nodes of the highest scores; ties by id."""
@@ -15,17 +16,9 @@ def rank_nodes(scores: DataFrame, score: str, key: str, k: int) -> DataFrame:
 
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Positives and negatives of each distinct score, and of all scores above it.
-
-    Scores are range-partitioned; sums inside a partition are shifted by those of the partitions above.
-    """
+    """Positives and negatives of each distinct score (p, n), of it and all scores above it (tp, fp), and of all."""
     grouped = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) > 0).alias("p"), F.count_if(F.col(label) <= 0).alias("n"))
-    dealt = grouped.repartitionByRange(F.desc("s")).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.select("*", F.sum("p").over(inside).alias("_p"), F.sum("n").over(inside).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = dealt.groupBy("_part").agg(F.sum("p").alias("a"), F.sum("n").alias("b")).select("_part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("_pa"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_na"), F.sum("a").over(Window.partitionBy()).alias("all_p"), F.sum("b").over(Window.partitionBy()).alias("all_n"))
-    return summed.join(F.broadcast(starts), "_part").select("s", "p", "n", (F.col("_p") + F.col("_pa")).alias("tp"), (F.col("_n") + F.col("_na")).alias("fp"), "all_p", "all_n")
+    return cumulated(grouped, [F.desc("s")], ["p", "n"]).select("s", "p", "n", (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_n") + F.col("n")).alias("fp"), "all_p", "all_n")
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -45,18 +38,11 @@ def pr_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def hit_rates(df: DataFrame, score: str, label: str, key: str, ks: Sequence[int] = (), percents: Sequence[float] = ()) -> DataFrame:
-    """(cut, k, hits, rate): positives among the first k, divided by k, for numbers and for top percentages.
-
-    Only the first rows of the largest cut are ranked.
-    """
-    cuts = [(f"top_{k}", F.lit(k).cast("long")) for k in ks]
-    total = df.agg(F.count("*").alias("_total"))
-    cuts += [(f"top_{p}%", F.floor(F.col("_total") * p / 100.0).cast("long")) for p in percents]
-    wanted = total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("cut"), k.alias("k")) for n, k in cuts])).alias("c")).select("c.cut", "c.k")
-    most = max([*ks, *([df.count() * max(percents) // 100] if percents else [])])
-    first = df.orderBy(F.desc(score), key).limit(int(most)).withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
-    hits = wanted.join(first.where(F.col(label) > 0).select("_rank"), F.col("_rank") <= F.col("k"), "left").groupBy("cut", "k").agg(F.count("_rank").alias("hits"))
-    return hits.withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.col("k")))
+    """(cut, k, hits, rate): positives among the first k, divided by k, for numbers and for top percentages."""
+    ranked = numbered(df.select(key, score, label), [F.desc(score), F.asc(key)], "rank")
+    cuts = [(f"top_{k}", F.lit(k).cast("long")) for k in ks] + [(f"top_{p}%", F.floor(F.col("n_all") * p / 100.0).cast("long")) for p in percents]
+    found = ranked.agg(F.array(*[F.struct(F.lit(name).alias("cut"), F.max(k).alias("k"), F.count_if((F.col("rank") < k) & (F.col(label) > 0)).alias("hits")) for name, k in cuts]).alias("found"))
+    return found.select(F.inline("found")).withColumn("k", F.coalesce("k", F.lit(0))).withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.col("k")))
 
 
 def regression_errors(df: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -78,9 +64,3 @@ def score_nodes(train: DataFrame, rows: DataFrame, features: Sequence[str], labe
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter)]
     model = Pipeline(stages=stages).fit(train.fillna(0, subset=list(features)).withColumn(label, F.col(label).cast("double")))
     return model.transform(rows.fillna(0, subset=list(features))).select(key, vector_to_array("probability")[1].alias("score"))
-
-
-def metrics(df: DataFrame, score: str, label: str, key: str, ks: Sequence[int]) -> DataFrame:
-    """(metric, value) of both areas and the hit rates."""
-    parts = [roc_auc(df, score, label).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")), pr_auc(df, score, label).select(F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")), hit_rates(df, score, label, key, ks).select(F.concat(F.lit("hit_"), "cut").alias("metric"), F.col("rate").alias("value"))]
-    return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathrank.sources.shared import cut
+
 
 def dense_index(nodes: DataFrame, type_column: str = "node_type", id_column: str = "node") -> DataFrame:
     """A gapless ``idx`` from 0 on per type, in the order of ids.
@@ -16,6 +18,7 @@ def dense_index(nodes: DataFrame, type_column: str = "node_type", id_column: str
     before it, so that no window holds more than a partition of a type.
     """
     dealt = nodes.select(type_column, id_column).distinct().repartitionByRange(type_column, id_column).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt)  # a partition's number is used twice
     inside = Window.partitionBy(type_column, "_part").orderBy(id_column)
     ranked = dealt.withColumn("_row", F.row_number().over(inside))
     sizes = ranked.groupBy(type_column, "_part").agg(F.max("_row").alias("_n"))

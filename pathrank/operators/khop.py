@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathrank.operators.ranges import numbered
 from pathrank.operators.sampling import random_n, top_n
 
 
@@ -125,10 +126,7 @@ def subgraph(relations: Sequence[Relation], seeds: DataFrame, seed_type: str, ho
 
 
 def induced(edges: DataFrame, batch: DataFrame, hops: int) -> DataFrame:
-    """(hop, head, tail, head_local, tail_local): edges reached from a batch hop by hop, with the subgraph's own node numbers.
-
-    A batch is small by definition, so its numbering may be one window.
-    """
+    """(hop, head, tail, head_local, tail_local): edges reached from a batch hop by hop, with the subgraph's own node numbers."""
     seeds, parts = batch.select(F.col(batch.columns[0]).alias("head")).distinct(), []
     for hop in range(1, hops + 1):
         new = edges.select("head", "tail").join(seeds, "head", "left_semi").distinct()
@@ -136,5 +134,5 @@ def induced(edges: DataFrame, batch: DataFrame, hops: int) -> DataFrame:
         seeds = new.select(F.col("tail").alias("head")).distinct()
     found = reduce(DataFrame.unionByName, parts).groupBy("head", "tail").agg(F.min("hop").alias("hop"))
     nodes = found.select(F.col("head").alias("node")).union(found.select("tail")).distinct()
-    local = nodes.withColumn("local", (F.row_number().over(Window.orderBy("node")) - 1).cast("long"))
+    local = numbered(nodes, [F.asc("node")], "local")
     return found.join(local.select(F.col("node").alias("head"), F.col("local").alias("head_local")), "head").join(local.select(F.col("node").alias("tail"), F.col("local").alias("tail_local")), "tail").select("hop", "head", "tail", "head_local", "tail_local")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathrank.operators.sampling import capped
 from pathrank.plans.spec import Edge, Hop, Nested, PathSpec
 from pathrank.sources.catalog import GraphCatalog
 from pathrank.sources.scan import edge_scan, node_scan, restricted
+from pathrank.sources.store import write_missing
 
 
 def _key(graph: GraphCatalog, df: DataFrame) -> list[str]:
@@ -76,6 +77,17 @@ def find_all(graph: GraphCatalog, specs: Iterable[PathSpec], targets: DataFrame
     return {s.name: find_paths(graph, s, targets, partitions) for s in specs}
 
 
+def stored_paths(graph: GraphCatalog, spec: PathSpec, folder: str, partitions: Sequence, spark: SparkSession) -> DataFrame:
+    """Instances of the wanted partitions, of which only those that are not stored yet are searched.
+
+    They are kept under the specification's fingerprint, so that another specification does not meet them.
+    """
+    key = graph.partition_key
+    place = f"{folder.rstrip('/')}/{spec.name}-{spec.fingerprint(str(key))}"
+    found = write_missing(spark, place, key, partitions, lambda missing: find_paths(graph, spec, partitions=missing))
+    return found.withColumn(key, F.col(key).cast("string")).where(F.col(key).isin([str(v) for v in partitions]))
+
+
 def grouped_by_metapath(specs: Iterable[PathSpec]) -> dict[str, list[str]]:
     """Names of paths that go through the same node types."""
     groups: dict[str, list[str]] = {}

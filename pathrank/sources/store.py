@@ -54,8 +54,13 @@ def upload(df: DataFrame, table: str, key: str, comments: dict[str, str] | None
         writer = df.write.format("orc").option("compression", "snappy").partitionBy(key)
         (writer.option("path", path) if path else writer).saveAsTable(table)
         return
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.format("orc").mode("overwrite").insertInto(table, overwrite=True)
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        df.write.format("orc").mode("overwrite").insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def feature_dictionary(df: DataFrame, position: str) -> DataFrame:

@@ -173,3 +173,62 @@ def test_plans(spark, sf_dir):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "Python" not in plan
     scans = t.lineitem.where("l_quantity > 45").select("l_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in scans and "l_tax" not in scans
+
+
+def test_json_path_with_all_parts_is_the_flagship():
+    edge = lambda k, head, tail: {
+        "edge_table_name": "bought", "edge_index": k, "feature_columns": ["quantity"], "edge_sample": {"type": "top", "count": 20, "features": ["quantity"]},
+        "head_node_types": [head[0]], "head_node_indexes": [head[1]], "head_columns": [head[2]], "tail_node_types": [tail[0]], "tail_node_indexes": [tail[1]], "tail_columns": [tail[2]],
+    }
+    years = lambda k: [{"node_table_name": "First_Order", "node_type": "Customer", "node_index": k, "node_column": "customer", "feature_columns": ["first_order_year"]}]
+    hops = [
+        {"head_node_types": ["Customer"], "head_node_indexes": [1], "tail_node_types": ["Part"], "tail_node_indexes": [2], "node_schemas": years(1), "relation_list": [{"relation_type": "edge", "edge_schema": edge(1, ("Customer", 1, "customer"), ("Part", 2, "part"))}]},
+        {"head_node_types": ["Part"], "head_node_indexes": [2], "tail_node_types": ["Customer"], "tail_node_indexes": [3], "node_schemas": years(3), "path_limit": FLAGSHIP.hops[1].limit, "relation_list": [{"relation_type": "edge", "edge_schema": edge(2, ("Part", 2, "part"), ("Customer", 3, "customer"))}]},
+    ]
+    config = {"path_name": FLAGSHIP.name, "path_schema": hops}
+    assert PathSpec.from_json(config) == FLAGSHIP
+    hops[1]["path_sample"] = {"type": "Random", "count": 3}
+    assert PathSpec.from_json(config).hops[1].sample == Sample("random", 3)
+
+
+def test_stored_paths_search_only_missing_partitions(spark, tmp_path, monkeypatch):
+    edges = spark.createDataFrame([(1, 10, 1.0, "a"), (1, 20, 1.0, "b"), (2, 20, 1.0, "b")], "a long, b long, w double, month string")
+    g, asked = GraphCatalog({}, {"ab": EdgeTable(edges, {"a": "A", "b": "B"}, ("w",))}, "month"), []
+    plain = path.find_paths
+    monkeypatch.setattr(path, "find_paths", lambda *x, **more: asked.append(list(more["partitions"])) or plain(*x, **more))
+    spec = PathSpec("p", (hop(AB, (A,), (B,)),))
+    for wanted, n in ((["a"], 1), (["a", "b"], 3), (["b"], 2)):
+        assert path.stored_paths(g, spec, str(tmp_path), wanted, spark).count() == n
+    assert asked == [["a"], ["b"]]
+    path.stored_paths(g, PathSpec("p", (hop(AB, (A,), (B,)),), "inner"), str(tmp_path), ["a"], spark)
+    assert asked[-1] == ["a"] and len(asked) == 3
+
+
+def test_partitions_join_by_month(spark):
+    rows = [(1, 10, 1.0, "a"), (10, 7, 1.0, "b"), (10, 8, 1.0, "a")]
+    ab, ba = spark.createDataFrame(rows[:1], "a long, b long, w double, month string"), spark.createDataFrame(rows[1:], "b long, a long, w double, month string")
+    g = GraphCatalog({}, {"ab": EdgeTable(ab, {"a": "A", "b": "B"}, ("w",)), "ba": EdgeTable(ba, {"b": "B", "a": "A"}, ("w",))}, "month")
+    found = path.find_paths(g, PathSpec("p", (hop(AB, (A,), (B,)), hop(BA, (B,), (C,))), "inner"))
+    assert [(r.A_1, r.A_3, r.month) for r in found.collect()] == [(1, 8, "a")]
+
+
+def test_running_sums_and_quantiles(spark):
+    from pathrank.operators.profile import quantiles
+    from pathrank.operators.ranges import cumulated, numbered
+
+    values = [((k * 7919) % 1000) / 4 for k in range(1000)]
+    df = spark.createDataFrame([(float(v), k) for k, v in enumerate(values)], "v double, k long").repartition(5)
+    want, total = {}, 0
+    for v, k in sorted((v, k) for k, v in enumerate(values)):
+        want[k], total = total, total + k
+    assert {r.k: (r.before_k, r.all_k) for r in cumulated(df, [F.asc("v")], ["k"]).collect()} == {k: (n, total) for k, n in want.items()}
+    assert sorted(r.i for r in numbered(df, [F.desc("v")], "i").collect()) == list(range(1000))
+    few = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (10.0,), (None,)], "v double")
+    assert quantiles(few, "v", [0, 0.25, 0.5, 0.9, 1]).first().e == pytest.approx([1, 1.75, 2, 7.6, 10])
+    assert quantiles(few.where("false"), "v", [0.5]).first().e == [None]
+
+
+def test_scores_of_held_out_nodes_rank_better_than_chance(spark):
+    rows = spark.createDataFrame([(k, float(k % 10), float((k * 31) % 7), int(k % 10 > 5)) for k in range(400)], "node long, x double, y double, label int")
+    scores = evaluate.score_nodes(rows.where("node < 300"), rows.where("node >= 300"), ["x", "y"], "label", "node")
+    assert evaluate.roc_auc(scores.join(rows, "node"), "score", "label").first()[0] > 0.95
