@@ -6,7 +6,6 @@ routines that turn a batch of texts into arrays of words and rolling hashes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathrank.sources.shared import cut, shared_folder
+
 #: Bytes of text that one numpy batch holds: temporary arrays take some 8 times as much.
 CHUNK_BYTES = 1 << 18
 
@@ -27,20 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary one is made if Spark runs in one process; a cluster would not share it.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it as long as ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}
@@ -62,12 +49,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_key(text) -> F.Column:
     """A 256-bit key of a text: equal texts, and in effect only those, have equal keys."""
     return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))

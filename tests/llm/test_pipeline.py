@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pathrank.llm.queries import ORACLES, QUERIES
@@ -39,3 +40,37 @@ def test_stages(spark, sf_dir):
             assert all(r.n_chars == len(r.text) for r in after.values())
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def odd_rows(spark):
+    long = " ".join(f"wort{k % 977}x{k % 31}" for k in range(20_000))
+    texts = [None, "", "  \n ", "one", long, long, "the same few words again and again " * 30, "the same few words again and again " * 30, "ÀÉ 東京 " * 50]
+    rows = [(k, t, "en", "?", None, "extra") for k, t in enumerate(texts)] + [(3, "one", "en", None, 3, None), (4, long, None, None, None, None), (None, "a row without an id", "en", "s", 1, "x")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, spans string"
+    docs = spark.createDataFrame(rows, names)
+    for c in ("starts", "_spans", "h", "fp", "node", "root", "copy", "row", "d", "known", "score"):  # names that operators use inside
+        docs = docs.withColumn(c, F.lit("?"))
+    return docs
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, sf_dir, stage):
+    docs, run = odd_rows(spark), dict(corpus_pipeline.STAGES)[stage]
+    before = sorted(docs.collect(), key=repr)
+    nothing = run(spark, docs.where("false"), sf_dir)
+    assert nothing.count() == 0
+    after = run(spark, docs, sf_dir).collect()
+    if stage == "best_fit_packing":
+        assert sorted(r.length for r in after if r.doc_id == 0) == [1] and {r.doc_id for r in after} == {r.doc_id for r in before}
+        return
+    assert nothing.columns == docs.columns
+    if stage == "toxicity":
+        assert sorted(after, key=repr) == before
+    elif stage == "simhash_near_dedup":  # null, empty and blank texts are copies; ids that stay keep all their rows
+        assert sorted(after, key=repr) == [r for r in before if r.doc_id in (None, 0, 3, 4, 6, 8)]
+    else:
+        changed = {r.doc_id for r in before if r not in after}
+        assert len(after) == len(before) and all(r.spans in ("extra", None, "x") and r.known == "?" for r in after)
+        if stage == "substring_dedup":
+            assert {r.doc_id: r.text for r in after if r.doc_id in (5, 7)} == {5: "", 7: ""} and {r.text for r in after if r.doc_id == 4} == {r.text for r in before if r.doc_id == 4}
+            assert changed == {r.doc_id for r in after if r.n_chars != next(b.n_chars for b in before if b.doc_id == r.doc_id)}
