@@ -14,10 +14,11 @@ Equal fingerprints are joined as one. Links go through connected components.
 Three bits of 64 find but a quarter of the pairs whose sets of five-word shingles are alike by 0.8 or more.
 ``near_copies``, which the pipeline uses, therefore compares what the fingerprints link (one of each distinct
 text, or more from differently mixed hashes) by the shingle sets themselves, and finds the rest by an exact
-join: two sets that are alike share some of their rarest shingles (a prefix of each set in one order of all
+join: two sets that are alike share one of their rarest shingles (a prefix of each set in one order of all
 shingles). Of texts in different groups yet that share one, each is first compared with one least text; then
-all pairs that are still in different groups and share enough of their prefixes. Groups are thus those of all
-pairs, while the texts of a large group are not compared with each other again.
+all pairs that are still in different groups and share one early enough in both orders. Sketches of 512 bits,
+which differ in no more bits than the sets in shingles, pass over most of the others inside the join. Groups
+are thus those of all pairs, while the texts of a large group are not compared with each other again.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; repeated rows are repeated in the result; an empty table gives
@@ -49,6 +50,8 @@ THRESHOLD = 0.8
 #: A shingle of so many texts of one slice or more counts as common, and so many of all are told apart; both only order shingles.
 COMMON = 3
 MOST_COMMON = 200_000
+#: Words of 64 bits of a set's sketch: bit i tells whether an odd number of shingles hash to i.
+SKETCH = 8
 WIDTH = 16
 #: (equal segment, the two others of a key): without any one segment, that of several bits, either of two may be the equal one.
 TRIPLES = tuple((equal, *sorted({0, 1, 2, 3} - {bad, equal})) for bad in range(4) for equal in ((bad + 1) % 4, (bad + 2) % 4))
@@ -228,8 +231,15 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return shingle[order], n[order]
 
 
+def _sketches(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """A row of words for each set; two sets differ in as many shingles at least as their sketches in bits."""
+    bits = (mix(values.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH)
+    odd = np.bincount(owner * (64 * SKETCH) + bits, minlength=n * 64 * SKETCH).reshape(n, -1) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """doc_id, n, the size of its shingle set, and so many of its rarest shingles that an alike set shares one of its own."""
+    """doc_id, n, the size of its shingle set, so many of its rarest shingles, in order, that an alike set shares one of its own, and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +255,10 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
             rank = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
             kept = rank < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[owner]
             doc, prefix, _ = _listed(ids, owner[kept], value[order][kept])
-            yield pa.RecordBatch.from_arrays([doc, pa.array(n.astype(np.int32)), prefix], names=["doc_id", "n", "prefix"])
+            sketch = pa.array(list(_sketches(owner, value, len(ids))), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(n.astype(np.int32)), prefix, sketch], names=["doc_id", "n", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n int, prefix array<long>, sketch array<long>")
 
 
 def _alike(docs: DataFrame, candidates: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -280,7 +291,7 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     grouped = cut(components(_alike(docs, candidates, words, threshold).union(copies)))
 
     def mixed(held: DataFrame) -> DataFrame:
-        """The rows (key, doc_id, n, root) of shingles whose texts are in several groups, with the least text and its group."""
+        """The rows (key, place, doc_id, n, root) of shingles whose texts are in several groups, with the least text and its group."""
         by_key = held.groupBy("key").agg(F.min(F.struct("doc_id", "root", "n")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
         # cut before the join, which Spark can split only between shuffles: a shingle may stand in a third of all texts
         return stored(held.join(cut(by_key.where("low < high").select("key", "least")), "key"))
@@ -288,24 +299,28 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     def placed(held: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
         return held.join(roots, held["doc_id"] == roots["node"], "left").select("doc_id", "n", *columns, F.coalesce("root", "doc_id").alias("root"))
 
-    rare = stored(placed(prefixes(docs, words, threshold).join(one, "doc_id", "left_semi"), grouped, "prefix"))
-    rare = mixed(rare.select("doc_id", "n", "root", F.explode("prefix").alias("key")))
+    # sizes and sketches allow that two sets are alike
+    differing = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH)), F.lit(0))
+    possible = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9) & (differing <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-6)
+
+    def side(held: DataFrame, x: str) -> DataFrame:
+        return held.withColumnsRenamed({"doc_id": x, "n": f"n{x}", "sketch": f"s{x}", "place": f"p{x}", "root": f"r{x}"})
+
+    rare = stored(placed(prefixes(docs, words, threshold).join(one, "doc_id", "left_semi"), grouped, "prefix", "sketch"))
+    sets = rare.select("doc_id", "n", "sketch")
+    rare = mixed(rare.select("doc_id", "n", "root", F.posexplode("prefix").alias("place", "key")))
     # a text of another group is compared with the least text of most of its shingles, which joins large groups
-    fits = lambda x, y: (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9)
-    # beyond their prefixes two sets share no more than what is left of one
-    most = F.col("count") + F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
-    enough = most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
-    first = rare.where((F.col("root") != F.col("least.root")) & fits(F.col("n"), F.col("least.n")))
-    first = first.groupBy(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b"), F.col("n").alias("na"), F.col("least.n").alias("nb")).count().where(enough)
-    first = cut(first.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")).join(candidates, ["a", "b"], "left_anti"))
+    first = rare.where(F.col("root") != F.col("least.root")).groupBy(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).count()
+    first = first.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(possible).groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    first = cut(first.join(candidates, ["a", "b"], "left_anti"))
     edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
     grouped = cut(components(_alike(docs, first, words, threshold).union(edges)))
-    # then with all others of other groups
-    rare = mixed(placed(rare.drop("root"), grouped, "key"))
-    a = rare.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rare.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = a.join(b, "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"))).groupBy("a", "b", "na", "nb").count()
-    others = pairs.where(enough).select("a", "b")
+    # then with all others of other groups: before the first shingle that two alike sets share, in their order, neither has more than may differ
+    rare = mixed(placed(rare.drop("root"), grouped, "key", "place")).join(sets.select("doc_id", "sketch"), "doc_id")
+    rare = rare.drop("least")
+    least = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    early = (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
+    others = side(rare, "a").join(side(rare, "b"), "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & early & possible).select("a", "b").distinct()
     others = cut(others.join(candidates.union(first), ["a", "b"], "left_anti"))
     edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(_alike(docs, others, words, threshold).union(edges))
