@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pathrank.llm.common import cut
 
+#: Edges that a partition holds on average, at least.
+ROWS_A_PART = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)"))).first())
@@ -21,13 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct()
     stars = cut(pairs)
     state = _state(stars)
+    parts = state[0] // ROWS_A_PART + 1  # few edges are kept in few files
     while True:
         both = stars.select(F.col("high").alias("u"), F.col("low").alias("v")).union(stars.select("low", "high"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).where("high <> low").distinct()
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         rest = large.join(least, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
-        new = cut(rest.union(least.select("high", F.col("m").alias("low"))).distinct())
+        new = cut(rest.union(least.select("high", F.col("m").alias("low"))).distinct().coalesce(parts))
         last, state = state, _state(new)
         stars = new
         if state == last:

@@ -271,6 +271,13 @@ def _alike(docs: DataFrame, candidates: DataFrame, words: int, threshold: float)
     return compared.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _least_linked(edges: DataFrame) -> DataFrame:
+    """(node, root): the least text that each is linked to, or the least that one is linked to; it is in the same group."""
+    least = edges.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+    further = least.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return least.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+
+
 def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) for each document that is no group's first: root is the smallest id of its group.
 
@@ -288,7 +295,8 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     y = distinct.select("m", F.col("fp").alias("y"), F.col("least").alias("b"))
     near = links(distinct).join(x, ["m", "x"]).join(y, ["m", "y"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     candidates = cut(same.union(near).where("a <> b").distinct())
-    grouped = cut(components(_alike(docs, candidates, words, threshold).union(copies)))
+    edges = cut(_alike(docs, candidates, words, threshold).union(copies))
+    grouped = cut(_least_linked(edges))
 
     def mixed(held: DataFrame) -> DataFrame:
         """The rows (key, place, doc_id, n, root) of shingles whose texts are in several groups, with the least text and its group."""
@@ -313,8 +321,8 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     first = rare.where(F.col("root") != F.col("least.root")).groupBy(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).count()
     first = first.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(possible).groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     first = cut(first.join(candidates, ["a", "b"], "left_anti"))
-    edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    grouped = cut(components(_alike(docs, first, words, threshold).union(edges)))
+    edges = edges.union(cut(_alike(docs, first, words, threshold)))
+    grouped = cut(_least_linked(edges))
     # then with all others of other groups: before the first shingle that two alike sets share, in their order, neither has more than may differ
     rare = mixed(placed(rare.drop("root"), grouped, "key", "place")).join(sets.select("doc_id", "sketch"), "doc_id")
     rare = rare.drop("least")
@@ -322,7 +330,6 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     early = (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
     others = side(rare, "a").join(side(rare, "b"), "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & early & possible).select("a", "b").distinct()
     others = cut(others.join(candidates.union(first), ["a", "b"], "left_anti"))
-    edges = grouped.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(_alike(docs, others, words, threshold).union(edges))
 
 
