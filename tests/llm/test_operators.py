@@ -535,6 +535,33 @@ def test_quality(spark, docs, nothing):
     assert fit(nothing, table.select("doc_id", "quality")).share == 1.0
 
 
+def test_word_vectors(spark, rows, nothing):
+    from pathrank.llm.common import SPACES, Words
+    from pathrank.llm.quality import CONTEXT, PLACES, context_vectors, fixed_vectors, tokens, vocabulary
+
+    texts = [t for _, t in rows if t and t.split()] + ["twice one", "twice two", None, "", "  "]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    held = [set((t or "").encode().split()) for t in texts]
+    count = {w: sum(w in h for h in held) for w in set().union(*held)}
+    words = sorted(count)
+    hashes = dict(zip(words, Words([b" ".join(words)], SPACES).hashes[0].tolist(), strict=True))
+    known = vocabulary(table)
+    assert set(known.tolist()) == {hashes[w] for w in words if count[w] > 1} and (np.diff(known.astype(object)) > 0).all()
+    best = sorted((w for w in words if count[w] > 1), key=lambda w: (-count[w], np.uint64(hashes[w]).view(np.int64)))
+    assert set(vocabulary(table, 3).tolist()) == {hashes[w] for w in best[:3]}
+    fixed = fixed_vectors(len(known))
+    want = np.zeros((PLACES + len(known), fixed.shape[1]))
+    for t in texts:
+        own = tokens(Words([(t or "").encode()], SPACES), known)
+        for i in range(len(own)):
+            for j in range(max(0, i - CONTEXT), min(len(own), i + CONTEXT + 1)):
+                if j != i:
+                    want[own[i, 0]] += fixed[own[j, 0]] + fixed[own[j, 1]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(context_vectors(table, known), want, atol=1e-5)
+    assert len(vocabulary(nothing)) == 0 and not context_vectors(nothing, known).any()
+
+
 def test_packing(spark, docs, rows, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
