@@ -49,9 +49,9 @@ _CLASS = np.array([0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b
 def fixed_vectors(known: int) -> np.ndarray:
     """The fixed vectors of all places and then of so many known words."""
     rng = np.random.default_rng(12345)
-    out = np.zeros((PLACES + known, DIMENSIONS), np.float32)
+    out = np.zeros((PLACES + known, DIMENSIONS), np.int8)
     held = np.argpartition(rng.random(out.shape, np.float32), NONZERO, axis=1)[:, :NONZERO]
-    np.put_along_axis(out, held, rng.choice(np.array([-1, 1], np.float32), held.shape), axis=1)
+    np.put_along_axis(out, held, rng.choice(np.array([-1, 1], np.int8), held.shape), axis=1)
     return out
 
 
@@ -88,7 +88,7 @@ def _summed(rows: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
     order = np.argsort(places, kind="stable")
     held = places[order]
     first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-    into[held[first]] += np.add.reduceat(rows[order], first, axis=0)
+    into[held[first]] += np.add.reduceat(rows[order], first, axis=0, dtype=np.int32)
 
 
 def vocabulary(labelled: DataFrame, most: int = VOCABULARY) -> np.ndarray:
@@ -115,22 +115,24 @@ def context_vectors(docs: DataFrame, known: np.ndarray) -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = fixed_vectors(len(shared.value))
-        sums = np.zeros((len(fixed), DIMENSIONS))
+        sums = np.zeros((len(fixed), DIMENSIONS), np.int64)
         for batch in batches:
             for part in chunks((t,) for t in batch.column("text").cast(pa.binary()).to_pylist() if t):
                 words = Words([t for (t,) in part], SPACES)
                 own = tokens(words, shared.value)
                 if not len(own):
                     continue
-                vectors = fixed[own[:, 0]] + fixed[own[:, 1]]
+                # rows of zeros part the documents
+                at = np.arange(len(own)) + CONTEXT * (words.doc + 1)
+                vectors = np.zeros((at[-1] + CONTEXT + 1, DIMENSIONS), np.int8)
+                vectors[at] = fixed[own[:, 0]] + fixed[own[:, 1]]
                 around = np.zeros_like(vectors)
                 for d in range(1, CONTEXT + 1):
-                    same = (words.doc[d:] == words.doc[:-d])[:, None]
-                    around[d:] += vectors[:-d] * same
-                    around[:-d] += vectors[d:] * same
-                _summed(around, own[:, 0], sums)
+                    around[d:] += vectors[:-d]
+                    around[:-d] += vectors[d:]
+                _summed(around[at], own[:, 0], sums)
         some = np.flatnonzero(np.abs(sums).sum(axis=1))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * DIMENSIONS), pa.array(sums[some].astype(np.int64).ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * DIMENSIONS), pa.array(sums[some].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), lists], names=["row", "v"])
 
     parts = docs.select("text").mapInArrow(scan, "row int, v array<long>")
@@ -152,7 +154,7 @@ def pooled(texts: list[bytes], fixed: np.ndarray, context: np.ndarray, known: np
         some = np.flatnonzero(words.counts)
         if len(some):
             n = words.counts[some][:, None]
-            blocks = [np.add.reduceat(m[own[:, k]], words.first[some], axis=0) / n for m, k in ((fixed, 0), (fixed, 1), (fixed, 2), (context, 0))]
+            blocks = [np.add.reduceat(m[own[:, k]], words.first[some], axis=0, dtype=np.float32) / n for m, k in ((fixed, 0), (fixed, 1), (fixed, 2), (context, 0))]
             out[at + some] = np.concatenate([*blocks, np.log1p(n) / 10], axis=1)
         at += len(part)
     return out
