@@ -91,6 +91,24 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op13_run_length_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathrank.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_label_propagation": op1_balanced_label_propagation,
     "op2_multiple_instance_toxicity": op2_multiple_instance_toxicity,
@@ -102,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_log_structured_windows": op8_log_structured_windows,
     "op9_random_indexing_quality": op9_random_indexing_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_filter_transducer": op11_filter_transducer,
+    "op12_host_suffix_array": op12_host_suffix_array,
+    "op13_run_length_divergence": op13_run_length_divergence,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,4 +145,37 @@ r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM g JOIN f USING
 e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
 s AS (SELECT doc_id, count(r.k) AS n_removed, string_agg(word, ' ' ORDER BY e.k) FILTER (r.k IS NULL) AS kept FROM e LEFT JOIN r USING (doc_id, k) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+    "op11_filter_transducer": r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+x(a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.a || q.a || r.a || s.a || t.a AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.a, q.a, r.a, s.a, t.a])) = 5),
+g AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+m AS (SELECT filter_order, step, c.*, substr(filter_order, step, 1) AS letter, contains(fails, substr(filter_order, step, 1)) AS fails_own, translate(fails, substr(filter_order, 1, step - 1), '') <> fails AS gone FROM g, c),
+r AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT fails_own THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails_own THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN gone AND fails_own THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT gone AND fails_own THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails_own THEN bad ELSE 0 END) AS toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::bigint AS shapley FROM r""",
+    "op13_run_length_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+s AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN s USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM k),
+l AS (SELECT lang, term, sum(n) AS n FROM k GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM l),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 50)
+SELECT lang, source, part, item, value::bigint AS value, rank::int AS rank FROM r""",
 }
