@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathrank.operators import path
 from pathrank.plans.spec import PathSpec, Position
+from pathrank.sources.catalog import GraphCatalog
+from pathrank.sources.manifest import content_versions, resumed
 
 _FUNCTIONS = {"AVG": F.avg, "SUM": F.sum, "MAX": F.max, "MIN": F.min}
 
@@ -31,13 +34,20 @@ def aggregate_features(df: DataFrame, ids: Sequence[str], features: Sequence[str
 
 
 def wide_aggregate(df: DataFrame, ids: Sequence[str], features: Sequence[str], functions: Sequence[str], columns: int = 300, missing: str = "zero") -> DataFrame:
-    """The same in groups of at most ``columns`` aggregates, joined on the ids: keeps each stage's code compilable."""
-    every = expressions(features, functions, missing)
-    parts = [df.groupBy(*ids).agg(*every[k : k + columns]) for k in range(0, len(every), columns)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, list(ids))
-    return out
+    """The same for more aggregates than one stage's code can hold (``columns``), in one pass over the data.
+
+    Features become rows (id, feature's number, value), which one aggregation of constant width reduces before
+    they are shuffled; a second one puts a start's features, a row each by then, back into columns.
+    """
+    if len(features) * len(functions) <= columns:
+        return aggregate_features(df, ids, features, functions, missing)
+    value = F.array(*[F.struct(F.lit(k).alias("_f"), _value(c, missing).alias("_v")) for k, c in enumerate(features)])
+    made = [f for f in functions if f != "COUNT"]
+    parts = [_FUNCTIONS[f]("_v").alias(f) for f in made] + [F.count("*").alias("COUNT")]
+    tall = df.select(*ids, F.inline(value)).groupBy(*ids, "_f").agg(*parts)
+    whole = tall.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("_f", F.struct(*made, "COUNT")))).alias("_m"))  # a row for each feature
+    cells = [F.col("_m")[k][f].alias(f"{f}_{c}") for f in made for k, c in enumerate(features)]
+    return whole.select(*ids, *cells, *([F.col("_m")[0]["COUNT"].alias("COUNT_All")] if "COUNT" in functions else []))
 
 
 def node_aggregate(paths: DataFrame, start: Sequence[str], position: Position, table: DataFrame, id_column: str, features: Sequence[str], functions: Sequence[str], missing: str = "zero") -> DataFrame:
@@ -79,6 +89,24 @@ def aggregate_path(paths: DataFrame, spec: PathSpec, tables: dict[str, tuple[Dat
     return out
 
 
+def stored_elements(graph: GraphCatalog, spec: PathSpec, folder: str, partitions: Sequence, spark: SparkSession, tables: dict[str, tuple[DataFrame, str, Sequence[str]]], functions: Sequence[str], missing: str = "zero", targets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The aggregates of ``aggregate_path`` by start node and partition, of which only unfinished partitions are computed.
+
+    Instances come from ``stored_paths`` in the same folder, so that they are searched once for all positions.
+    """
+    key = graph.partition_key
+    sources = [*path.source_tables(graph, spec), *[(data, [id_column, *features]) for data, id_column, features in tables.values()]]
+    versions = content_versions(sources, key, partitions)
+    state = "|".join([repr(sorted(functions)), missing, path.targets_state(targets)])
+    place = f"{folder.rstrip('/')}/{spec.name}-{spec.fingerprint(str(key))}-elements"
+    names = [f"Node___{p.type}___{p.index}" for p in spec.positions() if p.type in tables and p not in spec.start] + [f"Edge___{e.table}___{e.index}" for e in spec.edges() if e.features]
+
+    def computed(name: str):
+        return lambda wanted: aggregate_path(path.stored_paths(graph, spec, folder, wanted, spark, targets), spec, tables, functions, missing, key)[name]
+
+    return {name: resumed(spark, f"{place}/{name}", key, partitions, computed(name), state, versions) for name in names}
+
+
 def weight_aggregate(paths: DataFrame, start: str, node: str, weight: str, functions: Sequence[str] = ("AVG", "SUM", "MAX", "MIN", "COUNT")) -> DataFrame:
     """Weights summed per (start, node), then aggregated per start."""
     return aggregate_features(paths.groupBy(start, node).agg(F.sum(weight).alias(weight)), [start], [weight], functions)

@@ -43,8 +43,9 @@ def missing_nodes(paths: DataFrame, types: dict[str, str], index: DataFrame) ->
 
 def with_reverse(edges: DataFrame, relation: str = "relation") -> DataFrame:
     """Edges (relation, head, tail) and, as ``<relation>_by``, the same with ends swapped."""
-    back = edges.select(F.concat(F.col(relation), F.lit("_by")).alias(relation), F.col("tail").alias("head"), F.col("head").alias("tail"))
-    return edges.select(relation, "head", "tail").unionByName(back)
+    there = F.struct(relation, "head", "tail")
+    back = F.struct(F.concat(F.col(relation), F.lit("_by")).alias(relation), F.col("tail").alias("head"), F.col("head").alias("tail"))
+    return edges.select(F.inline(F.array(there, back)))  # one pass
 
 
 def merged_hops(parts: Sequence[DataFrame]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pathrank.operators.ranges import numbered
 from pathrank.operators.sampling import random_n, top_n
+from pathrank.sources.manifest import resumed
+from pathrank.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -67,37 +70,88 @@ def path_types(relations: Sequence[Relation], start: str, end: str, hops: int, m
     return found
 
 
-def _edges(r: Relation, aim: str, hop: int, head: str, tail: str) -> DataFrame:
+def hop_edges(r: Relation, aim: str, hop: int, head: str, tail: str) -> DataFrame:
+    """The distinct (head, tail) of a relation walked in one direction, under the cap of this hop."""
     (a, _), (b, _) = r.ends(aim)
+    cap = r.cap(aim, hop)
+    if cap <= 0:
+        return r.data.select(F.col(a).alias(head), F.col(b).alias(tail)).dropna().distinct()
     weight = F.col(r.weight).cast("double") if r.weight else F.lit(1.0)
     edges = r.data.select(F.col(a).alias(head), F.col(b).alias(tail), weight.alias("_w")).dropna().groupBy(head, tail).agg(F.sum("_w").alias("_w"))
-    cap = r.cap(aim, hop)
-    if cap > 0:
-        edges = top_n(edges, [head], ["_w"], [tail], cap)
-    return edges.drop("_w")
+    return top_n(edges, [head], ["_w"], [tail], cap).drop("_w")
+
+
+def _restricted(edges: DataFrame, starts: DataFrame | None, column: str) -> DataFrame:
+    return edges if starts is None else edges.join(starts.select(F.col(starts.columns[0]).alias(column)).distinct(), column, "left_semi")
+
+
+def extended(found: DataFrame | None, relations: dict[str, Relation], path: PathType, hop: int, starts: DataFrame | None) -> DataFrame:
+    """The instances of a type's first ``hop`` steps with the next one; a new node differs from the earlier ones of its type."""
+    columns, (name, aim) = path.columns, path.steps[hop]
+    edges = hop_edges(relations[name], aim, hop, columns[hop], columns[hop + 1])
+    found = _restricted(edges, starts, columns[0]) if found is None else found.join(edges, columns[hop], "left")
+    for k in range(hop + 1):
+        if path.types[k] == path.types[hop + 1]:
+            found = found.where(F.col(columns[hop + 1]) != F.col(columns[k]))
+    return found
 
 
 def instances(relations: Sequence[Relation], path: PathType, starts: DataFrame | None = None) -> DataFrame:
     """The self-avoiding instances of a path type; hops are left joins, whose null ends a test for a type's earlier nodes drops."""
-    by_name, columns, found = {r.name: r for r in relations}, path.columns, None
-    for hop, (name, aim) in enumerate(path.steps):
-        edges = _edges(by_name[name], aim, hop, columns[hop], columns[hop + 1])
-        if found is None:
-            found = edges if starts is None else edges.join(starts.select(F.col(starts.columns[0]).alias(columns[0])).distinct(), columns[0], "left_semi")
-        else:
-            found = found.join(edges, columns[hop], "left")
-        for k in range(hop + 1):
-            if path.types[k] == path.types[hop + 1]:
-                found = found.where(F.col(columns[hop + 1]) != F.col(columns[k]))
-    return found.select(*columns)
+    by_name, found = {r.name: r for r in relations}, None
+    for hop in range(len(path.steps)):
+        found = extended(found, by_name, path, hop, starts)
+    return found.select(*path.columns)
 
 
-def all_instances(relations: Sequence[Relation], paths: Sequence[PathType], start: str = "start", end: str = "end") -> DataFrame:
-    """(path, start, end) of every instance of every type, ends that are null left out."""
-    parts = [instances(relations, p).select(F.lit(p.name).alias("path"), F.col(p.columns[0]).alias(start), F.col(p.columns[-1]).alias(end)).where(f"{end} is not null") for p in paths]
+class Trie:
+    """The prefixes of path types, each searched once: a prefix that others continue is kept, and continued from there.
+
+    Kept prefixes are materialised, or, in a ``folder``, stored under a manifest: a search that starts again with the same
+    ``state`` (what the relations and starts depend on) goes on behind the prefixes that are finished.
+    """
+
+    def __init__(self, relations: Sequence[Relation], paths: Sequence[PathType], starts: DataFrame | None = None, folder: str | None = None, state: str = "") -> None:
+        self.relations, self.paths, self.starts = {r.name: r for r in relations}, list(paths), starts
+        self.folder, self.state = folder, state
+        self.inner = {p.steps[:k] for p in paths for k in range(1, len(p.steps))}
+        self.held: dict[tuple, DataFrame] = {}
+
+    def _prefix(self, path: PathType, steps: int) -> DataFrame | None:
+        if steps == 0:
+            return None
+        key = path.steps[:steps]
+        if key not in self.held:
+            short = PathType(key, path.types[: steps + 1])
+            compute = lambda: extended(self._prefix(path, steps - 1), self.relations, short, steps - 1, self.starts).select(*short.columns)
+            if self.folder is None:
+                self.held[key] = cut(compute())
+            else:
+                spark = self.relations[key[0][0]].data.sparkSession
+                named = f"{self.folder.rstrip('/')}/{hashlib.md5(short.name.encode()).hexdigest()}"
+                self.held[key] = resumed(spark, named, "prefix", [short.name], lambda _: compute().withColumn("prefix", F.lit(short.name)), self.state).drop("prefix")
+        return self.held[key]
+
+    def instances(self, path: PathType) -> DataFrame:
+        if path.steps in self.inner:
+            return self._prefix(path, len(path.steps))
+        return extended(self._prefix(path, len(path.steps) - 1), self.relations, path, len(path.steps) - 1, self.starts).select(*path.columns)
+
+    def all_instances(self, start: str = "start", end: str = "end") -> DataFrame:
+        """(path, start, end) of every instance of every type, ends that are null left out."""
+        return _ends({p.name: (self.instances(p), p) for p in self.paths}, start, end)
+
+
+def _ends(found: dict[str, tuple[DataFrame, PathType]], start: str, end: str) -> DataFrame:
+    parts = [df.select(F.lit(name).alias("path"), F.col(p.columns[0]).alias(start), F.col(p.columns[-1]).alias(end)).where(f"{end} is not null") for name, (df, p) in found.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def all_instances(relations: Sequence[Relation], paths: Sequence[PathType], start: str = "start", end: str = "end") -> DataFrame:
+    """(path, start, end) of every instance of every type, ends that are null left out; prefixes are searched for each type."""
+    return _ends({p.name: (instances(relations, p), p) for p in paths}, start, end)
+
+
 def subgraph(relations: Sequence[Relation], seeds: DataFrame, seed_type: str, hops: int, sample: str = "top") -> DataFrame:
     """(hop, relation, direction, head, tail, weight) of the edges that touch each hop's seeds, under its caps.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pathrank.operators.sampling import capped
 from pathrank.plans.spec import Edge, Hop, Nested, PathSpec
 from pathrank.sources.catalog import GraphCatalog
+from pathrank.sources.manifest import content_versions, resumed
 from pathrank.sources.scan import edge_scan, node_scan, restricted
-from pathrank.sources.store import write_missing
 
 
 def _key(graph: GraphCatalog, df: DataFrame) -> list[str]:
@@ -35,22 +35,23 @@ def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partition
     return found
 
 
-def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False) -> DataFrame:
+def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None) -> DataFrame:
     """A row for each instance of the path.
 
     targets: start nodes (columns named like start positions) to which the search is restricted; all if None.
     reduce: restrict each further hop's edges to the tails found so far; pays off when targets are few.
+    hop_rows: the rows of each hop's relations, where they are known already; all others are searched.
     """
     spec.validate()
     path: DataFrame | None = None
     attributes: list[str] = []
-    for hop in spec.hops:
+    for k, hop in enumerate(spec.hops):
         heads = [p.column for p in hop.heads]
         if path is None:
             seeds = None if targets is None else targets
         else:
             seeds = path.select(*heads, *_key(graph, path)).distinct() if reduce else None
-        new = relation(graph, hop, seeds, partitions, reduce)
+        new = hop_rows[k] if hop_rows else relation(graph, hop, seeds, partitions, reduce)
         if path is None:
             path = restricted(new, targets, [c for c in heads if targets is not None and c in targets.columns]) if targets is not None and any(c in targets.columns for c in heads) else new
         else:
@@ -77,15 +78,35 @@ def find_all(graph: GraphCatalog, specs: Iterable[PathSpec], targets: DataFrame
     return {s.name: find_paths(graph, s, targets, partitions) for s in specs}
 
 
-def stored_paths(graph: GraphCatalog, spec: PathSpec, folder: str, partitions: Sequence, spark: SparkSession) -> DataFrame:
-    """Instances of the wanted partitions, of which only those that are not stored yet are searched.
+def source_tables(graph: GraphCatalog, spec: PathSpec) -> list[tuple[DataFrame, list[str]]]:
+    """The tables that a path reads, nested paths included, each with the columns that decide what is found."""
+    found = [(graph.edges[e.table].data, [c for c in graph.edges[e.table].data.columns if c in graph.edges[e.table].ends or c in graph.edges[e.table].features or c == graph.partition_key]) for e in spec.edges()]
+    for hop in spec.all_hops():
+        for node in hop.nodes:
+            table = graph.node(node.position.type, node.table)
+            found.append((table.data, [c for c in table.data.columns if c == table.id_column or c in table.features or c == graph.partition_key]))
+    return found
+
 
-    They are kept under the specification's fingerprint, so that another specification does not meet them.
+def stored_paths(graph: GraphCatalog, spec: PathSpec, folder: str, partitions: Sequence, spark: SparkSession, targets: DataFrame | None = None, versions: Mapping[str, str] | None = None) -> DataFrame:
+    """Instances of the wanted partitions, of which only those that are not finished yet are searched.
+
+    They are kept under the specification's fingerprint. A partition is finished if it was searched, whether it has
+    instances or not, for the same targets and the same version of its source: ``versions`` (partition: version), or else a
+    version by the content of the tables that the path reads.
     """
     key = graph.partition_key
     place = f"{folder.rstrip('/')}/{spec.name}-{spec.fingerprint(str(key))}"
-    found = write_missing(spark, place, key, partitions, lambda missing: find_paths(graph, spec, partitions=missing))
-    return found.withColumn(key, F.col(key).cast("string")).where(F.col(key).isin([str(v) for v in partitions]))
+    versions = content_versions(source_tables(graph, spec), key, partitions) if versions is None else versions
+    return resumed(spark, place, key, partitions, lambda missing: find_paths(graph, spec, targets, partitions=missing), targets_state(targets), versions)
+
+
+def targets_state(targets: DataFrame | None) -> str:
+    """Which targets a result is for: equal sets of rows have equal states."""
+    if targets is None:
+        return "all"
+    one = targets.select(*sorted(targets.columns)).distinct().agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(targets.columns)).cast("decimal(20,0)")).alias("h")).first()
+    return f"{','.join(sorted(targets.columns))}:{one['n']}:{one['h']}"
 
 
 def grouped_by_metapath(specs: Iterable[PathSpec]) -> dict[str, list[str]]:

@@ -96,6 +96,14 @@ class PathSpec:
                 else:
                     yield from relation.what.path.edges()
 
+    def all_hops(self) -> Iterator[Hop]:
+        """The hops, those of nested paths included."""
+        for hop in self.hops:
+            yield hop
+            for relation in hop.relations:
+                if isinstance(relation.what, Nested):
+                    yield from relation.what.path.all_hops()
+
     def positions(self) -> list[Position]:
         """All node positions, in the order in which they come up."""
         found: dict[Position, None] = {}

@@ -14,9 +14,9 @@ from pyspark.sql.types import DoubleType
 
 from pathrank.fixtures import SEGMENTS, SQL, Tables
 from pathrank.functions import dates, names, vectors
-from pathrank.operators import aggregate, evaluate, features, index, khop, labels, metapath, pairs, path, profile, sampling
+from pathrank.operators import aggregate, evaluate, features, index, khop, labels, meet, metapath, pairs, path, profile, sampling, semiring
 from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, Position, Relation, Sample, chain, step
-from pathrank.sources import catalog, scan, store
+from pathrank.sources import catalog, manifest, scan, store
 from pathrank.sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,39 @@ def _(t):
     return rounded(found.groupBy("month").agg(F.count("*").alias("n_paths"), F.countDistinct("Customer_1").alias("n_starts"), F.sum("Edge_2_quantity").alias("quantity")))
 
 
+OF_A_YEAR = PathSpec("purchases_of_a_month", (Hop((C1,), (P2,), (Relation(Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity > 5", Sample("top", 5, ("quantity",)), ("quantity",))),)),))
+
+
+def by_month_of_year(t: Tables, less: str | None = None) -> catalog.GraphCatalog:
+    """Purchases by month of the year, ``01`` to ``12``, without those of ``less`` in February."""
+    edges = t.bought_monthly().groupBy("customer", "part", F.substring("month", 6, 2).alias("month")).agg(F.sum("quantity").alias("quantity"))
+    edges = edges.where(f"not (month = '02' and {less})") if less else edges
+    return catalog.GraphCatalog({}, {"bought": catalog.EdgeTable(edges, {"customer": "Customer", "part": "Part"}, ("quantity",))}, "month")
+
+
+@query("S08_manifest", """, m AS (SELECT customer, part, substr(month, 6, 2) AS month, sum(quantity) AS quantity FROM bought_monthly GROUP BY ALL),
+h AS (SELECT month, quantity, row_number() OVER (PARTITION BY customer, month ORDER BY quantity DESC) AS rk FROM m WHERE quantity > 5 AND NOT (month = '02' AND quantity > 40)),
+w AS (SELECT unnest(['01', '02', '13']) AS month, unnest([1, 2, 1]) AS n_commits)
+SELECT month, n_commits::bigint AS n_commits, count(rk) AS n_rows, count(rk) AS n_paths, round(coalesce(sum(quantity), 0), 4) AS quantity FROM w LEFT JOIN (SELECT * FROM h WHERE rk <= 5) USING (month) GROUP BY 1, 2""")
+def _(t):
+    folder, before, after = scratch(t, "manifest"), by_month_of_year(t), by_month_of_year(t, "quantity > 40")
+    path.stored_paths(before, OF_A_YEAR, folder, ["01", "13"], t.spark)
+    path.stored_paths(before, OF_A_YEAR, folder, ["01", "02", "13"], t.spark)
+    found = path.stored_paths(after, OF_A_YEAR, folder, ["01", "02", "13"], t.spark)  # only February's source is another one
+    place = manifest.Manifest(t.spark, f"{folder}/{OF_A_YEAR.name}-{OF_A_YEAR.fingerprint('month')}", "month")
+    commits = place.table().groupBy(F.col("partition").alias("month")).agg(F.count("*").alias("n_commits"), F.max_by("n_rows", "at").alias("n_rows"))
+    paths = found.groupBy("month").agg(F.count("*").alias("n_paths"), F.sum("Edge_1_quantity").alias("quantity"))
+    return rounded(commits.join(paths, "month", "left").fillna(0, subset=["n_paths", "quantity"]))
+
+
+@query("S09_stored_by_partition", MONTHLY_SQL + "SELECT month, Customer_1, round(avg(acctbal) + 1e-9, 4) AS AVG_acctbal, count(*) AS COUNT_All FROM paths JOIN customers ON customer = Customer_3 GROUP BY 1, 2")
+def _(t):
+    folder, graph, tables = scratch(t, "by-partition"), t.monthly_graph(), {"Customer": (t.customers(), "customer", ["acctbal"])}
+    aggregate.stored_elements(graph, MONTHLY, folder, MONTHS[:2], t.spark, tables, ["AVG", "COUNT"])
+    found = aggregate.stored_elements(graph, MONTHLY, folder, MONTHS, t.spark, tables, ["AVG", "COUNT"])["Node___Customer___3"]
+    return rounded(found.select("month", "Customer_1", "AVG_acctbal", "COUNT_All"), nudge=1e-9)
+
+
 # ---------------------------------------------------------------- P: projection, filter, predicate
 
 
@@ -435,6 +468,36 @@ def _(t):
     return found.groupBy("Customer_1").agg(F.count("*").alias("n_paths"), F.countDistinct("Supplier_2").alias("n_suppliers"), F.sum("Customer_3").alias("sum_customers"))
 
 
+THREE = """, bh AS (SELECT customer, supplier FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY quantity DESC, md5('42|' || customer || '|' || supplier), supplier) rk FROM buys_from) WHERE rk <= 3),
+bt AS (SELECT customer, supplier FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY quantity DESC, md5('42|' || supplier || '|' || customer), customer) rk FROM buys_from) WHERE rk <= 3),
+bn AS (SELECT customer, nation FROM in_nation_c), sn AS (SELECT supplier, nation FROM in_nation_s),
+instances AS (SELECT 'buys_from_Aim_Head' AS path, customer AS start, supplier AS "end" FROM bh
+  UNION ALL SELECT 'in_nation_c_Aim_Head__in_nation_s_Aim_Tail', customer, supplier FROM bn JOIN sn USING (nation)
+  UNION ALL SELECT 'buys_from_Aim_Head__buys_from_Aim_Tail__buys_from_Aim_Head', a.customer, c.supplier FROM bh a JOIN bt b USING (supplier) JOIN bh c ON c.customer = b.customer WHERE b.customer <> a.customer AND c.supplier <> a.supplier
+  UNION ALL SELECT 'buys_from_Aim_Head__in_nation_s_Aim_Head__in_nation_s_Aim_Tail', a.customer, y.supplier FROM bh a JOIN sn x USING (supplier) JOIN sn y ON y.nation = x.nation WHERE y.supplier <> a.supplier
+  UNION ALL SELECT 'in_nation_c_Aim_Head__in_nation_c_Aim_Tail__buys_from_Aim_Head', a.customer, c.supplier FROM bn a JOIN bn b USING (nation) JOIN bh c ON c.customer = b.customer WHERE a.customer <> b.customer)"""
+
+
+def three_hops(t):
+    relations = [khop.Relation("buys_from", t.buys_from(), ("customer", "Customer"), ("supplier", "Supplier"), "quantity", (3,), (3,)), *khop_relations(t)[1:]]
+    return relations, khop.path_types(relations, "Customer", "Supplier", 3)
+
+
+@query("J11_both_ends", KNOWN + THREE + """, c AS (SELECT start, "end", count(*) AS n FROM instances GROUP BY 1, 2) SELECT p.start, p."end", coalesce(n, 0) AS cover_count FROM pairs p LEFT JOIN c ON p.start = c.start AND p."end" = c."end" """)
+def _(t):
+    """How many instances of all types of up to three hops join each known pair, counted from both ends."""
+    return meet.both_ends_cover(*three_hops(t), known_pairs(t))
+
+
+@query("J12_both_ends", KNOWN + THREE + """, c AS (SELECT start, "end", path, count(*) AS n FROM instances GROUP BY 1, 2, 3) SELECT p.start, p."end", coalesce(sum(n) FILTER (path = 'buys_from_Aim_Head'), 0)::bigint AS direct, coalesce(sum(n) FILTER (path LIKE 'in_nation_c%'), 0)::bigint AS by_nation, coalesce(sum(n) FILTER (path LIKE 'buys_from_Aim_Head__%'), 0)::bigint AS by_supplier, count(path) AS n_kinds, coalesce(sum(n), 0)::bigint AS n_total
+ FROM pairs p LEFT JOIN c ON p.start = c.start AND p."end" = c."end" GROUP BY 1, 2""")
+def _(t):
+    relations, types = three_hops(t)
+    found = meet.both_ends_matrix(relations, types, known_pairs(t))
+    total = lambda prefix: sum((F.col(p.name) for p in types if p.name.startswith(prefix)), F.lit(0).cast("long"))
+    return found.select("start", "end", F.col("buys_from_Aim_Head").alias("direct"), total("in_nation_c").alias("by_nation"), total("buys_from_Aim_Head__").alias("by_supplier"), F.col("n_kinds").cast("long").alias("n_kinds"), "n_total")
+
+
 # ---------------------------------------------------------------- G: paths and graphs
 
 
@@ -489,6 +552,15 @@ def _(t):
     return path.find_paths(t.graph(), chain("linear", steps, limits={1: "Customer_1 <> Customer_3"}, samples={1: Sample("random", 10)}))
 
 
+RICH = PathSpec(
+    "parts_of_the_rich",
+    (
+        Hop((C1,), (P2,), (Relation(Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity > 45")),)),
+        Hop((P2,), (C3,), (Relation(Edge("bought", 2, ((P2, "part"),), ((C3, "customer"),))),), (NodeAttributes("Base", C3, "customer", ("acctbal",)),), "Customer_3_acctbal > 9000"),
+        Hop((C3,), (Position("Nation", 4),), (Relation(Edge("in_nation_c", 3, ((C3, "customer"),), ((Position("Nation", 4), "nation"),), "nation < 3")),)),
+    ),
+    "inner",
+)
 METAPATH = """, a AS (SELECT o_custkey AS c, l_partkey AS p, sum(l_quantity) AS w1 FROM purchases GROUP BY 1, 2), a5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY w1 DESC, md5('42|' || c || '|' || p), p) rk FROM a) WHERE rk <= 5),
 b AS (SELECT part AS p, supplier AS s, sum(quantity) AS w2 FROM line WHERE discount < 0.05 GROUP BY 1, 2), meta AS (SELECT c AS Customer, p AS Part, s AS Supplier, w1 AS Weight_1, w2 AS Weight_2 FROM a5 JOIN b USING (p) WHERE w1 + w2 > 60)
 """
@@ -510,6 +582,13 @@ def _(t):
     return khop_instances(t)
 
 
+@query("G06_prefix_trie", THREE + 'SELECT path, count(*) AS n, count(DISTINCT start) AS n_starts, count(DISTINCT "end") AS n_ends FROM instances GROUP BY 1')
+def _(t):
+    """Types of up to three hops, of which prefixes that several share are searched once."""
+    found = khop.Trie(*three_hops(t)).all_instances()
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("start").alias("n_starts"), F.countDistinct("end").alias("n_ends"))
+
+
 SUBGRAPH = """, seeds AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9900),
 h1a AS (SELECT 1 AS hop, 'buys_from' AS relation, 'Aim_Head' AS direction, customer AS head, supplier AS tail, quantity AS weight FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY quantity DESC, md5('42|' || customer || '|' || supplier), supplier) rk FROM buys_from WHERE customer IN (SELECT node FROM seeds)) WHERE rk <= 3),
 h1b AS (SELECT 1, 'in_nation_c', 'Aim_Head', customer, nation, 1.0 FROM in_nation_c WHERE customer IN (SELECT node FROM seeds)),
@@ -541,6 +620,24 @@ def _(t):
     return metapath.node_query(customer_part_supplier(t), "Customer")
 
 
+@query("G08_full_reducer", """, b AS (SELECT part FROM bought b JOIN customers c USING (customer) JOIN in_nation_c n USING (customer) WHERE acctbal > 9000 AND nation < 3) SELECT DISTINCT customer AS Customer_1 FROM bought WHERE quantity > 45 AND part IN (SELECT part FROM b)""")
+def _(t):
+    """Which customers have an instance of three hops, by semi-joins from the last one."""
+    return semiring.starts(t.graph(), RICH)
+
+
+@query("G01_reduced", """SELECT a.customer AS Customer_1, a.part AS Part_2, l.supplier AS Supplier_3, n.nation AS Nation_4 FROM (SELECT * FROM bought WHERE quantity > 48) a JOIN (SELECT DISTINCT part, supplier FROM line WHERE discount < 0.03) l USING (part) JOIN in_nation_s n USING (supplier) WHERE n.nation < 5""")
+def _(t):
+    """Instances built from hops whose rows all take part in one."""
+    s3, n4 = Position("Supplier", 3), Position("Nation", 4)
+    hops = (
+        Hop((C1,), (P2,), (Relation(Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity > 48")),)),
+        Hop((P2,), (s3,), (Relation(Edge("line", 2, ((P2, "part"),), ((s3, "supplier"),), "discount < 0.03")),)),
+        Hop((s3,), (n4,), (Relation(Edge("in_nation_s", 3, ((s3, "supplier"),), ((n4, "nation"),))),), limit="Nation_4 < 5"),
+    )
+    return semiring.find_reduced(t.graph(), PathSpec("sold_near", hops, "inner"))
+
+
 UNIVERSE = METAPATH + ", nodes AS (SELECT 'Customer' AS node_type, Customer::varchar AS node FROM meta UNION SELECT 'Part', Part::varchar FROM meta UNION SELECT 'Supplier', Supplier::varchar FROM meta UNION SELECT 'Nation', nation::varchar FROM in_nation_s), idx AS (SELECT node_type, node, row_number() OVER (PARTITION BY node_type ORDER BY node) - 1 AS idx FROM nodes)\n"
 
 
@@ -583,12 +680,12 @@ def _(t):
 
 @query("G14_reverse_edges", SUBGRAPH + "SELECT relation, head, tail FROM sub UNION ALL SELECT relation || '_by', tail, head FROM sub")
 def _(t):
-    return index.with_reverse(customer_subgraph(t))
+    return index.with_reverse(cut(customer_subgraph(t)))
 
 
 @query("G15_merged_hops", SUBGRAPH + "SELECT DISTINCT relation, head, tail FROM sub")
 def _(t):
-    sub = customer_subgraph(t)
+    sub = cut(customer_subgraph(t))  # read for each hop
     return index.merged_hops([sub.where("hop = 1"), sub.where("hop = 2")])
 
 
@@ -685,6 +782,50 @@ def _(t):
     return rounded(aggregate.edge_aggregate(flagship_paths(t), ["Customer_1"], 2, FIVE))
 
 
+REACH = PathSpec(
+    "rich_customers_of_same_parts",
+    (
+        Hop((C1,), (P2,), (Relation(Edge("bought", 1, ((C1, "customer"),), ((P2, "part"),), "quantity > 30", None, ("quantity",))),)),
+        Hop((P2,), (C3,), (Relation(Edge("bought", 2, ((P2, "part"),), ((C3, "customer"),), None, None, ("quantity",))),), (NodeAttributes("Base", C3, "customer", ("acctbal",)),), "Customer_3_acctbal > 0"),
+        Hop((C3,), (Position("Nation", 4),), (Relation(Edge("in_nation_c", 3, ((C3, "customer"),), ((Position("Nation", 4), "nation"),), "nation < 20")),)),
+    ),
+    "inner",
+)
+REACH_SQL = """, reach AS (SELECT a.customer AS Customer_1, a.part AS Part_2, b.customer AS Customer_3, a.quantity AS Edge_1_quantity, b.quantity AS Edge_2_quantity, acctbal
+  FROM bought a JOIN bought b USING (part) JOIN customers c ON c.customer = b.customer JOIN in_nation_c n ON n.customer = b.customer WHERE a.quantity > 30 AND acctbal > 0 AND nation < 20)
+"""
+
+
+@query("A02_semiring", REACH_SQL + f"SELECT Customer_1, {five('acctbal', 'acctbal', False)}, round(avg(retailprice), 4) AS AVG_retailprice FROM reach JOIN parts ON part = Part_2 GROUP BY 1")
+def _(t):
+    """All instances of three hops without caps, none of which is made."""
+    values = [semiring.Value("c", "acctbal", "Customer_3", (t.customers(), "customer", "acctbal")), semiring.Value("p", "retailprice", "Part_2", (t.parts(), "part", "retailprice"))]
+    found = semiring.fold_path(t.graph(), REACH, values, FIVE)
+    return rounded(found.select("Customer_1", *[F.col(f"{f}_acctbal__c").alias(f"{f}_acctbal") for f in FIVE if f != "COUNT"], F.col("AVG_retailprice__p").alias("AVG_retailprice"), "COUNT_All"))
+
+
+@query("A02_semiring_spanning", FLAGSHIP_SQL + f"SELECT Customer_1, {', '.join(f'round(avg({s}), 4) AS AVG_{s}' for s in SEGMENTS)}, count(*) AS COUNT_All FROM paths JOIN segments ON customer = Customer_3 GROUP BY 1")
+def _(t):
+    """The flagship's predicate spans two hops, so these are joined; columns go as soon as nothing needs them."""
+    found = semiring.fold_path(t.graph(), FLAGSHIP, [semiring.Value("c", s, "Customer_3", (segments, "customer", s)) for segments in [t.segments()] for s in SEGMENTS], ["AVG", "COUNT"])
+    return rounded(found.select("Customer_1", *[F.col(f"AVG_{s}__c").alias(f"AVG_{s}") for s in SEGMENTS], "COUNT_All"))
+
+
+@query("A03_semiring", MONTHLY_SQL + f"SELECT Customer_1, month, {five('Edge_1_quantity')}, {five('Edge_2_quantity').rpartition(',')[0]} FROM paths GROUP BY 1, 2")
+def _(t):
+    values = [semiring.Value("e", f"Edge_{k}_quantity", f"Edge_{k}_quantity") for k in (1, 2)]
+    found = semiring.fold_path(t.monthly_graph(), MONTHLY, values, FIVE, partitions=MONTHS)
+    return rounded(found.select("Customer_1", "month", *[F.col(f"{f}_{v.name}__e").alias(f"{f}_{v.name}") for v in values for f in FIVE if f != "COUNT"], "COUNT_All"))
+
+
+@query("A03_semiring_nested", f""", local AS ({LOCAL_SQL}) SELECT Customer_1, {five('Edge_1_quantity')}, round(avg(acctbal), 4) AS AVG_acctbal FROM local JOIN suppliers ON supplier = Supplier_3 GROUP BY 1""")
+def _(t):
+    """The nested path is folded to the ends of its hop and multiplied with the edges there."""
+    values = [semiring.Value("e", "Edge_1_quantity", "Edge_1_quantity"), semiring.Value("s", "acctbal", "Supplier_3", (t.suppliers(), "supplier", "acctbal"))]
+    found = semiring.fold_path(t.graph(), LOCAL_SUPPLIERS, values, FIVE)
+    return rounded(found.select("Customer_1", *[F.col(f"{f}_Edge_1_quantity__e").alias(f"{f}_Edge_1_quantity") for f in FIVE if f != "COUNT"], F.col("AVG_acctbal__s").alias("AVG_acctbal"), "COUNT_All"))
+
+
 @query("A04_start_features", FLAGSHIP_SQL + "SELECT DISTINCT Customer_1, acctbal, first_order_year FROM paths JOIN customers c ON c.customer = Customer_1 JOIN first_orders f ON f.customer = Customer_1")
 def _(t):
     return aggregate.start_features(flagship_paths(t), C1, [(t.customers(), "customer", ["acctbal"]), (t.first_orders(), "customer", ["first_order_year"])])
@@ -917,10 +1058,11 @@ MATRIX = FLAGSHIP_SQL + "SELECT c.customer, coalesce(round(x + 1e-9, 4), 0) AS A
 
 
 def matrix(t):
-    found = cut(flagship_paths(t))
+    tables = {"Customer": (t.customers(), "customer", ["acctbal"]), "Part": (t.parts(), "part", ["retailprice"])}
+    found = semiring.aggregate_spec(t.graph(), FLAGSHIP, tables, ["AVG", "COUNT"])
     blocks = {
-        ("same_parts", "Customer_3"): aggregate.node_aggregate(found, ["Customer_1"], C3, t.customers(), "customer", ["acctbal"], ["AVG", "COUNT"]).withColumnRenamed("Customer_1", "customer"),
-        ("same_parts", "Part_2"): aggregate.node_aggregate(found, ["Customer_1"], P2, t.parts(), "part", ["retailprice"], ["AVG"]).withColumnRenamed("Customer_1", "customer"),
+        ("same_parts", "Customer_3"): found["Node___Customer___3"].withColumnRenamed("Customer_1", "customer"),
+        ("same_parts", "Part_2"): found["Node___Part___2"].drop("COUNT_All").withColumnRenamed("Customer_1", "customer"),
         ("unused", "Part_2"): t.customers(),
     }
     return features.feature_matrix(t.customers().select("customer"), ["customer"], blocks, drop=[("unused", "*")])

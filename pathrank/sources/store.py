@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathrank.sources.manifest import resumed
+
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet result, or None if there is none."""
@@ -17,18 +19,9 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def finished_partitions(spark: SparkSession, path: str, key: str) -> set[str]:
-    df = stored(spark, path)
-    return set() if df is None else {str(r[0]) for r in df.select(key).distinct().collect()}  # partition values
-
-
-def write_missing(spark: SparkSession, path: str, key: str, wanted: Iterable, compute: Callable[[list], DataFrame]) -> DataFrame:
-    """Computes and writes the wanted partitions that are not there yet; finished ones stay as they are."""
-    done = finished_partitions(spark, path, key)
-    missing = [v for v in wanted if str(v) not in done]
-    if missing:
-        compute(missing).write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return spark.read.parquet(path)
+def write_missing(spark: SparkSession, path: str, key: str, wanted: Sequence, compute: Callable[[list], DataFrame]) -> DataFrame:
+    """The wanted partitions of a stored result, of which those that its manifest does not have are computed and written first."""
+    return resumed(spark, path, key, wanted, compute)
 
 
 def write_elements(elements: dict[str, DataFrame], path: str) -> None:
