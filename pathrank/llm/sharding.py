@@ -60,10 +60,12 @@ def spread(linked: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def votes(linked: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, wanted): the shard that a document's keys name with the most neighbours."""
-    leading = cut(counts.groupBy("key").agg(F.max(F.struct("n", -F.col("shard"))).alias("most")).select("key", F.col("most.n").alias("n"), (-F.col("most.col2")).alias("to")))
-    each = linked.select("row", "key").join(leading, "key").groupBy("row", "to").agg(F.sum("n").alias("n"))
-    return each.groupBy("row").agg(F.max(F.struct("n", F.col("to"))).alias("best")).select("row", F.col("best.to").alias("wanted"))
+    """(row, wanted): the shard in which a document's keys have the most documents, itself included; of equals the first.
+
+    Every shard of a key counts, not only its fullest: a key has a row for each shard, 24 at most, and is read whole.
+    """
+    each = linked.select("row", "key").join(counts, "key").groupBy("row", "shard").agg(F.sum("n").alias("n"))
+    return each.groupBy("row").agg(F.max(F.struct("n", (-F.col("shard")).alias("to"))).alias("best")).select("row", (-F.col("best.to")).alias("wanted"))
 
 
 def neighbours(linked: DataFrame, counts: DataFrame, placed: DataFrame, name: str) -> DataFrame:

@@ -91,6 +91,29 @@ def test_votes_bring_neighbours_together(spark):
     assert {tuple(r) for r in votes(linked, counts).collect()} == {(0, 4), (1, 4), (2, 4), (4, 2)}
 
 
+def test_votes_count_every_neighbour(spark):
+    """A round of votes against brute force; a document between two keys goes where both have neighbours."""
+    from pathrank.llm.sharding import spread, votes
+
+    pairs = [(0, 1), (0, 2), *[(k, 1) for k in range(1, 10)], *[(k, 2) for k in range(10, 17)]]
+    shards = {0: 3, **{k: 0 for k in range(1, 6)}, **{k: 1 for k in range(6, 10)}, **{k: 1 for k in range(10, 14)}, **{k: 2 for k in range(14, 17)}}
+    rng = random.Random(4)
+    more = [(100 + k, 10 + rng.randrange(40)) for k in range(200) for _ in range(3)]
+    pairs, shards = [*pairs, *set(more)], {**shards, **{100 + k: rng.randrange(8) for k in range(200)}}
+    linked = spark.createDataFrame(pairs, "row long, key long")
+    placed = spark.createDataFrame(list(shards.items()), "row long, shard int")
+    found = {r.row: r.wanted for r in votes(linked, spread(linked, placed)).collect()}
+    want = {}
+    for row in {r for r, _ in pairs}:
+        n = [0] * 8
+        for r, key in pairs:
+            if r == row:
+                for other, k in pairs:
+                    n[shards[other]] += k == key
+        want[row] = n.index(max(n))
+    assert found == want and found[0] == 1
+
+
 def test_propagation_cuts_fewer_links(spark):
     from pathrank.llm.sharding import shard
 
