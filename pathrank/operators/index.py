@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathrank.sources.manifest import Manifest, resumed
 from pathrank.sources.shared import cut
 
 
@@ -27,6 +28,36 @@ def dense_index(nodes: DataFrame, type_column: str = "node_type", id_column: str
     return ranked.join(starts, [type_column, "_part"]).select(type_column, id_column, (F.col("_start") + F.col("_row") - 1).cast("long").alias("idx"))
 
 
+def grown_index(old: DataFrame | None, nodes: DataFrame, type_column: str = "node_type", id_column: str = "node", version: int | None = None) -> DataFrame:
+    """(type, id, idx, version): a dictionary that grows. Old numbers stay; new nodes follow their type's largest one, gapless, in the order of ids.
+
+    ``old``: the dictionary so far, or None. The new rows carry the new version's number, the one after ``old``'s largest if
+    it is not given, so that they can be appended alone.
+    """
+    if old is None:
+        return dense_index(nodes, type_column, id_column).withColumn("version", F.lit(version or 1))
+    new = nodes.select(type_column, id_column).distinct().join(old.select(type_column, id_column), [type_column, id_column], "left_anti")
+    ends = old.groupBy(type_column).agg((F.max("idx") + 1).alias("_next"))  # a row for each type
+    numbered = dense_index(new, type_column, id_column).join(ends, type_column, "left").withColumn("idx", F.col("idx") + F.coalesce("_next", F.lit(0)))
+    if version is None:
+        last = old.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).cast("int").alias("version"))
+        numbered = numbered.crossJoin(F.broadcast(last))  # one row
+    else:
+        numbered = numbered.withColumn("version", F.lit(version))
+    return old.select(type_column, id_column, "idx", "version").unionByName(numbered.select(type_column, id_column, "idx", "version"))
+
+
+def kept_index(spark: SparkSession, folder: str, nodes: DataFrame, version: int, type_column: str = "node_type", id_column: str = "node") -> DataFrame:
+    """The dictionary of a folder grown by ``nodes`` as ``version``, which is written if it is not there yet; earlier ones must be."""
+    def grown(wanted: list) -> DataFrame:
+        old = Manifest(spark, folder, "version").read([c for p, c in Manifest(spark, folder, "version").newest().items() if int(p) < version])
+        return grown_index(old, nodes, type_column, id_column, version).where(F.col("version") == version)
+
+    if missing := {str(v) for v in range(1, version)} - set(Manifest(spark, folder, "version").newest()):
+        raise ValueError(f"versions {sorted(missing)} come first")
+    return resumed(spark, folder, "version", list(range(1, version + 1)), grown)
+
+
 def indexed(paths: DataFrame, types: dict[str, str], index: DataFrame) -> DataFrame:
     """Every node column of ``types`` (column: type) replaced by its number, null where a node is missing."""
     for column, type_ in types.items():

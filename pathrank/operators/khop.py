@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathrank.operators.ranges import numbered
+from pathrank.operators.index import dense_index
 from pathrank.operators.sampling import random_n, top_n
 from pathrank.sources.manifest import resumed
 from pathrank.sources.shared import cut
@@ -181,12 +181,26 @@ def subgraph(relations: Sequence[Relation], seeds: DataFrame, seed_type: str, ho
 
 def induced(edges: DataFrame, batch: DataFrame, hops: int) -> DataFrame:
     """(hop, head, tail, head_local, tail_local): edges reached from a batch hop by hop, with the subgraph's own node numbers."""
-    seeds, parts = batch.select(F.col(batch.columns[0]).alias("head")).distinct(), []
+    return induced_batches(edges, batch.select(F.lit(0).alias("batch"), F.col(batch.columns[0]).alias("node")), hops).drop("batch")
+
+
+def induced_batches(edges: DataFrame, batches: DataFrame, hops: int, caps: Sequence[int] = ()) -> DataFrame:
+    """The same for all batches (batch, node) at once, with ``batch`` in front: one search whose frontier carries the batch.
+
+    caps: at most so many edges of a head in each batch, by hop; a batch draws its own. A batch's result does not depend on
+    which other batches are searched with it.
+    """
+    seeds, parts = batches.select("batch", F.col("node").alias("head")).distinct(), []
+    edges = edges.select("head", "tail").distinct()
     for hop in range(1, hops + 1):
-        new = edges.select("head", "tail").join(seeds, "head", "left_semi").distinct()
+        new = edges.join(seeds, "head").select("batch", "head", "tail")
+        if hop <= len(caps):
+            new = random_n(new, ["batch", "head"], ["tail"], caps[hop - 1])
         parts.append(new.withColumn("hop", F.lit(hop)))
-        seeds = new.select(F.col("tail").alias("head")).distinct()
-    found = reduce(DataFrame.unionByName, parts).groupBy("head", "tail").agg(F.min("hop").alias("hop"))
-    nodes = found.select(F.col("head").alias("node")).union(found.select("tail")).distinct()
-    local = numbered(nodes, [F.asc("node")], "local")
-    return found.join(local.select(F.col("node").alias("head"), F.col("local").alias("head_local")), "head").join(local.select(F.col("node").alias("tail"), F.col("local").alias("tail_local")), "tail").select("hop", "head", "tail", "head_local", "tail_local")
+        seeds = new.select("batch", F.col("tail").alias("head")).distinct()
+    found = reduce(DataFrame.unionByName, parts).groupBy("batch", "head", "tail").agg(F.min("hop").alias("hop"))
+    nodes = found.select("batch", F.col("head").alias("node")).union(found.select("batch", "tail"))
+    local = dense_index(nodes, "batch", "node")
+    found = found.join(local.select("batch", F.col("node").alias("head"), F.col("idx").alias("head_local")), ["batch", "head"])
+    found = found.join(local.select("batch", F.col("node").alias("tail"), F.col("idx").alias("tail_local")), ["batch", "tail"])
+    return found.select("batch", "hop", "head", "tail", "head_local", "tail_local")

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathrank.operators.hubs import hub_join
 from pathrank.operators.sampling import capped
+from pathrank.plans.shared import canonical, shared
 from pathrank.plans.spec import Edge, Hop, Nested, PathSpec
 from pathrank.sources.catalog import GraphCatalog
 from pathrank.sources.manifest import content_versions, resumed
 from pathrank.sources.scan import edge_scan, node_scan, restricted
+from pathrank.sources.shared import cut
+
+
+#: Finds the instances of a path, given the targets that its start may be restricted to.
+Search = Callable[[PathSpec, DataFrame | None], DataFrame]
 
 
 def _key(graph: GraphCatalog, df: DataFrame) -> list[str]:
     return [graph.partition_key] if graph.partition_key and graph.partition_key in df.columns else []
 
 
-def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partitions: Sequence | None, reduce: bool) -> DataFrame:
+def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partitions: Sequence | None, reduce: bool, nested: Search | None = None) -> DataFrame:
     """The rows of a hop: all its relations hold on its heads and tails (and partition)."""
     found: DataFrame | None = None
     for r in hop.relations:
         if isinstance(r.what, Edge):
             new = edge_scan(graph, r.what, targets, partitions)
         elif isinstance(r.what, Nested):
-            new = find_paths(graph, r.what.path, targets, partitions, reduce)
+            new = nested(r.what.path, targets) if nested else find_paths(graph, r.what.path, targets, partitions, reduce)
         if found is None:
             found = new
             continue
@@ -35,12 +42,14 @@ def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partition
     return found
 
 
-def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None) -> DataFrame:
+def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False) -> DataFrame:
     """A row for each instance of the path.
 
     targets: start nodes (columns named like start positions) to which the search is restricted; all if None.
     reduce: restrict each further hop's edges to the tails found so far; pays off when targets are few.
-    hop_rows: the rows of each hop's relations, where they are known already; all others are searched.
+    hop_rows: the rows of each hop's relations, where they are known already.
+    nested: what finds the instances of nested paths, if another search than this one.
+    spread_hubs: further hops' edges of nodes that have a large share of them are spread over several tasks.
     """
     spec.validate()
     path: DataFrame | None = None
@@ -51,12 +60,12 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
             seeds = None if targets is None else targets
         else:
             seeds = path.select(*heads, *_key(graph, path)).distinct() if reduce else None
-        new = hop_rows[k] if hop_rows else relation(graph, hop, seeds, partitions, reduce)
+        new = hop_rows[k] if hop_rows else relation(graph, hop, seeds, partitions, reduce, nested)
         if path is None:
             path = restricted(new, targets, [c for c in heads if targets is not None and c in targets.columns]) if targets is not None and any(c in targets.columns for c in heads) else new
         else:
             on = heads + [k for k in _key(graph, path) if k in new.columns]
-            path = path.join(new, on, spec.hop_join)
+            path = hub_join(path, new, on, spec.hop_join) if spread_hubs else path.join(new, on, spec.hop_join)
         for node in hop.nodes:
             side = node_scan(graph, node, partitions)
             on = [node.position.column] + [k for k in _key(graph, path) if k in side.columns]
@@ -67,15 +76,35 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
         if hop.sample:
             start = [p.column for p in spec.start]
             path = capped(path, start + _key(graph, path), [c for c in path.columns if c not in start and c not in attributes], hop.sample)
-    key = _key(graph, path)
+    return path.select(*_columns(graph, spec, path))
+
+
+def _columns(graph: GraphCatalog, spec: PathSpec, path: DataFrame) -> list[str]:
+    """The columns of a path's instances in order: nodes, edge features, partition key."""
     nodes = [p.column for p in spec.positions() if p.column in path.columns]
     edges = [f"Edge_{e.index}_{f}" for e in spec.edges() for f in e.features if f"Edge_{e.index}_{f}" in path.columns]
-    return path.select(*nodes, *edges, *key)
+    return [*nodes, *edges, *_key(graph, path)]
 
 
 def find_all(graph: GraphCatalog, specs: Iterable[PathSpec], targets: DataFrame | None = None, partitions: Sequence | None = None) -> dict[str, DataFrame]:
-    """Instances of several paths by name."""
-    return {s.name: find_paths(graph, s, targets, partitions) for s in specs}
+    """Instances of several paths by name. Paths and nested paths that come up more than once are searched once and kept."""
+    specs = list(specs)
+    common, kept = shared(specs), {}
+
+    def search(spec: PathSpec, own: DataFrame | None) -> DataFrame:
+        form = canonical(spec)
+        if form.spec not in common:
+            return find_paths(graph, spec, own, partitions, nested=search)
+        key = (form.spec, None if own is None else id(own))  # restricted to other starts it is another result
+        if key not in kept:
+            names = dict(form.columns)
+            starts = None if own is None else own.withColumnsRenamed({c: n for c, n in names.items() if c in own.columns})
+            kept[key] = (cut(find_paths(graph, form.spec, starts, partitions, nested=search)), own)
+        found = kept[key][0]
+        found = found.select(*[F.col(n).alias(c) for c, n in form.columns if n in found.columns], *_key(graph, found))
+        return found.select(*_columns(graph, spec, found))
+
+    return {s.name: search(s, targets) for s in specs}
 
 
 def source_tables(graph: GraphCatalog, spec: PathSpec) -> list[tuple[DataFrame, list[str]]]:

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from pathrank.fixtures import SEGMENTS, SQL, Tables
 from pathrank.functions import dates, names, vectors
-from pathrank.operators import aggregate, evaluate, features, index, khop, labels, meet, metapath, pairs, path, profile, sampling, semiring
+from pathrank.operators import aggregate, evaluate, features, index, khop, labels, meet, metapath, pairs, path, profile, sampling, semiring, statistics
 from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, Position, Relation, Sample, chain, step
 from pathrank.sources import catalog, manifest, scan, store
 from pathrank.sources.shared import cut
@@ -344,6 +344,14 @@ LOCAL_SUPPLIERS = PathSpec("local_suppliers", (Hop((C1,), (S3,), (Relation(Edge(
 LOCAL_SQL = "SELECT customer AS Customer_1, nation AS Nation_2, supplier AS Supplier_3, quantity AS Edge_1_quantity FROM buys_from JOIN in_nation_c USING (customer) JOIN in_nation_s s USING (supplier, nation)"
 
 
+@query("J02_hub_aware", "SELECT c.customer AS Customer_1, n.nation AS Nation_2, s.supplier AS Supplier_3 FROM customers c JOIN in_nation_c n USING (customer) LEFT JOIN in_nation_s s ON s.nation = n.nation WHERE acctbal > 9500")
+def _(t):
+    """Customers, their nations and the suppliers there; nations are hubs as soon as tasks are many."""
+    n2, s3 = Position("Nation", 2), Position("Supplier", 3)
+    hops = (Hop((C1,), (n2,), (Relation(Edge("in_nation_c", 1, ((C1, "customer"),), ((n2, "nation"),))),), (NodeAttributes("Base", C1, "customer", ("acctbal",)),), "Customer_1_acctbal > 9500"), Hop((n2,), (s3,), (Relation(Edge("in_nation_s", 2, ((n2, "nation"),), ((s3, "supplier"),))),)))
+    return path.find_paths(t.graph(), PathSpec("near", hops), spread_hubs=True)
+
+
 @query("J03_relation_conjunction", LOCAL_SQL)
 def _(t):
     return path.find_paths(t.graph(), LOCAL_SUPPLIERS).select("Customer_1", "Nation_2", "Supplier_3", "Edge_1_quantity")
@@ -543,6 +551,28 @@ def _(t):
     return parts[0].unionByName(parts[1])
 
 
+FAR_SUPPLIERS = PathSpec(
+    "parts_of_local_suppliers",
+    (
+        Hop((C1,), (Position("Supplier", 5),), (Relation(Nested(PathSpec("of_the_nation", (
+            Hop((C1,), (Position("Nation", 7),), (Relation(Edge("in_nation_c", 21, ((C1, "customer"),), ((Position("Nation", 7), "nation"),))),)),
+            Hop((Position("Nation", 7),), (Position("Supplier", 5),), (Relation(Edge("in_nation_s", 22, ((Position("Nation", 7), "nation"),), ((Position("Supplier", 5), "supplier"),))),)),
+        ), "inner"))),)),
+        Hop((Position("Supplier", 5),), (Position("Part", 6),), (Relation(Edge("line", 23, ((Position("Supplier", 5), "supplier"),), ((Position("Part", 6), "part"),), "discount < 0.005")),)),
+    ),
+    "inner",
+)
+
+
+@query("G03_shared_batch", f""", local AS ({LOCAL_SQL}), far AS (SELECT customer, part FROM in_nation_c JOIN in_nation_s USING (nation) JOIN (SELECT DISTINCT supplier, part FROM line WHERE discount < 0.005) USING (supplier))
+SELECT 'local_suppliers' AS path, count(*) AS n, count(DISTINCT Customer_1) AS n_starts FROM local UNION ALL SELECT 'parts_of_local_suppliers', count(*), count(DISTINCT customer) FROM far""")
+def _(t):
+    """Two paths with one nested path, under other names and numbers; it is searched once."""
+    found = path.find_all(t.graph(), [LOCAL_SUPPLIERS, FAR_SUPPLIERS])
+    parts = [df.agg(F.count("*").alias("n"), F.countDistinct("Customer_1").alias("n_starts")).select(F.lit(name).alias("path"), "n", "n_starts") for name, df in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("G04_linear_path", """, h1 AS (SELECT customer AS Customer_1, part AS Part_2 FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY md5('42|' || customer || '|' || part), part) rk FROM bought WHERE quantity > 30) WHERE rk <= 4),
 h2 AS (SELECT part AS Part_2, customer AS Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('42|' || part || '|' || customer), customer) rk FROM bought) WHERE rk <= 4)
 SELECT Customer_1, Part_2, Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY Customer_1 ORDER BY md5('42|' || Customer_1 || '|' || Part_2 || '|' || Customer_3), Part_2, Customer_3) rk FROM h1 JOIN h2 USING (Part_2) WHERE Customer_1 <> Customer_3) WHERE rk <= 10""")
@@ -655,6 +685,17 @@ def _(t):
     return index.dense_index(node_universe(t))
 
 
+@query("G10_growing_index", """, a AS (SELECT 'Customer' AS node_type, o_custkey::varchar AS node FROM purchases WHERE o_orderdate < '1997-01-01' UNION SELECT 'Part', l_partkey::varchar FROM purchases WHERE o_orderdate < '1997-01-01'),
+b AS (SELECT 'Customer' AS node_type, o_custkey::varchar AS node FROM purchases UNION SELECT 'Part', l_partkey::varchar FROM purchases UNION SELECT 'Supplier', l_suppkey::varchar FROM purchases), n AS (SELECT * FROM b EXCEPT SELECT * FROM a), o AS (SELECT node_type, count(*) AS k FROM a GROUP BY 1)
+SELECT node_type, node, row_number() OVER (PARTITION BY node_type ORDER BY node) - 1 AS idx, 1 AS version FROM a UNION ALL SELECT node_type, node, row_number() OVER (PARTITION BY node_type ORDER BY node) - 1 + coalesce(k, 0), 2 FROM n LEFT JOIN o USING (node_type)""")
+def _(t):
+    """A dictionary of nodes that grows by a second load, whose old numbers stay."""
+    nodes = lambda df, types: metapath.universe([(df, types)])
+    folder, early = scratch(t, "index"), t.purchases().where("o_orderdate < '1997-01-01'")
+    index.kept_index(t.spark, folder, nodes(early, {"o_custkey": "Customer", "l_partkey": "Part"}), 1)
+    return index.kept_index(t.spark, folder, nodes(t.purchases(), {"o_custkey": "Customer", "l_partkey": "Part", "l_suppkey": "Supplier"}), 2)
+
+
 @query("G11_indexed_adjacency", UNIVERSE + "SELECT h.idx AS supplier_idx, d.idx AS nation_idx FROM in_nation_s LEFT JOIN idx h ON h.node_type = 'Supplier' AND h.node = supplier::varchar LEFT JOIN idx d ON d.node_type = 'Nation' AND d.node = nation::varchar")
 def _(t):
     return index.indexed(t.in_nation_s(), {"supplier": "Supplier", "nation": "Nation"}, index.dense_index(node_universe(t)))
@@ -678,6 +719,18 @@ def _(t):
     return khop.induced(edges, t.customer.where("c_acctbal > 9950").select("c_custkey"), 2)
 
 
+@query("G13_epoch", """, e AS (SELECT customer AS head, part + 1000000 AS tail FROM bought UNION SELECT part + 1000000, supplier + 2000000 FROM line), b AS (SELECT c_custkey % 20 AS batch, c_custkey AS head FROM customer WHERE c_acctbal > 8000),
+r1 AS (SELECT batch, head, tail FROM (SELECT batch, head, tail, row_number() OVER (PARTITION BY batch, head ORDER BY md5('42|' || batch || '|' || head || '|' || tail), tail) AS rk FROM e JOIN b USING (head)) WHERE rk <= 5), s AS (SELECT DISTINCT batch, tail AS head FROM r1),
+r2 AS (SELECT batch, head, tail FROM (SELECT batch, head, tail, row_number() OVER (PARTITION BY batch, head ORDER BY md5('42|' || batch || '|' || head || '|' || tail), tail) AS rk FROM e JOIN s USING (head)) WHERE rk <= 2),
+f AS (SELECT batch, head, tail, min(hop) AS hop FROM (SELECT 1 AS hop, * FROM r1 UNION ALL SELECT 2, * FROM r2) GROUP BY 1, 2, 3),
+l AS (SELECT batch, node, row_number() OVER (PARTITION BY batch ORDER BY node) - 1 AS local FROM (SELECT batch, head AS node FROM f UNION SELECT batch, tail FROM f)) SELECT batch, hop, head, tail, a.local AS head_local, c.local AS tail_local FROM f JOIN l a USING (batch) JOIN l c USING (batch) WHERE a.node = head AND c.node = tail""")
+def _(t):
+    """Twenty batches of customers in one search, each with its own draw of neighbours and its own numbers."""
+    edges = t.bought().select(F.col("customer").alias("head"), (F.col("part") + 1_000_000).alias("tail")).union(t.line().select(F.col("part") + 1_000_000, F.col("supplier") + 2_000_000))
+    batches = t.customer.where("c_acctbal > 8000").select((F.col("c_custkey") % 20).alias("batch"), F.col("c_custkey").alias("node"))
+    return khop.induced_batches(edges, batches, 2, (5, 2))
+
+
 @query("G14_reverse_edges", SUBGRAPH + "SELECT relation, head, tail FROM sub UNION ALL SELECT relation || '_by', tail, head FROM sub")
 def _(t):
     return index.with_reverse(cut(customer_subgraph(t)))
@@ -892,6 +945,17 @@ def _(t):
     return rounded(profile.column_summary(t.lineitem, ["l_quantity", "l_tax"], ["l_returnflag"]))
 
 
+@query("A11_from_statistics", "SELECT strftime(o_orderdate, '%Y') AS year, 'o_totalprice' AS column_name, count(o_totalprice) AS n, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value, round(avg(o_totalprice), 3) AS mean_value, round(stddev_samp(o_totalprice), 3) AS std_value FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1", bare=True)
+def _(t):
+    """Summaries of years merged from kept statistics of months; the second load reads only the months that the first has not."""
+    folder = scratch(t, "statistics")
+    monthly = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
+    months = [f"{y}-{m:02d}" for y in (1995, 1996) for m in range(1, 13)]
+    statistics.kept_statistics(t.spark, folder, monthly, ["o_totalprice"], "month", months[:20])
+    kept = statistics.kept_statistics(t.spark, folder, monthly, ["o_totalprice"], "month", months)
+    return rounded(statistics.summary(kept.withColumn("year", F.substring("month", 1, 4)), ["year"]), 3).select("year", "column_name", "n", F.col("min_value"), "max_value", "mean_value", "std_value")
+
+
 @query("A12_constant_columns", "SELECT 'l_linestatus' AS column_name, 'F' AS value FROM (SELECT count(*) AS n FROM lineitem WHERE l_linestatus = 'F') WHERE n > 0", bare=True)
 def _(t):
     return profile.constant_columns(t.lineitem.where("l_linestatus = 'F'"), ["l_linestatus", "l_returnflag", "l_quantity"])
@@ -1068,6 +1132,16 @@ def matrix(t):
     return features.feature_matrix(t.customers().select("customer"), ["customer"], blocks, drop=[("unused", "*")])
 
 
+@query("V04_from_statistics", ORACLES["V04_standardized_by_partition"], bare=True)
+def _(t):
+    """Target rows standardized by kept statistics of whole years: the rows of other customers are not read again."""
+    spent = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy").alias("year")).agg(F.sum("o_totalprice").alias("spent"))
+    years = [r["year"] for r in spent.select("year").distinct().collect()]  # partition values
+    kept = statistics.kept_statistics(t.spark, scratch(t, "statistics"), spent, ["spent"], "year", sorted(years))
+    targets = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("customer"))
+    return rounded(statistics.scale_by_statistics(spent.join(targets, "customer", "left_semi"), kept, "customer", "year", ["spent"], "std"))
+
+
 @query("V05_feature_matrix", MATRIX)
 def _(t):
     return rounded(matrix(t), nudge=1e-9)

@@ -97,3 +97,28 @@ def test_aggregates_are_stored_by_partition(spark, tmp_path, searched):
         rows = sorted(tuple(r) for r in kept["Node___B___2"].select("month", "A_1", "AVG_x", "COUNT_All").collect())
         assert len(rows) == n and rows[0] == ("01", 1, 5.0, 1)
     assert searched == [["01"], ["02", "03"]]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from pathrank.sources.shared import shared_folder
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.folder
+
+        def setCheckpointDir(self, folder):  # noqa: N802
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+            self.conf = {}
+
+    for master in ("local", "local[4]"):
+        assert shared_folder(Session(master))
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(Session(master))
