@@ -28,11 +28,11 @@ every row of an id that it keeps; null, empty and blank texts are copies of each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathrank.llm.common import SPACES, Words, chunks, cut, mix, rolling, stored, stretches, text_key
@@ -50,6 +50,8 @@ THRESHOLD = 0.8
 #: A shingle of so many texts of one slice or more counts as common, and so many of all are told apart; both only order shingles.
 COMMON = 3
 MOST_COMMON = 200_000
+#: Texts of a block, of the texts that share a shingle.
+BLOCK_TEXTS = 2000
 #: Words of 64 bits of a set's sketch: bit i tells whether an odd number of shingles hash to i.
 SKETCH = 8
 WIDTH = 16
@@ -278,6 +280,23 @@ def _least_linked(edges: DataFrame) -> DataFrame:
     return least.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
 
 
+def _compared(rare: DataFrame, threshold: float, side: Callable[[DataFrame, str], DataFrame], alike: Column) -> DataFrame:
+    """(a, b), a > b, of different groups that share a key and may be ``alike``.
+
+    Sizes of alike sets lie in the same class or in neighbouring ones (a class spans a factor of 1 / threshold), so only
+    these are compared; a key that many texts have is cut into blocks of some BLOCK_TEXTS of them, and each text meets a
+    block in a task of its own.
+    """
+    blocks = rare.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    rows = rare.join(cut(blocks), "key").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int"))
+    there = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
+    here = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    here = here.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("class", F.col("class") + F.col("up"))
+    once = (F.col("up") == 1) | (F.col("a") > F.col("b"))
+    met = side(here, "a").join(side(there, "b"), ["key", "class", "block"]).where((F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb")) & once & alike)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) for each document that is no group's first: root is the smallest id of its group.
 
@@ -328,7 +347,7 @@ def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, thres
     rare = rare.drop("least")
     least = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
     early = (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
-    others = side(rare, "a").join(side(rare, "b"), "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & early & possible).select("a", "b").distinct()
+    others = _compared(rare, threshold, side, early & possible)
     others = cut(others.join(candidates.union(first), ["a", "b"], "left_anti"))
     return components(_alike(docs, others, words, threshold).union(edges))
 
