@@ -27,7 +27,7 @@ rows; further columns, whatever their names, are kept by ``clean`` and ignored b
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,24 +74,69 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of (h, first document), each a bucketed table, newest last."""
+    """Runs of (h, first document), each a bucketed table, newest last.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW) -> None:
-        self.spark, self.window = spark, window
-        self.name = f"window_index_{uuid.uuid4().hex}"
-        self.folder = f"{shared_folder(spark)}/{self.name}"
+    An index with a ``name`` outlives its session: opened again under that name (in the same folder), it goes on with the
+    runs that it had, so that a new batch is compared with all earlier ones. Which runs it has is a small table that is written
+    anew, under the next number, after each change; the newest one counts, and runs that it does not name are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, name: str | None = None, folder: str | None = None) -> None:
+        self.spark, self.window, self.kept = spark, window, name is not None
+        self.name = f"window_index_{name or uuid.uuid4().hex}"
+        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/{self.name}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # level, table
-        self.made = 0
+        self.made = self.state = 0
+        if self.kept:
+            self._open()
+
+    def _states(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+        done = [int(n.removeprefix("state-")) for n in names if n.startswith("state-")]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(n for n in done if files.exists(hadoop(f"{self.folder}/state-{n}/_SUCCESS")))
+
+    def _open(self) -> None:
+        """Takes up the runs of the newest state."""
+        states = self._states()
+        if not states:
+            return
+        self.state = states[-1]
+        rows = self.spark.read.parquet(f"{self.folder}/state-{self.state}").orderBy("place").collect()  # a row for each run
+        self.made = max(r["made"] for r in rows)
+        for r in rows:
+            if r["window"] != self.window:
+                raise ValueError(f"{self.name} indexes windows of {r['window']} words")
+            self.buckets = r["buckets"]
+            if r["table"]:
+                self.spark.sql(f"CREATE TABLE IF NOT EXISTS {r['table']} (h BIGINT, first BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {r['buckets']} BUCKETS LOCATION '{self.folder}/{r['table']}'")
+                self.runs.append((r["level"], r["table"]))
+
+    def _save(self, gone: Iterable[str] = ()) -> None:
+        """Makes the runs, as they are now, those of the index; then ``gone`` can be deleted."""
+        if self.kept:
+            rows = [(k, level, table, self.buckets, self.window, self.made) for k, (level, table) in enumerate(self.runs or [(0, "")])]
+            self.state += 1
+            self.spark.createDataFrame(rows, "place int, level int, table string, buckets int, window int, made int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state-{self.state}")
+            for old in self._states()[:-1]:
+                delete(self.spark, f"{self.folder}/state-{old}")
+        for table in gone:
+            self._drop(table)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        (rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/{table}").option("compression", "zstd").saveAsTable(table))
+        path = f"{self.folder}/{table}"
+        delete(self.spark, path)  # what a session that was lost may have left
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        (rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).option("compression", "zstd").saveAsTable(table))
         self.runs.append((level, table))
 
     def _drop(self, table: str) -> None:
-        self.spark.sql(f"DROP TABLE {table}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         delete(self.spark, f"{self.folder}/{table}")
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -101,12 +146,13 @@ class FingerprintIndex:
         for _, table in self.runs:
             run = self.spark.table(table).select("h", F.col("first").alias("held"))
             found = found.join(run.hint("merge"), "h", "left").select("h", "first", "n", F.coalesce("old", "held").alias("old"))
-        stored = f"{self.folder}/found-{self.made}"
+        run = uuid.uuid4().hex
+        stored = f"{self.folder}/found-{run}"
         found.write.parquet(stored)
         found = self.spark.read.parquet(stored)
         shared = found.where("old is not null or n > 1")
         candidates = own.join(shared.select("h"), "h").select("doc_id", "h").union(shared.where("old is not null").select(F.col("old").alias("doc_id"), "h"))
-        kept = f"{self.folder}/candidates-{self.made}"
+        kept = f"{self.folder}/candidates-{run}"
         candidates.write.option("compression", "zstd").parquet(kept)
         self._write(found.where("old is null").select("h", "first"), 0)
         delete(self.spark, stored)
@@ -115,18 +161,41 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merges the newest runs while as many as FANOUT are of one level."""
+        gone = []
         while len(last := self.runs[-FANOUT:]) == FANOUT and len({level for level, _ in last}) == 1:
             merged = self.spark.table(last[0][1])
             for _, table in last[1:]:
                 merged = merged.unionByName(self.spark.table(table))
             del self.runs[-FANOUT:]
             self._write(merged.repartition(self.buckets, "h"), last[0][0] + 1)
+            if self.kept:
+                gone += [table for _, table in last]
+                continue
             for _, table in last:
                 self._drop(table)
+        self._save(gone)
+
+    def removals(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Indexes a batch; (doc_id, spans) of its documents that have windows to remove, as ``verified`` gives them.
+
+        ``history``: the documents of earlier batches, as they were indexed; of these only those that share an anchor are compared.
+        """
+        candidates = self.add(docs)
+        every = docs.select("doc_id", "text") if history is None else docs.select("doc_id", "text").unionByName(history.select("doc_id", "text"))
+        some = every.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+        return verified(some, candidates, self.window).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def close(self) -> None:
+        """Ends the session: an index without a name is deleted, one with a name stays."""
+        if not self.kept:
+            self.drop()
+
+    def drop(self) -> None:
+        """Deletes the index."""
         for _, table in self.runs:
             self._drop(table)
+        if self.kept:
+            delete(self.spark, self.folder)
         self.runs = []
 
 
