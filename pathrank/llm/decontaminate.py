@@ -8,8 +8,8 @@ benchmark windows are searched backwards at once, their rows walked to a sampled
 places merged into spans of words to remove.
 
 The benchmark reaches the tasks in blocks of bounded size, of which the driver and a task hold one at a time
-(the broadcast itself spills to disk). Each shard is searched for every block as it came; the spans of all
-blocks are merged row by row, and cut once.
+(the broadcast itself spills to disk), and a vocabulary of all blocks, eight bytes a distinct word. Each shard is
+indexed once, as it came, and searched for block after block; the spans of all blocks are merged and cut once.
 
 Defined results: null and empty texts have no words and no spans; an item without words has no windows;
 equal items are all reported; an empty benchmark hits nothing; repeated rows and rows without an id are
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -136,16 +137,23 @@ class Phrases:
         self.windows = {size: np.frombuffer(b"".join(w), np.int64).reshape(-1, size) for size, w in found.items()}
         self.items = {size: [sorted(x) for x in w.values()] for size, w in found.items()}
         self.least = min(found, default=0)
+
+
+class Vocabulary:
+    """The words of all blocks of items, and the length of the shortest window: what of a text is worth an index."""
+
+    def __init__(self, words: np.ndarray, least: int) -> None:
+        self.words, self.least = words, least
         self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[self.vocabulary >> np.uint64(48)] = True
+        self.sieve[words >> np.uint64(48)] = True
 
     def stretches(self, words: Words) -> np.ndarray:
         """The words of the vocabulary, in runs that are long enough for the shortest window."""
         near = np.flatnonzero(self.sieve[words.hashes[0] >> np.uint64(48)])
         if not self.least or not len(near):
             return near[:0]
-        place = np.minimum(np.searchsorted(self.vocabulary, words.hashes[0][near]), len(self.vocabulary) - 1)
-        near = near[self.vocabulary[place] == words.hashes[0][near]]
+        place = np.minimum(np.searchsorted(self.words, words.hashes[0][near]), len(self.words) - 1)
+        near = near[self.words[place] == words.hashes[0][near]]
         if not len(near):
             return near
         breaks = np.flatnonzero((np.diff(near) != 1) | (words.doc[near[1:]] != words.doc[near[:-1]])) + 1
@@ -153,15 +161,19 @@ class Phrases:
         return near[np.repeat(size >= self.least, size)]
 
 
-def _hits(texts: list[bytes], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], list[str], list[tuple[int, int]]]]:
-    """For each text of a shard: number of words, merged spans of hit words, items, and the spans in bytes."""
+def _hits(texts: list[bytes], shared: Shared) -> Iterator[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
+    """For each text of a shard: number of words, merged spans (first word, last word, first byte, last byte) and items.
+
+    The shard's index is made once, over the words of all blocks; their windows are searched in it block after block.
+    """
+    vocabulary = shared.vocabulary.value
     parts, counts, owner, place, begins, ends, n = [], [], [], [], [], [], 0
     for part in chunks((t,) for t in texts):
         words = Words([t.lower() for (t,) in part], PUNCTUATION)
         counts.append(words.counts)
-        chosen = phrases.stretches(words)
+        chosen = vocabulary.stretches(words)
         if len(chosen):
-            symbols = np.searchsorted(phrases.vocabulary, words.hashes[0][chosen]) + 1
+            symbols = np.searchsorted(vocabulary.words, words.hashes[0][chosen]) + 1
             breaks = np.flatnonzero((np.diff(chosen) != 1) | (words.doc[chosen[1:]] != words.doc[chosen[:-1]])) + 1
             own = words.doc[chosen]
             for out, x in ((parts, symbols), (owner, own + n), (place, chosen - words.first[own]), (begins, words.begin[chosen] - words.bases[own]), (ends, words.end[chosen] - words.bases[own])):
@@ -169,22 +181,28 @@ def _hits(texts: list[bytes], phrases: Phrases) -> Iterator[tuple[int, list[tupl
                 out.append(np.zeros(1, np.int64))
         n += len(part)
     counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    found: dict[int, tuple[set[str], set[int]]] = {}
+    found: dict[int, set[str]] = {}
     if parts:
-        index = FMIndex(np.concatenate(parts), len(phrases.vocabulary))
+        index = FMIndex(np.concatenate(parts), len(vocabulary.words))
         owner, place, begins, ends = (np.concatenate(x) for x in (owner, place, begins, ends))
         hit = np.zeros(len(owner) + 1, np.int64)
-        for size, windows in phrases.windows.items():
-            low, high = index.search(windows)
-            some = np.flatnonzero(high > low)
-            n_rows = (high - low)[some]
-            rows = np.repeat(low[some] - np.cumsum(n_rows) + n_rows, n_rows) + np.arange(n_rows.sum())
-            at = index.locate(rows)
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + size, -1)
-            pairs = np.unique(owner[at] * len(windows) + np.repeat(some, n_rows))
-            for doc, w in zip((pairs // len(windows)).tolist(), (pairs % len(windows)).tolist(), strict=True):
-                found.setdefault(doc, (set(), set()))[0].update(phrases.items[size][w])
+        for block in shared.blocks:
+            phrases = block.value
+            own = np.searchsorted(vocabulary.words, phrases.vocabulary) + 1  # the block's words in the common vocabulary
+            for size, windows in phrases.windows.items():
+                low, high = index.search(own[windows - 1])
+                some = np.flatnonzero(high > low)
+                n_rows = (high - low)[some]
+                rows = np.repeat(low[some] - np.cumsum(n_rows) + n_rows, n_rows) + np.arange(n_rows.sum())
+                at = index.locate(rows)
+                np.add.at(hit, at, 1)
+                np.add.at(hit, at + size, -1)
+                pairs = np.unique(owner[at] * len(windows) + np.repeat(some, n_rows))
+                for doc, w in zip((pairs // len(windows)).tolist(), (pairs % len(windows)).tolist(), strict=True):
+                    found.setdefault(doc, set()).update(phrases.items[size][w])
+            if len(shared.blocks) > 1:
+                del phrases
+                vars(block).pop("_value", None)  # read again when it is needed: a task holds one block
         covered = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
         if len(covered):
             breaks = np.flatnonzero((np.diff(place[covered]) != 1) | (owner[covered[1:]] != owner[covered[:-1]])) + 1
@@ -194,10 +212,9 @@ def _hits(texts: list[bytes], phrases: Phrases) -> Iterator[tuple[int, list[tupl
                 spans.setdefault(doc, []).append((a, b + 1, x, y))
     for doc, words_in in enumerate(counts.tolist()):
         if doc in found:
-            held = sorted(spans[doc])
-            yield words_in, [s[:2] for s in held], sorted(found[doc][0]), [s[2:] for s in held]
+            yield words_in, sorted(spans[doc]), sorted(found[doc])
         else:
-            yield words_in, [], [], []
+            yield words_in, [], []
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -213,33 +230,20 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phr
         yield Phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], window)
 
 
-def _shared(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list[Broadcast]:
-    """The blocks; an empty one if there is none."""
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(phrases) for phrases in _blocks(benchmark, window, block_bytes)] or [sc.broadcast(Phrases([], window))]
-
+class Shared(NamedTuple):
+    """The benchmark as it is sent to the executors: the vocabulary of all blocks, and each block."""
 
-def _all_hits(texts: list[bytes], blocks: list[Broadcast]) -> list[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
-    """For each text: number of words, merged spans (first word, last word, first byte, last byte) and items of all blocks."""
-    counts, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-    for shared in blocks:
-        for k, (n, in_words, own, in_bytes) in enumerate(_hits(texts, shared.value)):
-            counts[k] = n
-            spans[k].extend((*w, *x) for w, x in zip(in_words, in_bytes, strict=True))
-            items[k].update(own)
-        if len(blocks) > 1:
-            vars(shared).pop("_value", None)  # read again when it is needed: a task holds one block
-    return [(n, _merged(s), sorted(i)) for n, s, i in zip(counts, spans, items, strict=True)]
+    vocabulary: Broadcast
+    blocks: list[Broadcast]
 
 
-def _merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    out: list[list[int]] = []
-    for first, last, begin, end in sorted(spans):
-        if out and first <= out[-1][1]:
-            out[-1][1], out[-1][3] = max(out[-1][1], last), max(out[-1][3], end)
-        else:
-            out.append([first, last, begin, end])
-    return [tuple(s) for s in out]
+def _shared(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Shared:
+    sc, words, least, blocks = docs.sparkSession.sparkContext, np.empty(0, np.uint64), 0, []
+    for phrases in _blocks(benchmark, window, block_bytes):
+        words = np.union1d(words, phrases.vocabulary)
+        least = min(x for x in (least, phrases.least) if x) if least or phrases.least else 0
+        blocks.append(sc.broadcast(phrases))
+    return Shared(sc.broadcast(Vocabulary(words, least)), blocks)
 
 
 _SPANS = "array<struct<first:bigint,last:bigint>>"
@@ -248,11 +252,11 @@ _ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans of hit words (from word ``first`` to before ``last``) and items of each document."""
-    blocks = _shared(docs, benchmark, window, block_bytes)
+    shared = _shared(docs, benchmark, window, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, SHARD_BYTES):
-            n, spans, items = zip(*_all_hits(_texts(part), blocks), strict=True)
+            n, spans, items = zip(*_hits(_texts(part), shared), strict=True)
             spans = [[{"first": a, "last": b} for a, b, _, _ in s] for s in spans]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
@@ -261,12 +265,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with all its columns; hit words, and what stands between them, are cut from the text."""
-    blocks = _shared(docs, benchmark, window, block_bytes)
+    shared = _shared(docs, benchmark, window, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, SHARD_BYTES):
             texts = _texts(part)
-            for k, (_, spans, _) in enumerate(_all_hits(texts, blocks)):
+            for k, (_, spans, _) in enumerate(_hits(list(texts), shared)):
                 if spans:
                     edges = [0, *(x for *_, begin, end in spans for x in (begin, end)), len(texts[k])]
                     texts[k] = b"".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
