@@ -454,9 +454,13 @@ def test_simhash(spark, docs, rows, nothing):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
 
 
-def test_near_copies_are_all_found(spark):
+@pytest.mark.parametrize("block", [2000, 5])
+def test_near_copies_are_all_found(spark, monkeypatch, block):
+    from pathrank.llm import simhash
     from pathrank.llm.simhash import deduplicate
 
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+
     rng = random.Random(12)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
     line, texts = " ".join(rng.choice(vocabulary) for _ in range(12)), []
@@ -537,6 +541,38 @@ def test_runs_are_compacted(spark, docs):
     index.close()
 
 
+def test_an_index_is_opened_again(spark, rows, tmp_path):
+    """Three sessions, each with the removals of its batch against all earlier ones."""
+    from pathrank.llm.window_index import FingerprintIndex
+
+    known = sorted((i, t) for i, t in rows if i is not None)
+    known = [(k, t) for k, (_, t) in enumerate(known)]
+    texts = {i: WORDS.findall(t or "") for i, t in known}
+    first = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = {i: {k for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i} for i, w in texts.items()}
+    edges = [0, 30, 61, len(known)]
+    everything = spark.createDataFrame(known, "doc_id long, text string").persist()
+    for low, high in zip(edges, edges[1:], strict=False):
+        index = FingerprintIndex(spark, name="sessions", folder=str(tmp_path))
+        assert bool(index.runs) == (low > 0)
+        found = index.removals(everything.where(f"doc_id >= {low} and doc_id < {high}"), everything.where(f"doc_id < {low}"))
+        got = {r.doc_id: {k for s in r.spans for k in range(s["first"], s["last"])} for r in found.collect()}
+        assert got == {i: ks for i, ks in want.items() if low <= i < high and ks}
+        index.close()
+        for _, table in index.runs:  # another session's catalogue does not know them
+            spark.sql(f"DROP TABLE {table}")
+    with pytest.raises(ValueError, match="13 words"):
+        FingerprintIndex(spark, 10, "sessions", str(tmp_path))
+    last = FingerprintIndex(spark, name="sessions", folder=str(tmp_path))
+    assert [level for level, _ in last.runs] == [1, 0]
+    last.drop()
+    assert not FingerprintIndex(spark, name="sessions", folder=str(tmp_path)).runs
+    everything.unpersist()
+
+
 def test_quality(spark, docs, nothing):
     from pathrank.llm.quality import fit, score
 
