@@ -112,11 +112,12 @@ def source_groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def run_columns(kept: DataFrame) -> DataFrame:
     """(lang, block, n_terms, source, lengths, counts): the runs of each block's column of a source that has a term there.
 
-    The vocabulary is range-partitioned in its new order, and a block never leaves a partition; it is named by its first term.
+    The vocabulary is range-partitioned by total and number of sources (their lists would make the sample of keys that the
+    driver sees large) and put into its new order in each partition. A block never leaves a partition; its first term names it.
     """
     counts = F.transform("cells", lambda c: c["n"])
     names = F.transform("cells", lambda c: c["source"])
-    dealt = kept.select("lang", "total", F.size("cells").alias("spread"), names.alias("names"), counts.alias("counts"), "term").repartitionByRange("lang", "total", "spread", "names", "counts", "term").sortWithinPartitions("lang", "total", "spread", "names", "counts", "term")
+    dealt = kept.select("lang", "total", F.size("cells").alias("spread"), names.alias("names"), counts.alias("counts"), "term").repartitionByRange("lang", "total", "spread", "term").sortWithinPartitions("lang", "total", "spread", "names", "counts", "term")
 
     def encode(lang: str, terms: list[tuple]) -> pa.RecordBatch:
         columns: dict[str, tuple[list[int], list[int]]] = {}
