@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,30 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators have stored for themselves inside; their results must have been written by then."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            delete(spark, path)
+
+
+def temporary(path: str) -> str:
+    """``path``, which the innermost ``temporaries`` deletes."""
+    if _temporary:
+        _temporary[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = temporary(f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import SPACES, Words, chunks, cut, mix, rolling, stored, stretches, text_key
+from pathrank.llm.common import SPACES, Words, chunks, cut, mix, rolling, stored, stretches, temporaries, text_key
 from pathrank.llm.components import components
 
 SHINGLE = 3
@@ -300,8 +300,14 @@ def _compared(rare: DataFrame, threshold: float, side: Callable[[DataFrame, str]
 def near_copies(docs: DataFrame, prints: int = PRINTS, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) for each document that is no group's first: root is the smallest id of its group.
 
-    Groups are linked by equal texts and by sets of ``words``-word shingles of a likeness of ``threshold`` or more.
+    Groups are linked by equal texts and by sets of ``words``-word shingles of a likeness of ``threshold`` or more. What
+    is stored on the way is deleted again: the groups are materialised when they are returned.
     """
+    with temporaries(docs.sparkSession):
+        return _near_copies(docs, prints, words, threshold)
+
+
+def _near_copies(docs: DataFrame, prints: int, words: int, threshold: float) -> DataFrame:
     texts = docs.where("doc_id is not null").select("doc_id", "text", text_key(F.coalesce("text", F.lit(""))).alias("key"))
     keys = texts.select("doc_id", "key")
     least = keys.groupBy("key").agg(F.min("doc_id").alias("least"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathrank.llm.common import SPACES, Words, chunks, delete, free_name, leftmost_minima, mix, rolling, shared_folder
+from pathrank.llm.common import SPACES, Words, chunks, delete, free_name, leftmost_minima, mix, rolling, shared_folder, temporary
 
 WINDOW = 13
 #: Words whose hash an anchor is.
@@ -152,7 +152,7 @@ class FingerprintIndex:
         found = self.spark.read.parquet(stored)
         shared = found.where("old is not null or n > 1")
         candidates = own.join(shared.select("h"), "h").select("doc_id", "h").union(shared.where("old is not null").select(F.col("old").alias("doc_id"), "h"))
-        kept = f"{self.folder}/candidates-{run}"
+        kept = temporary(f"{self.folder}/candidates-{run}")
         candidates.write.option("compression", "zstd").parquet(kept)
         self._write(found.where("old is null").select("h", "first"), 0)
         delete(self.spark, stored)

@@ -46,6 +46,18 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_stages_leave_no_tables_of_their_own(spark, sf_dir):
+    from pathlib import Path
+
+    from pathrank.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    names = lambda: {p.name for p in folder.iterdir() if p.name.startswith(("table-", "window_index_"))} | {p.name for p in folder.glob("window_index_*/*")}
+    before = names()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert {n for n in names() - before if not n.startswith("window_index_")} == set()
+
+
 def odd_rows(spark):
     long = " ".join(f"wort{k % 977}x{k % 31}" for k in range(20_000))
     texts = [None, "", "  \n ", "one", long, long, "the same few words again and again " * 30, "the same few words again and again " * 30, "ÀÉ 東京 " * 50]

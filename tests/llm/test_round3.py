@@ -242,3 +242,55 @@ def test_main_text_of_the_tables(spark, sf_dir):
         assert found[r["page_id"]]["text"] == "\n\n".join(x for x in pieces if x)
     assert sum(r["n_repeated"] > 0 for r in found.values()) > len(found) / 10
     assert math.isclose(sum(r["n_chars"] for r in found.values()), sum(len(r["text"]) for r in found.values()))
+
+
+def auc(scores, labels):
+    """The chance that a row of label 1 scores above one of label 0, ties half."""
+    order = np.argsort(scores, kind="stable")
+    s = np.asarray(scores)[order]
+    first, last = np.searchsorted(s, s, side="left"), np.searchsorted(s, s, side="right")
+    ranks, y = (first + last + 1) / 2, np.asarray(labels)[order]
+    return (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [("op2_multiple_instance_toxicity", "toxic", 0.95), ("op9_random_indexing_quality", "quality", 0.98)])
+def test_classifiers_rank_held_out_documents(spark, sf_dir, query, label, least):
+    """On the tables, by rows that the query may not learn from."""
+    from pathrank.llm.queries import QUERIES
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col(label).isNotNull()).select("doc_id", label)
+    held = QUERIES[query](spark, sf_dir).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(held) > 500 and auc(held["score"], held[label]) >= least
+
+
+@pytest.mark.parametrize("name", ["op2", "op5", "op7", "op9", "op10"])
+def test_repeated_rows_and_rows_without_an_id(spark, name):
+    """A row for each row (op10: for each piece), equal rows alike, whatever the ids."""
+    texts = ["some plain words of a text that goes on for a while", "", None, "mit license " * 5, "you stupid idiot. go away, idiot!"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (3, texts[3]), (None, texts[0]), (None, None), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("?")).withColumn("fp", F.lit(1))
+    marks = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, y int")
+    if name == "op2":
+        from pathrank.llm.toxicity import fit, score
+
+        found = score(docs, fit(docs, marks.withColumnRenamed("y", "toxic")))
+    elif name == "op5":
+        from pathrank.llm.licenses import scan
+
+        found = scan(docs)
+    elif name == "op7":
+        from pathrank.llm.simhash import groups
+
+        found = groups(docs)
+    elif name == "op9":
+        from pathrank.llm.quality import fit, score
+
+        found = score(docs, fit(docs, marks.withColumnRenamed("y", "quality")))
+    else:
+        import public_tokenizers
+        from pathrank.llm.packing import pack_documents
+
+        found = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    got = Counter(r["doc_id"] for r in found.collect())
+    assert got == Counter(i for i, _ in rows)
