@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathrank.llm import decontaminate, packing, simhash, toxicity, window_index
-from pathrank.llm.common import delete, shared_folder, table
+from pathrank.llm.common import delete, shared_folder, table, temporaries
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -60,12 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again, and deleted after the next one."""
+    """All stages over ``documents``; what each returns is written to the shared folder and read again, and deleted after the next one, as are the stages' own tables."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with temporaries(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if last:
             delete(spark, last)
