@@ -42,7 +42,7 @@ def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partition
     return found
 
 
-def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False) -> DataFrame:
+def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False, materialize: int = 0) -> DataFrame:
     """A row for each instance of the path.
 
     targets: start nodes (columns named like start positions) to which the search is restricted; all if None.
@@ -50,6 +50,7 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
     hop_rows: the rows of each hop's relations, where they are known already.
     nested: what finds the instances of nested paths, if another search than this one.
     spread_hubs: further hops' edges of nodes that have a large share of them are spread over several tasks.
+    materialize: after so many hops, and again after as many, instances are written and the plan is cut; never if 0.
     """
     spec.validate()
     path: DataFrame | None = None
@@ -76,6 +77,8 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
         if hop.sample:
             start = [p.column for p in spec.start]
             path = capped(path, start + _key(graph, path), [c for c in path.columns if c not in start and c not in attributes], hop.sample)
+        if materialize and (k + 1) % materialize == 0 and k + 1 < len(spec.hops):
+            path = cut(path)
     return path.select(*_columns(graph, spec, path))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pathrank.plans.spec import Sample
 
 SEED = 42
+#: Rows that are ranked in one window of a hash's cell, on average.
+ROWS_A_CELL = 100_000
 
 
 def order_key(keys: Sequence[str], seed: int = SEED) -> Column:
@@ -52,18 +54,20 @@ def capped(df: DataFrame, groups: Sequence[str], keys: Sequence[str], sample: Sa
 def negatives_capped(df: DataFrame, label: str, most: int, keys: Sequence[str], seed: int = SEED) -> DataFrame:
     """All positives; of the negatives as many as fit under ``most`` rows.
 
-    Only hash keys below the wanted rank's are needed, so negatives are ranked within 256 cells of the hash.
+    Only hash keys below the wanted rank's are needed, so negatives are ranked within cells of the hash, of which there are
+    as many as keep a cell at some ROWS_A_CELL rows, 16 at least.
     """
     total = df.agg(F.count("*").alias("_all"), F.count_if(F.col(label) > 0).alias("_positive"))
     free = F.when(F.col("_all") > most, F.greatest(F.lit(most) - F.col("_positive"), F.lit(0))).otherwise(F.col("_all"))
-    negatives = df.where(F.col(label) <= 0).withColumn("_key", order_key(keys, seed)).withColumn("_cell", F.substring("_key", 1, 2))
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("_all") / ROWS_A_CELL))).cast("int")
+    limits = F.broadcast(total.select(free.alias("_free"), digits.alias("_digits")))  # one row
+    negatives = df.where(F.col(label) <= 0).crossJoin(limits).withColumn("_key", order_key(keys, seed)).withColumn("_cell", F.substring("_key", F.lit(1), F.col("_digits")))
     sizes = negatives.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
     starts = sizes.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_cell").orderBy("_key", *keys)
-    ranked = negatives.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(starts), "_cell")
-    limits = F.broadcast(total.select(free.alias("_free")))  # one row
-    kept = ranked.join(limits, F.col("_start") + F.col("_rank") <= F.col("_free"), "left_semi")
+    ranked = negatives.withColumn("_rank", F.row_number().over(inside)).join(starts, "_cell")
+    kept = ranked.where(F.col("_start") + F.col("_rank") <= F.col("_free"))
     return df.where(F.col(label) > 0).unionByName(kept.select(*df.columns))
 
 

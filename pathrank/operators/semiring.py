@@ -28,8 +28,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathrank.operators.aggregate import aggregate_features
 from pathrank.operators.path import find_paths
-from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec
+from pathrank.plans.spec import Edge, Hop, NodeAttributes, PathSpec
 from pathrank.sources.catalog import GraphCatalog
 from pathrank.sources.scan import edge_scan, node_scan, restricted
 from pathrank.sources.shared import cut
@@ -330,14 +331,15 @@ def _values(spec: PathSpec, tables: dict[str, tuple[DataFrame, str, Sequence[str
     return found
 
 
-def fold_path(graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], functions: Sequence[str], missing: str = "zero", targets: DataFrame | None = None, partitions: Sequence | None = None) -> DataFrame:
+def fold_path(graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], functions: Sequence[str], missing: str = "zero", targets: DataFrame | None = None, partitions: Sequence | None = None, by: Sequence[str] = ()) -> DataFrame:
     """A row for each start node (and partition): ``COUNT_All`` and ``FUNC_feature__element`` over all instances.
 
-    It equals ``find_paths`` followed by ``aggregate_features``, and holds all elements in one table.
+    It equals ``find_paths`` followed by ``aggregate_features``, and holds all elements in one table. ``by``: further columns
+    of the path, each combination of which has a row of its own.
     """
     spec.validate()
     ring = _Ring(functions, missing)
-    start = [p.column for p in spec.start]
+    start = [p.column for p in spec.start] + list(by)
     f = _Elimination(graph, spec, values, ring, partitions).folded(start, range(len(values)), targets)
     out = []
     for i, v in enumerate(values):
@@ -364,6 +366,13 @@ def aggregate_spec(graph: GraphCatalog, spec: PathSpec, tables: dict[str, tuple[
     return out
 
 
+def fold_weights(graph: GraphCatalog, spec: PathSpec, node: str, weight: str, functions: Sequence[str] = ("AVG", "SUM", "MAX", "MIN", "COUNT"), targets: DataFrame | None = None, partitions: Sequence | None = None) -> DataFrame:
+    """As ``weight_aggregate``: an edge's weights summed per start and ``node``, then aggregated per start; no instance is made."""
+    sums = fold_path(graph, spec, [Value("w", weight, weight)], ["SUM"], targets=targets, partitions=partitions, by=[node])
+    start = [c for c in sums.columns if c not in (node, f"SUM_{weight}__w", "COUNT_All")]
+    return aggregate_features(sums.withColumnRenamed(f"SUM_{weight}__w", weight).where(F.col(node).isNotNull()), start, [weight], functions)
+
+
 def starts(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None) -> DataFrame:
     """The start nodes (and partitions) that have an instance, by semi-joins from the end of the path."""
     spec.validate()

@@ -520,6 +520,36 @@ def _(t):
     return path.find_paths(t.monthly_graph(), MONTHLY, partitions=MONTHS)
 
 
+@query("G01_json_path", """, h1 AS (SELECT customer AS Customer_1, part AS Part_2 FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY part) rk FROM bought WHERE quantity > 10) JOIN parts USING (part) WHERE rk <= 6 AND size < 45),
+h2 AS (SELECT part AS Part_2, customer AS Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('42|' || part || '|' || customer), customer) rk FROM bought) WHERE rk <= 6),
+p AS (SELECT Customer_1, Part_2, Customer_3 FROM h1 JOIN h2 USING (Part_2) JOIN customers c ON c.customer = Customer_3 WHERE Customer_1 <> Customer_3 AND acctbal > 0)
+SELECT Customer_1, Part_2, Customer_3 FROM (SELECT *, row_number() OVER (PARTITION BY Customer_1 ORDER BY md5('42|' || Customer_1 || '|' || Customer_3 || '|' || Part_2), Customer_3, Part_2) rk FROM p) WHERE rk <= 10""")
+def _(t):
+    """A path with every kind of limit and sample, read from JSON and written after each hop."""
+
+    def bought(k, head, tail, **more):
+        (a, i), (b, j) = head, tail
+        return {"edge_table_name": "bought", "edge_index": k, "head_node_types": [a], "head_node_indexes": [i], "head_columns": [a.lower()], "tail_node_types": [b], "tail_node_indexes": [j], "tail_columns": [b.lower()], **more}
+
+    config = {
+        "path_name": "sampled", "hop_join": "inner",
+        "path_schema": [
+            {
+                "head_node_types": ["Customer"], "head_node_indexes": [1], "tail_node_types": ["Part"], "tail_node_indexes": [2],
+                "relation_list": [{"relation_type": "edge", "edge_schema": bought(1, ("Customer", 1), ("Part", 2), edge_limit="quantity > 10", edge_sample={"type": "Threshold", "count": 6})}],
+                "node_schemas": [{"node_type": "Part", "node_index": 2, "node_column": "part", "node_table_name": "Base", "feature_columns": ["size"], "join_type": "inner", "node_limit": "size < 45"}],
+            },
+            {
+                "head_node_types": ["Part"], "head_node_indexes": [2], "tail_node_types": ["Customer"], "tail_node_indexes": [3],
+                "relation_list": [{"relation_type": "edge", "edge_schema": bought(2, ("Part", 2), ("Customer", 3), edge_sample={"type": "Random", "count": 6})}],
+                "node_schemas": [{"node_type": "Customer", "node_index": 3, "node_column": "customer", "node_table_name": "Base", "feature_columns": ["acctbal"], "join_type": "left"}],
+                "path_limit": "Customer_1 <> Customer_3 and Customer_3_acctbal > 0", "path_sample": {"type": "Random", "count": 10},
+            },
+        ],
+    }
+    return path.find_paths(t.graph(), PathSpec.from_json(config), materialize=1)
+
+
 @query("G02_nested_path", LOCAL_SQL)
 def _(t):
     config = {
@@ -844,7 +874,7 @@ REACH = PathSpec(
     ),
     "inner",
 )
-REACH_SQL = """, reach AS (SELECT a.customer AS Customer_1, a.part AS Part_2, b.customer AS Customer_3, a.quantity AS Edge_1_quantity, b.quantity AS Edge_2_quantity, acctbal
+REACH_SQL = """, reach AS (SELECT a.customer AS Customer_1, a.part AS Part_2, b.customer AS Customer_3, a.quantity AS Edge_1_quantity, b.quantity AS Edge_2_quantity, acctbal, n.nation AS Nation_4
   FROM bought a JOIN bought b USING (part) JOIN customers c ON c.customer = b.customer JOIN in_nation_c n ON n.customer = b.customer WHERE a.quantity > 30 AND acctbal > 0 AND nation < 20)
 """
 
@@ -908,6 +938,12 @@ def _(t):
     return rounded(aggregate.weight_aggregate(customer_part_supplier(t), "Customer", "Supplier", "Weight_2"))
 
 
+@query("A06_semiring", REACH_SQL + f", s AS (SELECT Customer_1, Nation_4, sum(Edge_2_quantity) AS Edge_2_quantity FROM reach GROUP BY 1, 2) SELECT Customer_1, {five('Edge_2_quantity')} FROM s GROUP BY 1")
+def _(t):
+    """Weights summed per start and nation over all instances of three hops, then aggregated per start."""
+    return rounded(semiring.fold_weights(t.graph(), REACH, "Nation_4", "Edge_2_quantity"))
+
+
 WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -1183,6 +1219,21 @@ def _(t):
     return rounded(evaluate.hit_rates(scored(t), "score", "label", "customer", [10, 100], [5]))
 
 
+@query("E03_by_split", SCORES + """, f AS (SELECT *, CASE WHEN substr(md5(customer::varchar), 1, 1) < '8' THEN 'train' WHEN substr(md5(customer::varchar), 1, 1) < 'c' THEN 'val' ELSE 'test' END AS split FROM scored),
+k AS (SELECT split, label, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS r FROM f), n AS (SELECT split, count(*) AS n_rows, sum(label) AS p, count(*) - sum(label) AS q FROM f GROUP BY 1),
+roc AS (SELECT split, (sum(r) FILTER (label = 1) - max(p) * (max(p) + 1) / 2.0) / (max(p) * max(q)) AS roc_auc FROM k JOIN n USING (split) GROUP BY 1),
+g AS (SELECT split, score, sum(label) AS p, count(*) AS n FROM f GROUP BY 1, 2), c AS (SELECT split, score, p, sum(p) OVER w AS tp, sum(n) OVER w AS tn FROM g WINDOW w AS (PARTITION BY split ORDER BY score DESC)),
+d AS (SELECT split, p, tp / tn AS prec, coalesce(lag(tp / tn) OVER (PARTITION BY split ORDER BY score DESC), 1.0) AS last FROM c), pr AS (SELECT split, sum(p * (prec + last) / 2.0) / sum(p) AS pr_auc FROM d GROUP BY 1),
+h AS (SELECT split, count(*) FILTER (label = 1) AS hits_20 FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, customer) AS rk FROM f) WHERE rk <= 20 GROUP BY 1)
+SELECT split, n_rows, p::bigint AS n_positive, round(roc_auc, 4) AS roc_auc, round(pr_auc, 4) AS pr_auc, hits_20 FROM n JOIN roc USING (split) JOIN pr USING (split) JOIN h USING (split)""")
+def _(t):
+    """All splits evaluated in one go."""
+    first = F.substring(F.md5(F.col("customer").cast("string")), 1, 1)
+    rows = cut(scored(t).withColumn("split", F.when(first < "8", "train").when(first < "c", "val").otherwise("test")))  # ranked by score and counted by it
+    hits = evaluate.hit_rates(rows, "score", "label", "customer", [20], by=["split"]).select("split", F.col("hits").alias("hits_20"))
+    return rounded(evaluate.split_aucs(rows, "score", "label", ["split"])).join(hits, "split")
+
+
 @query("E04_regression_errors", ", s AS (SELECT o_custkey AS customer, sum(o_totalprice) AS spend FROM orders GROUP BY 1), b AS (SELECT customer, sum(price) AS price FROM bought GROUP BY 1) SELECT round(sqrt(avg((price - spend) * (price - spend))), 2) AS rmse, round(avg(abs(price - spend)), 2) AS mae FROM s JOIN b USING (customer)")
 def _(t):
     spend = t.orders.groupBy(F.col("o_custkey").alias("customer")).agg(F.sum("o_totalprice").alias("spend"))

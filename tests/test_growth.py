@@ -166,3 +166,40 @@ def test_an_index_grows(spark, tmp_path):
     # a first load without nodes is a version too
     index.kept_index(spark, str(tmp_path / "empty"), nodes(("A", "b")).where("false"), 1)
     assert rows(index.kept_index(spark, str(tmp_path / "empty"), nodes(("A", "b")), 2)) == [("A", "b", 0, 2)]
+
+
+def test_splits_are_evaluated_together(spark):
+    from pathrank.operators import evaluate
+
+    rng = random.Random(6)
+    data = [(k, rng.choice("xyz"), float(rng.randrange(30)), int(rng.random() < 0.3)) for k in range(900)] + [(1000, "one", 1.0, 1), (1001, "one", 0.0, 1)]
+    df = spark.createDataFrame(data, "node long, split string, s double, y int")
+    together = {r["split"]: r for r in evaluate.split_aucs(df, "s", "y", ["split"]).collect()}
+    hits = {(r["split"], r["cut"]): (r["k"], r["hits"], r["rate"]) for r in evaluate.hit_rates(df, "s", "y", "node", [7], [10], ["split"]).collect()}
+    assert set(together) == {"x", "y", "z", "one"} and together["one"]["roc_auc"] is None
+    for split in ("x", "one"):
+        own = df.where(F.col("split") == split)
+        assert together[split]["roc_auc"] == pytest.approx(evaluate.roc_auc(own, "s", "y").first()[0])
+        assert together[split]["pr_auc"] == pytest.approx(evaluate.pr_auc(own, "s", "y").first()[0])
+        assert {(split, r["cut"]): (r["k"], r["hits"], r["rate"]) for r in evaluate.hit_rates(own, "s", "y", "node", [7], [10]).collect()} == {k: v for k, v in hits.items() if k[0] == split}
+
+
+def test_plans_are_cut_between_hops(spark, graph):
+    a, b, c, d = (Position(t, k) for k, t in enumerate("ABAB", 1))
+    hops = tuple(Hop((p,), (q,), (Relation(Edge(t, k, ((p, x),), ((q, y),))),)) for k, (p, q, t, x, y) in enumerate(((a, b, "ab", "a", "b"), (b, c, "ba", "b", "a"), (c, d, "ab", "a", "b")), 1))
+    spec = PathSpec("long", hops)
+    plain, whole = path.find_paths(graph, spec), path.find_paths(graph, spec, materialize=1)
+    joins = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join ")
+    assert joins(plain) == 2 and joins(whole) == 1 and rows(plain) == rows(whole)
+
+
+@pytest.mark.parametrize("cell", [100_000, 3])
+def test_negatives_are_capped_whatever_the_cells(spark, monkeypatch, cell):
+    from pathrank.operators import sampling
+
+    monkeypatch.setattr(sampling, "ROWS_A_CELL", cell)
+    df = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(500)], "k long, y int")
+    kept = rows(sampling.negatives_capped(df, "y", 120, ["k"]))
+    order = [r[0] for r in df.where("y = 0").orderBy(sampling.order_key(["k"]), "k").limit(70).collect()]
+    assert kept == sorted([(k, 1) for k in range(0, 500, 10)] + [(k, 0) for k in order], key=repr)
+    assert sampling.negatives_capped(df, "y", 30, ["k"]).count() == 50 and sampling.negatives_capped(df, "y", 900, ["k"]).count() == 500

@@ -119,6 +119,15 @@ def test_partitions_and_targets(spark, shape, how):
     assert {tuple(r) for r in semiring.starts(graph, spec, targets, ["x"]).select(*start).collect()} == {(r["A_1"], r["month"]) for r in instances}
 
 
+def test_weights_are_summed_by_node_first(spark):
+    graph, _ = random_graph(spark, 3)
+    spec = PathSpec("chain", SHAPES["chain"], "inner")
+    want = aggregate.weight_aggregate(path.find_paths(graph, spec), "A_1", "A_5", "Edge_4_w")
+    got = semiring.fold_weights(graph, spec, "A_5", "Edge_4_w")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_the_tables_paths(spark, sf_dir):
     t = Tables(spark, sf_dir)
     tables = {"Customer": (t.customers(), "customer", ["acctbal"]), "Part": (t.parts(), "part", ["retailprice", "size"]), "Supplier": (t.suppliers(), "supplier", ["acctbal"])}
