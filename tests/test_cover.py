@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pathrank.operators import aggregate, index, khop, meet, pairs
 
+pytestmark = pytest.mark.usefixtures("plain_plans")
+
 
 def relations(spark, seed, caps=(-1,)):
     rng = random.Random(seed)

@@ -10,6 +10,8 @@ from pathrank.plans import shared
 from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, Position, Relation
 from pathrank.sources.catalog import EdgeTable, GraphCatalog, NodeTable
 
+pytestmark = pytest.mark.usefixtures("plain_plans")
+
 
 def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)

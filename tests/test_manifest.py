@@ -8,6 +8,8 @@ from pathrank.plans.spec import Edge, Hop, PathSpec, Position, Relation
 from pathrank.sources import manifest, store
 from pathrank.sources.catalog import EdgeTable, GraphCatalog
 
+pytestmark = pytest.mark.usefixtures("plain_plans")
+
 A, B = Position("A", 1), Position("B", 2)
 SPEC = PathSpec("p", (Hop((A,), (B,), (Relation(Edge("ab", 1, ((A, "a"),), ((B, "b"),), features=("w",))),)),))
 ROWS = [(1, 10, 1.0, "01"), (2, 20, 2.0, "01"), (3, 30, 3.0, "02")]

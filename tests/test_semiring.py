@@ -12,6 +12,8 @@ from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, Pos
 from pathrank.queries import LOCAL_SUPPLIERS, MONTHLY, MONTHS
 from pathrank.sources.catalog import EdgeTable, GraphCatalog, NodeTable
 
+pytestmark = pytest.mark.usefixtures("plain_plans")
+
 A, B, C, D, E = (Position(t, k) for k, t in enumerate("ABABA", 1))
 W = Position("W", 7)
 ALL = ["AVG", "SUM", "MIN", "MAX", "COUNT"]
