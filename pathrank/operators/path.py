@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathrank.operators.hubs import hub_join
 from pathrank.operators.sampling import capped
 from pathrank.plans.shared import canonical, shared
-from pathrank.plans.spec import Edge, Hop, Nested, PathSpec
+from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, bound
 from pathrank.sources.catalog import GraphCatalog
 from pathrank.sources.manifest import content_versions, resumed
 from pathrank.sources.scan import edge_scan, node_scan, restricted
@@ -26,10 +26,21 @@ def _key(graph: GraphCatalog, df: DataFrame) -> list[str]:
 
 
 def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partitions: Sequence | None, reduce: bool, nested: Search | None = None) -> DataFrame:
-    """The rows of a hop: all its relations hold on its heads and tails (and partition)."""
+    """The rows of a hop: all its relations hold on its heads and tails (and partition).
+
+    A nested path beside others is searched between the ends that these have, so that none of its instances between other
+    ends is made.
+    """
     found: DataFrame | None = None
     for r in hop.relations:
-        if isinstance(r.what, Edge):
+        if found is not None and bound(hop, r, found.columns):
+            inner = r.what.path
+            if r.how == "inner":
+                found = find_paths(graph, inner, targets, partitions, reduce, nested=nested, within=found)
+                continue
+            ends = [p.column for p in (*hop.heads, *hop.tails) if p in inner.positions() and p.column in found.columns]
+            new = find_paths(graph, inner, targets, partitions, reduce, nested=nested, within=found.select(*ends, *_key(graph, found)).distinct())
+        elif isinstance(r.what, Edge):
             new = edge_scan(graph, r.what, targets, partitions)
         elif isinstance(r.what, Nested):
             new = nested(r.what.path, targets) if nested else find_paths(graph, r.what.path, targets, partitions, reduce)
@@ -42,7 +53,7 @@ def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partition
     return found
 
 
-def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False, materialize: int = 0) -> DataFrame:
+def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False, materialize: int = 0, within: DataFrame | None = None) -> DataFrame:
     """A row for each instance of the path.
 
     targets: start nodes (columns named like start positions) to which the search is restricted; all if None.
@@ -51,26 +62,33 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
     nested: what finds the instances of nested paths, if another search than this one.
     spread_hubs: further hops' edges of nodes that have a large share of them are spread over several tasks.
     materialize: after so many hops, and again after as many, instances are written and the plan is cut; never if 0.
+    within: rows that have the start and some further positions of the path already; each is joined with the instances that
+    agree with it there, and keeps its other columns.
+
+    Attributes of a hop's tails are joined to its edges before these are joined to the path, which has more rows.
     """
     spec.validate()
-    path: DataFrame | None = None
+    path: DataFrame | None = within
+    held = set() if within is None else {p.column for p in spec.positions()} & set(within.columns)
     attributes: list[str] = []
     for k, hop in enumerate(spec.hops):
         heads = [p.column for p in hop.heads]
-        if path is None:
+        if k == 0:
             seeds = None if targets is None else targets
         else:
             seeds = path.select(*heads, *_key(graph, path)).distinct() if reduce else None
         new = hop_rows[k] if hop_rows else relation(graph, hop, seeds, partitions, reduce, nested)
+        how = "inner" if k == 0 or held & set(new.columns) - set(heads) else spec.hop_join
+        early = [n for n in hop.nodes if n.position in hop.tails and n.position.column in new.columns and n.position.column not in held and (n.how == "left" or how == "inner")]
+        for node in early:
+            new = _attributed(graph, new, node, partitions)
         if path is None:
             path = restricted(new, targets, [c for c in heads if targets is not None and c in targets.columns]) if targets is not None and any(c in targets.columns for c in heads) else new
         else:
-            on = heads + [k for k in _key(graph, path) if k in new.columns]
-            path = hub_join(path, new, on, spec.hop_join) if spread_hubs else path.join(new, on, spec.hop_join)
+            on = heads + [c for c in new.columns if c in held and c not in heads] + [c for c in _key(graph, path) if c in new.columns]
+            path = hub_join(path, new, on, how) if spread_hubs else path.join(new, on, how)
         for node in hop.nodes:
-            side = node_scan(graph, node, partitions)
-            on = [node.position.column] + [k for k in _key(graph, path) if k in side.columns]
-            path = path.join(side, on, node.how)
+            path = path if node in early else _attributed(graph, path, node, partitions)
             attributes += [f"{node.position.column}_{f}" for f in node.features]
         if hop.limit:
             path = path.where(F.expr(hop.limit))
@@ -79,7 +97,13 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
             path = capped(path, start + _key(graph, path), [c for c in path.columns if c not in start and c not in attributes], hop.sample)
         if materialize and (k + 1) % materialize == 0 and k + 1 < len(spec.hops):
             path = cut(path)
-    return path.select(*_columns(graph, spec, path))
+    own = _columns(graph, spec, path)
+    return path.select(*own, *[c for c in (within.columns if within is not None else ()) if c not in own])
+
+
+def _attributed(graph: GraphCatalog, df: DataFrame, node: NodeAttributes, partitions: Sequence | None) -> DataFrame:
+    side = node_scan(graph, node, partitions)
+    return df.join(side, [node.position.column] + [c for c in _key(graph, df) if c in side.columns], node.how)
 
 
 def _columns(graph: GraphCatalog, spec: PathSpec, path: DataFrame) -> list[str]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pathrank.operators.aggregate import aggregate_features
 from pathrank.operators.path import find_paths
-from pathrank.plans.spec import Edge, Hop, NodeAttributes, PathSpec
+from pathrank.plans.spec import Edge, Hop, Nested, NodeAttributes, PathSpec, Relation, bound
 from pathrank.sources.catalog import GraphCatalog
 from pathrank.sources.scan import edge_scan, node_scan, restricted
 from pathrank.sources.shared import cut
@@ -194,14 +194,22 @@ class _Elimination:
         ends = [p.column for p in (*hop.heads, *hop.tails)]
         found: Folded | None = None
         for r in hop.relations:
-            if isinstance(r.what, Edge):
+            if found is not None and bound(hop, r, found.columns):
+                inner = self.asked_of(r, ends)
+                nested = _Elimination(self.graph, flattened(r.what.path), self.values, self.ring, self.partitions)
+                if r.how == "inner":
+                    found = nested.folded([*found.columns, *ends, *need], inner, targets, found)
+                    continue
+                on = [p.column for p in (*hop.heads, *hop.tails) if p.column in found.columns and p in r.what.path.positions()] + self.key(found.df)
+                pairs = found.df.select(*on).distinct()
+                new = nested.folded([*ends, *need], inner, targets, Folded(pairs if self.ring.sets else pairs.withColumn("_c", F.lit(1).cast("long")), tuple(on)))
+            elif isinstance(r.what, Edge):
                 df = edge_scan(self.graph, r.what, targets, self.partitions)
                 asked = {v.column for v in self.values}
                 columns = [c for c in df.columns if c in ends or c in need or c in asked or c in self.key(df)]
                 new = Folded(df.select(*columns, *([] if self.ring.sets else [F.lit(1).cast("long").alias("_c")])), tuple(columns))
             else:
-                inner = [i for i, v in enumerate(self.values) if r.how != "left_anti" and v.column in {c for h in r.what.path.hops for c in _brought(h)} and v.column not in ends]
-                new = _Elimination(self.graph, r.what.path, self.values, self.ring, self.partitions).folded([*ends, *need], inner, targets)
+                new = _Elimination(self.graph, flattened(r.what.path), self.values, self.ring, self.partitions).folded([*ends, *need], self.asked_of(r, ends), targets)
             if found is None:
                 found = new
                 continue
@@ -209,6 +217,10 @@ class _Elimination:
             found = replace(found, df=found.df.join(new.df.select(*on).distinct(), on, "left_anti")) if r.how == "left_anti" else self.ring.times(found, new, on, r.how)
         return found
 
+    def asked_of(self, r: Relation, ends: Sequence[str]) -> list[int]:
+        """The values that a nested path brings."""
+        return [i for i, v in enumerate(self.values) if r.how != "left_anti" and v.column in {c for h in r.what.path.hops for c in _brought(h)} and v.column not in ends]
+
     def attached(self, f: Folded, k: int) -> Folded:
         """With the attributes of hop k's nodes."""
         for node in self.spec.hops[k].nodes:
@@ -281,11 +293,15 @@ class _Elimination:
 
     # ---- the whole path
 
-    def folded(self, keep: Sequence[str], numbers: Sequence[int], targets: DataFrame | None) -> Folded:
-        """The path folded to the columns ``keep`` (and the partition key), with the values of these numbers."""
+    def folded(self, keep: Sequence[str], numbers: Sequence[int], targets: DataFrame | None, within: Folded | None = None) -> Folded:
+        """The path folded to the columns ``keep`` (and the partition key), with the values of these numbers.
+
+        within: partial instances that have the start and maybe further positions already; only what agrees with them is joined.
+        """
+        held = set() if within is None else set(within.columns) & set(self.every)
         hops, built = self.spec.hops, max((k for k, h in enumerate(self.spec.hops) if h.sample), default=-1)
         gone = {k for k in self.detached(keep) if k > built}
-        f: Folded | None = None
+        f: Folded | None = within
         if built >= 0:  # a cap on whole paths: instances up to there
             prefix = replace(self.spec, hops=hops[: built + 1])
             attributes = {a for h in hops[: built + 1] for n in h.nodes for a in _attributes(n)}
@@ -302,12 +318,13 @@ class _Elimination:
                 continue
             hop, heads = hops[k], [p.column for p in hops[k].heads]
             later = {c for j in range(k, len(hops)) for c in self.uses(j)}
-            new = self.rows(k, later | set(keep), targets if f is None else None)
+            new = self.rows(k, later | set(keep), targets if k == 0 else None)
             if f is None:
                 shared = [c for c in heads if targets is not None and c in targets.columns]
                 f = replace(new, df=restricted(new.df, targets, shared)) if shared else new
             else:
-                f = self.ring.times(f, new, heads + [c for c in self.key(f.df) if c in new.columns], self.spec.hop_join)
+                also = [c for c in new.columns if c in held and c not in heads]
+                f = self.ring.times(f, new, heads + also + [c for c in self.key(f.df) if c in new.columns], "inner" if k == 0 or also else self.spec.hop_join)
             f = self.attached(f, k)
             f = self.lifted(f, self.own_values(k, numbers, f))
             if hop.limit:
@@ -320,6 +337,22 @@ class _Elimination:
         return self.ring.added(f, [*keep, *self.key(f.df)])
 
 
+def flattened(spec: PathSpec) -> PathSpec:
+    """With inner joins, a hop that is nothing but a nested path is replaced by that path's hops, which are eliminated one by one."""
+    for k, hop in enumerate(spec.hops):
+        inner = hop.relations[0].what.path if len(hop.relations) == 1 and isinstance(hop.relations[0].what, Nested) else None
+        if inner is None or not (spec.hop_join == inner.hop_join == "inner") or hop.sample or any(h.sample or h.nodes for h in inner.hops) or set(inner.start) != set(hop.heads):
+            continue
+        last = inner.hops[-1]
+        limit = " and ".join(f"({x})" for x in (last.limit, hop.limit) if x) or None
+        flat = replace(spec, hops=(*spec.hops[:k], *inner.hops[:-1], replace(last, nodes=hop.nodes, limit=limit), *spec.hops[k + 1 :]))
+        try:
+            return flattened(flat.validate())
+        except ValueError:  # a position comes up twice
+            continue
+    return spec
+
+
 def _values(spec: PathSpec, tables: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> list[Value]:
     found = []
     for p in spec.positions():
@@ -340,7 +373,7 @@ def fold_path(graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], func
     spec.validate()
     ring = _Ring(functions, missing)
     start = [p.column for p in spec.start] + list(by)
-    f = _Elimination(graph, spec, values, ring, partitions).folded(start, range(len(values)), targets)
+    f = _Elimination(graph, flattened(spec), values, ring, partitions).folded(start, range(len(values)), targets)
     out = []
     for i, v in enumerate(values):
         if i not in f.values:
@@ -376,7 +409,7 @@ def fold_weights(graph: GraphCatalog, spec: PathSpec, node: str, weight: str, fu
 def starts(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None) -> DataFrame:
     """The start nodes (and partitions) that have an instance, by semi-joins from the end of the path."""
     spec.validate()
-    return _Elimination(graph, spec, (), _Ring(sets=True), partitions).folded([p.column for p in spec.start], (), targets).df
+    return _Elimination(graph, flattened(spec), (), _Ring(sets=True), partitions).folded([p.column for p in spec.start], (), targets).df
 
 
 def reduced(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, keep: bool = True) -> list[DataFrame]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 
@@ -159,6 +159,18 @@ class PathSpec:
         return _path(config, ()).validate()
 
 
+def bound(hop: Hop, relation: Relation, columns: Iterable[str]) -> bool:
+    """Whether a relation of a hop is a nested path whose instances are looked for only between ends that are there (``columns``).
+
+    Caps on whole paths choose among all instances of a start, so that a path with such a cap is searched as it is.
+    """
+    if not isinstance(relation.what, Nested) or any(h.sample for h in relation.what.path.hops):
+        return False
+    inner, ends = relation.what.path, {*hop.heads, *hop.tails}
+    clash = {p.column for p in inner.positions() if p not in ends} & set(columns)
+    return {p.column for p in inner.start} <= set(columns) and set(inner.start) <= ends and not clash
+
+
 def _positions(config: dict, side: str) -> tuple[Position, ...]:
     return tuple(Position(t, int(i)) for t, i in zip(config.get(f"{side}_node_types", ()), config.get(f"{side}_node_indexes", ()), strict=True))
 
