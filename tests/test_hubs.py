@@ -68,3 +68,35 @@ def test_attributes_are_joined_to_edges(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     depth = [len(x) - len(x.lstrip(" :+-")) for x in plan.splitlines() if "Join" in x]
     assert "A_1#" in next(x for x in plan.splitlines() if "Join" in x) and depth.count(min(depth)) == 1 and "B_2" in next(x for x in plan.splitlines() if "Join" in x)
+
+
+@pytest.mark.parametrize(("seed", "caps"), [(1, (-1,)), (2, (2,))])
+def test_counts_of_types_are_those_of_their_instances(spark, seed, caps):
+    from test_cover import relations
+
+    from pathrank.operators import khop
+
+    rs = relations(spark, seed, caps)
+    some = [p for k, p in enumerate(khop.path_types(rs, "A", "B", 4)) if len(p.steps) < 3 or k % 23 == 0]
+    found = khop.all_instances(rs, some).persist()
+    want = found.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("start").alias("n_starts"), F.countDistinct("end").alias("n_ends"))
+    assert rows(khop.Walks(rs).totals(some)) == rows(want)
+    known = spark.createDataFrame([(a, b) for a in range(7) for b in range(7) if (a + b) % 2], "start long, end long")
+    assert rows(khop.all_between(rs, some, known)) == rows(found.join(known, ["start", "end"], "left_semi"))
+    found.unpersist()
+
+
+def test_counts_and_covers_do_not_make_the_instances(spark):
+    """A hub with 200 spokes: A -> B -> A -> C has 200 * 199 walks, no join more than 400 rows."""
+    from pathrank.operators import khop, meet
+
+    spokes = spark.range(200).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    own = spark.range(200).select(F.col("id").alias("a"), F.col("id").alias("c"))
+    rs = [khop.Relation("ab", spokes, ("a", "A"), ("b", "B")), khop.Relation("ac", own, ("a", "A"), ("c", "C"))]
+    path = khop.PathType((("ab", "Head"), ("ab", "Tail"), ("ac", "Head")), ("A", "B", "A", "C"))
+    totals = khop.Walks(rs, materialize=False).totals([path])
+    assert largest_join(totals)[0] <= 400 and rows(totals, "n", "n_starts", "n_ends") == [(200 * 199, 200, 200)]
+    known = spark.range(200).select(F.col("id").alias("start"), ((F.col("id") * 3) % 200).alias("end"))
+    cover = meet.both_ends_cover(rs, [path], known, materialize=False)
+    assert largest_join(cover)[0] <= 400
+    assert sum(r["cover_count"] for r in cover.collect()) == sum(3 * k % 200 != k for k in range(200))
