@@ -36,7 +36,9 @@ def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partition
         if found is not None and bound(hop, r, found.columns):
             inner = r.what.path
             if r.how == "inner":
-                found = find_paths(graph, inner, targets, partitions, reduce, nested=nested, within=found)
+                new = find_paths(graph, inner, targets, partitions, reduce, nested=nested, within=found)
+                on = [p.column for p in (*hop.heads, *hop.tails) if p in inner.positions() and p.column in found.columns] + _key(graph, found)
+                found = new.select(*dict.fromkeys([*on, *found.columns, *new.columns]))  # as a join has them: caps hash columns in order
                 continue
             ends = [p.column for p in (*hop.heads, *hop.tails) if p in inner.positions() and p.column in found.columns]
             new = find_paths(graph, inner, targets, partitions, reduce, nested=nested, within=found.select(*ends, *_key(graph, found)).distinct())
@@ -80,16 +82,22 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
         new = hop_rows[k] if hop_rows else relation(graph, hop, seeds, partitions, reduce, nested)
         how = "inner" if k == 0 or held & set(new.columns) - set(heads) else spec.hop_join
         early = [n for n in hop.nodes if n.position in hop.tails and n.position.column in new.columns and n.position.column not in held and (n.how == "left" or how == "inner")]
+        order = new.columns
         for node in early:
             new = _attributed(graph, new, node, partitions)
+        new = new.select(*dict.fromkeys([*order, *new.columns]))
         if path is None:
             path = restricted(new, targets, [c for c in heads if targets is not None and c in targets.columns]) if targets is not None and any(c in targets.columns for c in heads) else new
         else:
             on = heads + [c for c in new.columns if c in held and c not in heads] + [c for c in _key(graph, path) if c in new.columns]
             path = hub_join(path, new, on, how) if spread_hubs else path.join(new, on, how)
         for node in hop.nodes:
-            path = path if node in early else _attributed(graph, path, node, partitions)
-            attributes += [f"{node.position.column}_{f}" for f in node.features]
+            own = [f"{node.position.column}_{f}" for f in node.features]
+            if node in early:  # columns as a join has them: caps hash columns in order
+                path = path.select(node.position.column, *[c for c in path.columns if c != node.position.column and c not in own], *own)
+            else:
+                path = _attributed(graph, path, node, partitions)
+            attributes += own
         if hop.limit:
             path = path.where(F.expr(hop.limit))
         if hop.sample:
