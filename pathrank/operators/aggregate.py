@@ -11,6 +11,7 @@ from pathrank.operators import path
 from pathrank.plans.spec import PathSpec, Position
 from pathrank.sources.catalog import GraphCatalog
 from pathrank.sources.manifest import content_versions, resumed
+from pathrank.sources.shared import cut
 
 _FUNCTIONS = {"AVG": F.avg, "SUM": F.sum, "MAX": F.max, "MIN": F.min}
 
@@ -56,6 +57,42 @@ def node_aggregate(paths: DataFrame, start: Sequence[str], position: Position, t
     return aggregate_features(paths.select(*start, position.column).join(side, position.column, "left"), start, features, functions, missing)
 
 
+def _brought(position: Position, table: DataFrame, id_column: str, features: Sequence[str]) -> dict[str, DataFrame]:
+    """A node table as ``find_paths`` takes it along; its features are named after the position."""
+    side = table.select(F.col(id_column).alias(position.column), *[F.col(f).alias(f"_{position.column}_{f}") for f in features])
+    return {position.column: side.dropDuplicates([position.column])}
+
+
+def searched_node_aggregate(graph: GraphCatalog, spec: PathSpec, position: Position, table: DataFrame, id_column: str, features: Sequence[str], functions: Sequence[str], missing: str = "zero") -> DataFrame:
+    """``node_aggregate`` to the start nodes of a path that is yet to be searched.
+
+    Features are looked up for the edges that bring the nodes, not for the instances, of which there are more; these are only
+    shuffled when they are aggregated.
+    """
+    start = [p.column for p in spec.start]
+    if position in spec.start:
+        return node_aggregate(path.find_paths(graph, spec), start, position, table, id_column, features, functions, missing)
+    found = path.find_paths(graph, spec, brought=_brought(position, table, id_column, features))
+    return aggregate_features(found.select(*start, *[F.col(f"_{position.column}_{f}").alias(f) for f in features]), start, features, functions, missing)
+
+
+def aggregate_search(graph: GraphCatalog, spec: PathSpec, tables: dict[str, tuple[DataFrame, str, Sequence[str]]], functions: Sequence[str], missing: str = "zero", partitions: Sequence | None = None) -> dict[str, DataFrame]:
+    """``aggregate_path`` of a path that is yet to be searched, for all positions behind the start and all edges.
+
+    All are parts of one aggregation, which is materialised: instances are neither stored nor searched for each. Rows are
+    grouped by the partition key too, if the path has it.
+    """
+    nodes = [p for p in spec.positions() if p.type in tables and p not in spec.start]
+    found = path.find_paths(graph, spec, partitions=partitions, brought={p.column: _brought(p, *tables[p.type])[p.column] for p in nodes})
+    ids = [p.column for p in spec.start] + [graph.partition_key] * (graph.partition_key in found.columns)
+    owners = {f"Node___{p.type}___{p.index}": {f: f"_{p.column}_{f}" for f in tables[p.type][2]} for p in nodes}
+    owners |= {f"Edge___{e.table}___{e.index}": {c: c for f in e.features for c in [f"Edge_{e.index}_{f}"]} for e in spec.edges() if e.features}
+    whole = cut(aggregate_features(found, ids, list(dict.fromkeys(c for own in owners.values() for c in own.values())), functions, missing))
+    made = [f for f in functions if f != "COUNT"]
+    count = ["COUNT_All"] * ("COUNT" in functions)
+    return {name: whole.select(*ids, *[F.col(f"{f}_{column}").alias(f"{f}_{c}") for f in made for c, column in own.items()], *count) for name, own in owners.items()}
+
+
 def edge_aggregate(paths: DataFrame, start: Sequence[str], edge_index: int, functions: Sequence[str], missing: str = "zero") -> DataFrame:
     """An edge's features along the path, aggregated to the start nodes."""
     features = [c for c in paths.columns if c.startswith(f"Edge_{edge_index}_")]

@@ -55,7 +55,7 @@ def relation(graph: GraphCatalog, hop: Hop, targets: DataFrame | None, partition
     return found
 
 
-def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False, materialize: int = 0, within: DataFrame | None = None) -> DataFrame:
+def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None = None, partitions: Sequence | None = None, reduce: bool = False, hop_rows: Sequence[DataFrame] | None = None, nested: Search | None = None, spread_hubs: bool = False, materialize: int = 0, within: DataFrame | None = None, brought: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """A row for each instance of the path.
 
     targets: start nodes (columns named like start positions) to which the search is restricted; all if None.
@@ -66,6 +66,8 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
     materialize: after so many hops, and again after as many, instances are written and the plan is cut; never if 0.
     within: rows that have the start and some further positions of the path already; each is joined with the instances that
     agree with it there, and keeps its other columns.
+    brought: (column of a tail: rows with it, each value once, and further columns) of features that instances take along; they
+    are left-joined to the edges that bring the tail, and stay behind the path's own columns. Caps do not see them.
 
     Attributes of a hop's tails are joined to its edges before these are joined to the path, which has more rows.
     """
@@ -73,6 +75,7 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
     path: DataFrame | None = within
     held = set() if within is None else {p.column for p in spec.positions()} & set(within.columns)
     attributes: list[str] = []
+    taken: list[str] = []
     for k, hop in enumerate(spec.hops):
         heads = [p.column for p in hop.heads]
         if k == 0:
@@ -85,6 +88,12 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
         order = new.columns
         for node in early:
             new = _attributed(graph, new, node, partitions)
+        sides = {c: (brought or {})[c] for c in (p.column for p in hop.tails) if c in (brought or {}) and c in new.columns and c not in held}
+        for column, side in sides.items():
+            new = new.join(side, column, "left")
+        more = [c for side in sides.values() for c in side.columns if c not in sides]
+        attributes += more
+        taken += more
         new = new.select(*dict.fromkeys([*order, *new.columns]))
         if path is None:
             path = restricted(new, targets, [c for c in heads if targets is not None and c in targets.columns]) if targets is not None and any(c in targets.columns for c in heads) else new
@@ -105,7 +114,9 @@ def find_paths(graph: GraphCatalog, spec: PathSpec, targets: DataFrame | None =
             path = capped(path, start + _key(graph, path), [c for c in path.columns if c not in start and c not in attributes], hop.sample)
         if materialize and (k + 1) % materialize == 0 and k + 1 < len(spec.hops):
             path = cut(path)
-    own = _columns(graph, spec, path)
+    if missing := set(brought or {}) - set(path.columns):
+        raise ValueError(f"no hop has a tail {sorted(missing)}")
+    own = [*_columns(graph, spec, path), *taken]
     return path.select(*own, *[c for c in (within.columns if within is not None else ()) if c not in own])
 
 

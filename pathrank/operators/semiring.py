@@ -221,9 +221,9 @@ class _Elimination:
         """The values that a nested path brings."""
         return [i for i, v in enumerate(self.values) if r.how != "left_anti" and v.column in {c for h in r.what.path.hops for c in _brought(h)} and v.column not in ends]
 
-    def attached(self, f: Folded, k: int) -> Folded:
-        """With the attributes of hop k's nodes."""
-        for node in self.spec.hops[k].nodes:
+    def attached(self, f: Folded, k: int, nodes: Sequence[NodeAttributes] | None = None) -> Folded:
+        """With the attributes of hop k's nodes, or of these of them."""
+        for node in self.spec.hops[k].nodes if nodes is None else nodes:
             side = node_scan(self.graph, node, self.partitions)
             on = [node.position.column] + [c for c in self.key(f.df) if c in side.columns]
             f = replace(f, df=f.df.join(side, on, node.how), columns=(*f.columns, *_attributes(node)))
@@ -319,13 +319,19 @@ class _Elimination:
             hop, heads = hops[k], [p.column for p in hops[k].heads]
             later = {c for j in range(k, len(hops)) for c in self.uses(j)}
             new = self.rows(k, later | set(keep), targets if k == 0 else None)
+            early: list[NodeAttributes] = []
+            if f is not None:  # the path has more rows than the hop
+                early = [n for n in hop.nodes if n.position in hop.tails and n.position.column in new.columns and n.position.column not in held and (n.how == "left" or self.spec.hop_join == "inner")]
+                new = self.attached(new, k, early)
+                if not self.ring.sets:
+                    new = self.lifted(new, [i for i in self.own_values(k, numbers, new) if self.values[i].column not in f.columns])
             if f is None:
                 shared = [c for c in heads if targets is not None and c in targets.columns]
                 f = replace(new, df=restricted(new.df, targets, shared)) if shared else new
             else:
                 also = [c for c in new.columns if c in held and c not in heads]
                 f = self.ring.times(f, new, heads + also + [c for c in self.key(f.df) if c in new.columns], "inner" if k == 0 or also else self.spec.hop_join)
-            f = self.attached(f, k)
+            f = self.attached(f, k, [n for n in hop.nodes if n not in early])
             f = self.lifted(f, self.own_values(k, numbers, f))
             if hop.limit:
                 f = replace(f, df=f.df.where(F.expr(hop.limit)))
