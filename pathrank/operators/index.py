@@ -84,8 +84,12 @@ def merged_hops(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select("relation", "head", "tail") for p in parts]).distinct()
 
 
-def merged_parallel(tables: Sequence[DataFrame], ends: Sequence[str]) -> DataFrame:
-    """Edge tables with the same ends as one: features summed, missing ones 0."""
+def merged_parallel(tables: Sequence[DataFrame], ends: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Edge tables with the same ends as one: features summed, missing ones 0.
+
+    parts: edges are dealt into so many before they are summed, which bounds the memory of a task.
+    """
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    union = union if parts is None else union.repartition(parts, *ends)
     features = [c for c in union.columns if c not in ends]
     return union.groupBy(*ends).agg(*[F.coalesce(F.sum(f), F.lit(0.0)).alias(f) for f in features])

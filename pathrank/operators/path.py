@@ -192,9 +192,14 @@ def grouped_by_metapath(specs: Iterable[PathSpec]) -> dict[str, list[str]]:
     return groups
 
 
-def endpoints(paths: DataFrame, spec: PathSpec, what: str = "ends", stop: str | None = None) -> DataFrame:
-    """Distinct head and tail (``ends``, up to column ``stop`` if given), ``nodes``, ``edges``, or ``all`` columns."""
+def endpoints(paths: DataFrame, spec: PathSpec, what: str = "ends", stop: str | None = None, parts: int | None = None) -> DataFrame:
+    """Distinct head and tail (``ends``, up to column ``stop`` if given), ``nodes``, ``edges``, or ``all`` columns.
+
+    parts: instances are dealt into so many before they are compared, which bounds the memory of a task; by default as many as
+    shuffles have, after a first comparison that leaves most of them.
+    """
     nodes = [p.column for p in spec.positions() if p.column in paths.columns]
     edges = [c for c in paths.columns if c.startswith("Edge_")]
     chosen = {"ends": [nodes[0], stop or nodes[-1]], "nodes": nodes, "edges": edges, "all": nodes + edges}[what]
-    return paths.select(*chosen).distinct()
+    found = paths.select(*chosen)
+    return (found if parts is None else found.repartition(parts, *chosen)).distinct()

@@ -55,3 +55,28 @@ def test_only_main_types_are_searched_for_samples(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(khop, "all_instances", lambda relations, paths, *a, **k: asked.append([p.name for p in paths]) or search(relations, paths, *a, **k))
     assert queries.QUERIES["L02_pair_samples"](spark, sf_dir).count() > 0
     assert asked == [queries.TYPES[:1]]
+
+
+def test_two_steps_are_summed_without_instances(spark):
+    from pyspark.sql import functions as F
+    from test_semiring import largest_join
+
+    rs = relations(spark, 5)
+    for path in (khop.PathType((("ab", "Head"), ("ab", "Tail")), ("A", "B", "A")), khop.PathType((("ab", "Tail"), ("ac", "Head")), ("B", "A", "C"))):
+        a, b, c = path.columns
+        want = khop.instances(rs, path).dropna().groupBy(F.col(a).alias("start")).agg(F.count("*").alias("n"), F.countDistinct(b).alias("n_middles"), F.sum(c).alias("sum_ends"))
+        columns = ["start", "n", "n_middles", "sum_ends"]
+        assert rows(khop.two_step_sums(rs, path), *columns) == rows(want, *columns)
+    star = khop.Relation("ab", spark.range(200).selectExpr("id AS a", "0L AS b"), ("a", "A"), ("b", "B"))
+    found = khop.two_step_sums([star], khop.PathType((("ab", "Head"), ("ab", "Tail")), ("A", "B", "A")))
+    assert largest_join(found)[0] <= 400  # of 200 * 199 instances
+    assert found.count() == 200 and found.where("n = 199 and sum_ends = 19900 - start").count() == 200
+
+
+def test_dealt_edges_and_ends_are_the_same(spark):
+    from pathrank.operators import index
+
+    edges = spark.createDataFrame([(k % 5, k % 3, float(k)) for k in range(40)], "a long, b long, w double")
+    more = spark.createDataFrame([(1, 1, 2.0), (9, 9, None)], "a long, b long, v double")
+    found = index.merged_parallel([edges, more], ["a", "b"], 3)
+    assert rows(found, "a", "b", "w", "v") == rows(index.merged_parallel([edges, more], ["a", "b"]), "a", "b", "w", "v")
