@@ -9,7 +9,8 @@ sums are added up, the smallest minimum and the largest maximum are kept.
 Hops whose columns nobody else needs are eliminated from the end of the path: each becomes a *message* to the hop that
 brings its heads, a row for each head, so that the instances behind a head are never enumerated. A hop is kept out
 of that where a predicate, an attribute or another hop needs its columns beside those of earlier hops; such hops are joined in
-order, and columns are dropped as soon as nothing needs them. Several relations of a hop are a product, and a nested path
+order, and columns are dropped as soon as nothing needs them. With inner joins, messages carry the columns that the result
+is grouped by besides the starts: a row for each head and value of theirs. Several relations of a hop are a product, and a nested path
 is folded to the ends of its hop. A cap on whole paths needs instances: up to the last such hop they are built.
 
 Left joins keep a head without continuation as one instance with nulls, unless a predicate rejects it, and a head all of
@@ -140,7 +141,9 @@ def _brought(hop: Hop) -> list[str]:
 
 
 class _Elimination:
-    def __init__(self, graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], ring: _Ring, partitions: Sequence | None) -> None:
+    def __init__(self, graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], ring: _Ring, partitions: Sequence | None, carried: Sequence[str] = (), parts: int | None = None) -> None:
+        """carried: kept columns that messages may bring; parts: tasks that rows are dealt to before they are multiplied and added."""
+        self.carried, self.parts = (set(carried) if spec.hop_join == "inner" else set()), parts
         self.graph, self.spec, self.values, self.ring, self.partitions = graph, spec, values, ring, partitions
         self.heads = [p.column for p in spec.start]
         self.brought = [_brought(h) for h in spec.hops]
@@ -159,6 +162,9 @@ class _Elimination:
     def key(self, df: DataFrame) -> list[str]:
         return [self.graph.partition_key] if self.graph.partition_key and self.graph.partition_key in df.columns else []
 
+    def dealt(self, f: Folded, columns: Sequence[str]) -> Folded:
+        return replace(f, df=f.df.repartition(self.parts, *columns)) if self.parts else f
+
     # ---- what a hop needs
 
     def uses(self, k: int) -> set[str]:
@@ -177,7 +183,7 @@ class _Elimination:
             if (
                 self.parent[k] is not None
                 and all(j in found for j in children)
-                and not own & set(keep)
+                and not own & set(keep) - self.carried
                 and not any(own & self.uses(j) for j in others)
                 and _mentioned(hop.limit, self.every) <= local
                 and all(n.position.column in local and (n.how == "left" or self.spec.hop_join == "inner") for n in hop.nodes)
@@ -266,14 +272,15 @@ class _Elimination:
     def message(self, k: int, numbers: Sequence[int], gone: set[int]) -> Folded:
         """What hop k and all below it amount to for each of its heads; heads without an instance have a count of 0."""
         hop = self.spec.hops[k]
-        need = self.uses(k) | {c for j in gone if self.parent[j] == k for c in self.uses(j)}
+        need = self.uses(k) | self.carried | {c for j in gone if self.parent[j] == k for c in self.uses(j)}
         f = self.attached(self.rows(k, need, None), k)
         f = self.lifted(f, self.own_values(k, numbers, f))
         if hop.limit:
             holds = F.coalesce(F.expr(hop.limit), F.lit(False))
             f = replace(f, df=f.df.where(holds)) if self.spec.hop_join == "inner" or self.ring.sets else self.ring.zeroed(f, holds)
         f = self.with_messages(f, k, numbers, gone)
-        return self.ring.added(f, [p.column for p in hop.heads] + self.key(f.df))
+        heads = [p.column for p in hop.heads] + self.key(f.df)
+        return self.ring.added(self.dealt(f, heads), [*heads, *self.carried])
 
     def with_messages(self, f: Folded, k: int, numbers: Sequence[int], gone: set[int]) -> Folded:
         """Multiplied by the messages of the hops that hang on hop k."""
@@ -283,7 +290,7 @@ class _Elimination:
             m, default = self.message(j, numbers, gone), self.nulls_pass(j, gone)
             on = [p.column for p in self.spec.hops[j].heads] + [c for c in self.key(f.df) if c in m.columns]
             if not self.ring.sets:
-                f = self.ring.times(f, m, on, self.spec.hop_join, default)
+                f = self.ring.times(self.dealt(f, on), m, on, self.spec.hop_join, default)
             elif not default:
                 f = replace(f, df=f.df.join(m.df.select(*on).distinct(), on, "left_semi"))
             else:  # heads stay unless they have continuations and all of them fail
@@ -340,7 +347,7 @@ class _Elimination:
             if k + 1 < len(hops) and not set(f.columns) <= left:
                 f = self.ring.added(f, list(left))
         f = f if self.ring.sets else replace(f, df=f.df.where("_c > 0"))
-        return self.ring.added(f, [*keep, *self.key(f.df)])
+        return self.ring.added(self.dealt(f, [c for c in self.heads if c in keep]), [*keep, *self.key(f.df)])
 
 
 def flattened(spec: PathSpec) -> PathSpec:
@@ -370,16 +377,17 @@ def _values(spec: PathSpec, tables: dict[str, tuple[DataFrame, str, Sequence[str
     return found
 
 
-def fold_path(graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], functions: Sequence[str], missing: str = "zero", targets: DataFrame | None = None, partitions: Sequence | None = None, by: Sequence[str] = ()) -> DataFrame:
+def fold_path(graph: GraphCatalog, spec: PathSpec, values: Sequence[Value], functions: Sequence[str], missing: str = "zero", targets: DataFrame | None = None, partitions: Sequence | None = None, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """A row for each start node (and partition): ``COUNT_All`` and ``FUNC_feature__element`` over all instances.
 
     It equals ``find_paths`` followed by ``aggregate_features``, and holds all elements in one table. ``by``: further columns
-    of the path, each combination of which has a row of its own.
+    of the path, each combination of which has a row of its own; best of few values, as messages have a row for each of them and each
+    head. ``parts``: tasks that rows are dealt to, by heads or starts, instead of being summed before they are shuffled.
     """
     spec.validate()
     ring = _Ring(functions, missing)
     start = [p.column for p in spec.start] + list(by)
-    f = _Elimination(graph, flattened(spec), values, ring, partitions).folded(start, range(len(values)), targets)
+    f = _Elimination(graph, flattened(spec), values, ring, partitions, by, parts).folded(start, range(len(values)), targets)
     out = []
     for i, v in enumerate(values):
         if i not in f.values:
@@ -405,9 +413,9 @@ def aggregate_spec(graph: GraphCatalog, spec: PathSpec, tables: dict[str, tuple[
     return out
 
 
-def fold_weights(graph: GraphCatalog, spec: PathSpec, node: str, weight: str, functions: Sequence[str] = ("AVG", "SUM", "MAX", "MIN", "COUNT"), targets: DataFrame | None = None, partitions: Sequence | None = None) -> DataFrame:
+def fold_weights(graph: GraphCatalog, spec: PathSpec, node: str, weight: str, functions: Sequence[str] = ("AVG", "SUM", "MAX", "MIN", "COUNT"), targets: DataFrame | None = None, partitions: Sequence | None = None, parts: int | None = None) -> DataFrame:
     """As ``weight_aggregate``: an edge's weights summed per start and ``node``, then aggregated per start; no instance is made."""
-    sums = fold_path(graph, spec, [Value("w", weight, weight)], ["SUM"], targets=targets, partitions=partitions, by=[node])
+    sums = fold_path(graph, spec, [Value("w", weight, weight)], ["SUM"], targets=targets, partitions=partitions, by=[node], parts=parts)
     start = [c for c in sums.columns if c not in (node, f"SUM_{weight}__w", "COUNT_All")]
     return aggregate_features(sums.withColumnRenamed(f"SUM_{weight}__w", weight).where(F.col(node).isNotNull()), start, [weight], functions)
 
