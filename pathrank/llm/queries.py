@@ -98,9 +98,9 @@ def op11_filter_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pathrank.llm.main_text import extract
+    from pathrank.llm.main_text import judged
 
-    return extract(table(spark, sf_dir, "pages"))
+    return judged(table(spark, sf_dir, "pages"))
 
 
 def op13_run_length_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
