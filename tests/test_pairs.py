@@ -80,3 +80,38 @@ def test_dealt_edges_and_ends_are_the_same(spark):
     more = spark.createDataFrame([(1, 1, 2.0), (9, 9, None)], "a long, b long, v double")
     found = index.merged_parallel([edges, more], ["a", "b"], 3)
     assert rows(found, "a", "b", "w", "v") == rows(index.merged_parallel([edges, more], ["a", "b"]), "a", "b", "w", "v")
+
+
+@pytest.mark.parametrize("task", [1, 40])
+def test_blocks_leave_instances_as_they_are(spark, searched, monkeypatch, task):
+    """Also nodes without edges and types that meet a node type again."""
+    rs, types, found = searched
+    for name, value in (("ROWS_A_TASK", task), ("MOST_TASKS", 3), ("ROWS_A_GROUP", 5)):
+        monkeypatch.setattr(khop, name, value)
+    types = [p for p in types if len(p.steps) == 2][:4] + [p for p in types if len(p.steps) == 3][:2]
+    names = [p.name for p in types]
+    assert rows(khop.all_instances(rs, types, dealt=True), "path", *ENDS) == rows(found.where(found.path.isin(names)), "path", *ENDS)
+
+
+def fans(spark, monkeypatch):
+    """600 starts in each of 2 groups of 40 ends: 48,000 instances, 12 tasks."""
+    monkeypatch.setattr(khop, "ROWS_A_TASK", 4000)
+    rs = [khop.Relation("in_a", spark.range(1200).selectExpr("id AS a", "id % 2 AS n"), ("a", "A"), ("n", "N")), khop.Relation("in_b", spark.range(80).selectExpr("id AS b", "id % 2 AS n"), ("b", "B"), ("n", "N"))]
+    return rs, khop.path_types(rs, "A", "B", 2)
+
+
+def longest(found):
+    """(instances, runs of equal ends as they are written, instances of the largest task)."""
+    def counted(part):
+        n, runs, last = 0, 0, None
+        for r in part:
+            n, runs, last = n + 1, runs + (r["end"] != last), r["end"]
+        return [(n, runs)]
+
+    sizes = found.rdd.mapPartitions(counted).collect()
+    return sum(n for n, _ in sizes), sum(k for _, k in sizes), max(n for n, _ in sizes)
+
+
+def test_fanning_hops_are_made_in_blocks(spark, monkeypatch):
+    n, runs, most = longest(khop.all_instances(*fans(spark, monkeypatch), dealt=True))
+    assert n == 48000 and runs <= n / 80 and most <= 9000
