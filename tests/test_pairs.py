@@ -115,3 +115,12 @@ def longest(found):
 def test_fanning_hops_are_made_in_blocks(spark, monkeypatch):
     n, runs, most = longest(khop.all_instances(*fans(spark, monkeypatch), dealt=True))
     assert n == 48000 and runs <= n / 80 and most <= 9000
+
+
+def test_marked_instances_are_made_in_blocks(spark, monkeypatch):
+    rs, types = fans(spark, monkeypatch)
+    known = spark.range(1200).selectExpr("id AS start", "id % 80 AS end")
+    found = khop.marked_instances(rs, types, known)
+    n, runs, most = longest(found)
+    assert n == 48000 and runs <= n / 80 and most <= 9000
+    assert found.where("cover_mark").count() == 1200 and found.where("cover_mark and end = start % 80").count() == 1200
