@@ -124,3 +124,11 @@ def test_marked_instances_are_made_in_blocks(spark, monkeypatch):
     n, runs, most = longest(found)
     assert n == 48000 and runs <= n / 80 and most <= 9000
     assert found.where("cover_mark").count() == 1200 and found.where("cover_mark and end = start % 80").count() == 1200
+
+
+def test_connected_pairs_are_made_in_blocks(spark, monkeypatch):
+    rs, types = fans(spark, monkeypatch)
+    found = khop.connected(rs, types)
+    n, runs, most = longest(found)
+    assert n == 48000 and runs <= n / 80 and most <= 9000
+    assert found.distinct().count() == 48000 and found.where("start % 2 <> end % 2").isEmpty()
