@@ -132,3 +132,11 @@ def test_connected_pairs_are_made_in_blocks(spark, monkeypatch):
     n, runs, most = longest(found)
     assert n == 48000 and runs <= n / 80 and most <= 9000
     assert found.distinct().count() == 48000 and found.where("start % 2 <> end % 2").isEmpty()
+
+
+def test_starts_that_are_chosen_are_continued_in_blocks(spark, monkeypatch):
+    rs, types = fans(spark, monkeypatch)
+    found = khop.all_instances(rs, types, starts=spark.range(0, 1200, 3).toDF("start"), dealt=True)
+    n, runs, most = longest(found)
+    assert n == 16000 and runs <= n / 60 and most <= 9000
+    assert found.where("start % 3 <> 0").isEmpty()
