@@ -140,3 +140,19 @@ def test_starts_that_are_chosen_are_continued_in_blocks(spark, monkeypatch):
     n, runs, most = longest(found)
     assert n == 16000 and runs <= n / 60 and most <= 9000
     assert found.where("start % 3 <> 0").isEmpty()
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """A task that is repeated, with rows in another order, makes the same blocks."""
+    from pyspark.sql import functions as F
+
+    rs, types = fans(spark, monkeypatch)
+    known = spark.range(2400).selectExpr("id div 2 AS start", "(id div 2 + 2 * (id % 2)) % 80 AS end")
+
+    def made(back):
+        order = F.desc if back else F.asc
+        turned = [khop.Relation(r.name, r.data.repartition(3 if back else 1).sortWithinPartitions(order(r.head[0])), r.head, r.tail) for r in rs]
+        found = khop.marked_instances(turned, types, known.coalesce(1).sortWithinPartitions(order("end")))
+        return found.rdd.mapPartitionsWithIndex(lambda k, part: [(k, tuple(sorted(map(tuple, part))))]).collect()
+
+    assert made(False) == made(True)
